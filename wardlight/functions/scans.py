@@ -106,3 +106,10 @@ def take_smallest(df: DataFrame, value: str, tie: str, k: int, rank: str | None
         return top.withColumn(rank, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(value, tie)).cast("long"))
     ranked = global_rank(df, value, tie, out=out).filter(F.col(out) <= k)
     return ranked if rank else ranked.drop(out)
+
+
+def row_index(df: DataFrame, order: str, tie: str, out: str = "index", small_rows: int = TOPK_ROWS) -> DataFrame:
+    """1-based row number over a whole table: one small window when the table is small, distributed rank otherwise."""
+    if df.limit(small_rows + 1).count() <= small_rows:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order, tie)).cast("long"))
+    return global_rank(df, order, tie, out=out)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardlight.operators.timeline import month_key
 from wardlight.schema import RUN_KEYS
+from wardlight.session import small_or_self
 
 INFECTIONS = "total_hospital_infections"
 OCCUPIED = "current_inpatients"
@@ -71,3 +72,13 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 def attach_parameters(attributes: DataFrame, rates: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     """Right join of run attributes (one row per run) to monthly rates."""
     return attributes.join(rates, list(keys), "right")
+
+
+def with_group_minimum(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
+    """Every row with the minimum of its group.
+
+    The minimum is aggregated and joined back instead of using a window: the aggregation combines before the shuffle,
+    and a hot group is split by the adaptive skew join instead of landing in one window.
+    """
+    lowest = df.groupBy(*keys).agg(F.min(column).alias(out))
+    return df.join(small_or_self(lowest), list(keys))
