@@ -10,6 +10,6 @@ def build_registry() -> Registry:
     import importlib
 
     registry = Registry()
-    for name in ("series",):
+    for name in ("series", "designs", "shapes", "fits"):
         importlib.import_module(f"wardlight.catalog.{name}").register(registry)
     return registry

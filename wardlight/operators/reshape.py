@@ -61,11 +61,11 @@ def bind_rows(*tables: DataFrame) -> DataFrame:
     return first
 
 
-def transpose(df: DataFrame, row_name: str, columns: Sequence[str], names: Sequence[object] | None = None) -> DataFrame:
-    """Columns become rows (``param``), the values of ``row_name`` become columns."""
-    tall = pivot_longer(df, [row_name], columns, "param", "value")
+def transpose(df: DataFrame, row_name: str, columns: Sequence[str], names: Sequence[object] | None = None, out: str = "param") -> DataFrame:
+    """Columns become rows (named in ``out``), the values of ``row_name`` become columns."""
+    tall = pivot_longer(df, [row_name], columns, "__column", "value")
     wanted = None if names is None else [str(n) for n in names]
-    return pivot_wider(tall, ["param"], row_name, "value", wanted)
+    return pivot_wider(tall, ["__column"], row_name, "value", wanted).withColumnRenamed("__column", out)
 
 
 def natural_right_join(left: DataFrame, right: DataFrame) -> DataFrame:
