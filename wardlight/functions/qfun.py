@@ -7,13 +7,18 @@ A prior names a quantile function and carries a bag of fields.  Fields the funct
 from __future__ import annotations
 
 import inspect
+import sys
 from collections.abc import Callable, Mapping
 from statistics import NormalDist
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# workers get the functions themselves, so they need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _REGISTRY: dict[str, Callable[..., Column]] = {}
 
 

@@ -43,7 +43,7 @@ def daily_census(stays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     present = stays.filter(F.col("discharge") > F.col("admit"))
     community = F.col("community_infection").cast("long")
-    caught = F.greatest("hospital_infection_date", "admit")
+    caught = F.when(F.col("hospital_infection_date").isNotNull(), F.greatest("hospital_infection_date", "admit"))
     in_time = F.coalesce(caught < F.col("discharge"), F.lit(False))
     hospital = in_time.cast("long")
     colonised = F.greatest(community, hospital)
@@ -89,7 +89,7 @@ def length_of_stay(stays: DataFrame) -> DataFrame:
 def length_of_stay_summary(stays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Distribution of the length of stay: counts per length first, then weighted exact quantiles on those."""
     counts = length_of_stay(stays).groupBy(*by, "los").agg(F.count(F.lit(1)).alias("n"))
-    quantile = lambda p: F.percentile("los", F.lit(p), "n")
+    quantile = lambda p: F.percentile("los", F.lit(p), F.col("n"))
     total = F.sum("n")
     return counts.groupBy(*by).agg(
         total.alias("stays"), F.min("los").alias("min"), quantile(0.25).alias("q25"), quantile(0.5).alias("median"), quantile(0.75).alias("q75"),
@@ -323,11 +323,11 @@ def period_lookup(points: DataFrame, periods: DataFrame, at: str, values: Sequen
     limit = 10_000
     if periods.limit(limit + 1).count() > limit:
         raise ValueError("period_lookup takes a short schedule; use scheduled_parameters for one schedule per run")
-    packed = periods.agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("priority")).alias("order"), "name", "t_from", "t_to", *values))).alias("p")
-    ).scalar()
-    covering = F.filter(packed, lambda p: (F.col(at) > p["t_from"]) & (F.col(at) <= p["t_to"]))
-    best = points.withColumn("__best", F.get(covering, F.lit(0)))
+    packed = periods.agg(F.sort_array(F.collect_list(F.struct((-F.col("priority")).alias("order"), "name", "t_from", "t_to", *values))).alias("__periods"))
+    # one row, however many points
+    joined = points.withColumn("__one", F.lit(1)).join(F.broadcast(packed.withColumn("__one", F.lit(1))), "__one")
+    covering = F.filter("__periods", lambda p: (F.col(at) > p["t_from"]) & (F.col(at) <= p["t_to"]))
+    best = joined.withColumn("__best", F.get(covering, F.lit(0)))
     return best.select(*points.columns, F.col("__best.name").alias("period"), *[F.col(f"__best.{v}").alias(v) for v in values])
 
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wardlight.operators.hospital import CLEANING_EFFECT
 
+# workers get the processor itself, so they need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OUTPUT = "toilet_id long, event_id long, ts timestamp, level_before double, level_after double"
 _BUFFER = "ts timestamp, event_id long, kind string, colonised boolean, amount double"
 _COLUMNS = ["ts", "event_id", "kind", "colonised", "amount"]
@@ -45,7 +50,8 @@ class ContaminationReplay(StatefulProcessor):
             fresh = pdf[millis > watermark]
             if len(fresh):
                 self._buffer.appendList(list(fresh[_COLUMNS].itertuples(index=False, name=None)))
-                self._handle.registerTimer(int(millis.max()))
+                # fires once the watermark reaches the earliest new row
+                self._handle.registerTimer(int(millis[millis > watermark].min()))
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -59,6 +65,7 @@ class ContaminationReplay(StatefulProcessor):
         self._buffer.clear()
         if len(waiting):
             self._buffer.put(list(waiting.itertuples(index=False, name=None)))
+            self._handle.registerTimer(int(millis[millis > watermark].min()))
         if ready.empty:
             return iter([])
         level = self._level.get()[0] if self._level.exists() else 0.0
