@@ -48,7 +48,8 @@ def j1_complete_cases(spark, sf):
 
 def j2_mad_scale(spark, sf):
     stats = materialize(_stats(spark, sf), "statistics")
-    aligned = materialize(abc.align(stats, _target(stats, "2004-09-01")), "aligned")
+    target = _target(stats, "2004-09-01").withColumnRenamed("rate", "target")
+    aligned = materialize(abc.align(stats, target, target.count()), "aligned")
     return abc.mad_scale(aligned, derived.table(spark, sf, "supplier").count())
 
 
@@ -107,7 +108,8 @@ def e12_sensitivity_mean_sd(spark, sf):
 
 
 def k1_density(spark, sf):
-    tall = summary.period_and_name(pivot_longer(derived.posterior(spark, sf), [], OCP, "name", "value"))
+    names = small_or_self(summary.period_and_name(spark.createDataFrame([(n,) for n in OCP], "name string")))
+    tall = pivot_longer(derived.posterior(spark, sf), [], OCP, "name", "value").join(names, "name")
     return density.densities(tall, ["label"], ["label", "period"], grid=GRID).withColumn("i", F.col("i").cast("long"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wardlight.catalog.blocks import real, with_blocks
 from wardlight.catalog.registry import Registry
 from wardlight.operators import hospital, timeline
-from wardlight.session import scratch_path
+from wardlight.session import materialize, scratch_path
 from wardlight.sources import derived
 from wardlight.sources.derived import SCHEDULE_COLUMNS
 from wardlight.streaming import contamination, monthly
@@ -68,8 +68,10 @@ def _exposures(spark, sf):
     """Uses by patients who are not colonised, with the level left by the earlier events."""
     events = derived.toilet_events(spark, sf)
     exposing = (F.col("kind") == "use") & ~F.col("colonised")
-    levels = hospital.contamination_levels(events).filter(~exposing)
-    return hospital.exposure_asof(events.filter(exposing).select("toilet_id", "event_id", "ts"), levels)
+    buckets = hospital.choose_bucket(events)
+    # read twice below, so written once
+    levels = materialize(hospital.contamination_levels(events, buckets=buckets).filter(~exposing).select("toilet_id", "event_id", "ts", "level_after"), "levels")
+    return hospital.exposure_asof(events.filter(exposing).select("toilet_id", "event_id", "ts"), levels, buckets=buckets)
 
 
 def l10_exposure_asof(spark, sf):

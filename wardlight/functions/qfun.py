@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # workers get the functions themselves, so they need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -51,7 +52,7 @@ def _qexp(p: Column, rate: object = 1.0) -> Column:
     return -F.log1p(-p) / _as_column(rate)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _standard_normal_quantile(p: pd.Series) -> pd.Series:
     quantile = NormalDist().inv_cdf
     return p.map(lambda v: quantile(v) if 0.0 < v < 1.0 else (float("-inf") if v <= 0.0 else float("inf")))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlight.functions.quantiles import quantiles_by
+from wardlight.functions.quantiles import DIRECT_ROWS, quantiles_by
 from wardlight.functions.scans import take_smallest
 from wardlight.session import materialize, small_or_self
 
@@ -49,22 +49,13 @@ def accepted_count(n: int, tol: float) -> int:
     return math.ceil(n * tol)
 
 
-def check_months(statistics: DataFrame, target: DataFrame) -> None:
-    """Statistics must cover every target month (and the target every month compared)."""
-    missing = target.select("month").distinct().join(statistics.select("month").distinct(), "month", "left_anti").count()
-    if missing:
-        raise ValueError(f"{missing} target months have no statistic")
-
-
-def align(statistics: DataFrame, target: DataFrame) -> DataFrame:
+def align(statistics: DataFrame, target: DataFrame, months: int) -> DataFrame:
     """Statistics with the target of their month and a completeness flag per parameter set.
 
     One shuffle, by ``siminputrow``; a set has at most one row per month, so the window stays small.  Every row of a
-    set carries ``complete``: whether all target months are present and not null.
+    set carries ``complete``: whether all ``months`` target months are present and not null.
     """
-    wanted = target.select("month", F.col("rate").alias("target"))
-    months = wanted.count()
-    joined = statistics.select("siminputrow", "month", "rate").join(small_or_self(wanted), "month")
+    joined = statistics.select("siminputrow", "month", "rate").join(target, "month")
     per_set = Window.partitionBy("siminputrow")
     return joined.withColumn("complete", F.count("rate").over(per_set) == months)
 
@@ -81,6 +72,12 @@ def mad_scale(aligned: DataFrame, n: int | None = None) -> DataFrame:
     return mad.select("month", "target", "median", (F.lit(MAD_SCALE) * F.col("raw")).alias("mad"))
 
 
+def rows_per_month(aligned: DataFrame) -> int:
+    """An upper bound on the rows of a month: all rows when they are few, otherwise the number of sets."""
+    rows = aligned.count()
+    return rows if rows <= DIRECT_ROWS else aligned.select("siminputrow").distinct().count()
+
+
 def scaled_distances(aligned: DataFrame, scale: DataFrame) -> DataFrame:
     """Euclidean distance of every set to the target, each month divided by its mad (unscaled when the mad is 0).
 
@@ -107,11 +104,18 @@ def accept(distances: DataFrame, tol: float, n: int | None = None, topk_rows: in
 
 
 def reject(statistics: DataFrame, target: DataFrame, tol: float) -> Rejection:
-    """Distance of every parameter set to the target series, and the accepted sets."""
-    check_months(statistics, target)
-    aligned = materialize(align(statistics, target), "abc-aligned")
-    n = aligned.select("siminputrow").distinct().count()
-    scale = small_or_self(mad_scale(aligned, n))
+    """Distance of every parameter set to the target series, and the accepted sets.
+
+    Fails when a target month has no statistic at all.
+    """
+    wanted = small_or_self(target.select("month", F.col("rate").alias("target")))
+    months = wanted.count()
+    aligned = materialize(align(statistics, wanted, months), "abc-aligned")
+    found = aligned.select("month").distinct().count()
+    if found < months:
+        raise ValueError(f"{months - found} target months have no statistic")
+    scale = small_or_self(mad_scale(aligned, rows_per_month(aligned)))
     distances = materialize(scaled_distances(aligned, scale), "abc-distances")
+    n = distances.count()
     distances = rank_incomplete_last(distances)
     return Rejection(accept(distances, tol, n), distances, scale, aligned, n, accepted_count(n, tol))

@@ -18,15 +18,19 @@ from wardlight.operators.summary import describe_by
 from wardlight.session import small_or_self
 
 GRID = 512
+SLICE = 32
 
 
 def bandwidths(samples: DataFrame, keys: Sequence[str], value: str = "value", group_rows: int | None = None) -> DataFrame:
-    """Rule-of-thumb bandwidth ``0.9 * min(sd, IQR / 1.34) * n^(-1/5)``; falls back to sd, then 1, when a spread is 0."""
-    stats = describe_by(samples, keys, value, {"q25": 0.25, "q75": 0.75}, ["sd", "n"], group_rows)
+    """Rule-of-thumb bandwidth ``0.9 * min(sd, IQR / 1.34) * n^(-1/5)``; falls back to sd, then 1, when a spread is 0.
+
+    Result: keys, ``n``, ``min``, ``max``, ``bw``.
+    """
+    stats = describe_by(samples, keys, value, {"q25": 0.25, "q75": 0.75}, ["sd", "n", "min", "max"], group_rows)
     iqr = (F.col("q75") - F.col("q25")) / 1.34
     sd = F.coalesce(F.col("sd"), F.lit(0.0))
     spread = F.when(F.least(sd, iqr) > 0.0, F.least(sd, iqr)).when(sd > 0.0, sd).otherwise(F.lit(1.0))
-    return stats.select(*keys, "n", (0.9 * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"))
+    return stats.select(*keys, "n", "min", "max", (0.9 * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"))
 
 
 def densities(
@@ -38,8 +42,9 @@ def densities(
     (grid index), ``x``, ``density``, ``scaled``.
     """
     facet, keys = list(facet), list(keys)
-    ranges = samples.groupBy(*facet).agg(F.min(value).alias("__from"), F.max(value).alias("__to"))
-    shape = null_safe_join(bandwidths(samples, keys, value, group_rows), ranges, facet)
+    shape = small_or_self(bandwidths(samples, keys, value, group_rows))
+    ranges = shape.groupBy(*facet).agg(F.min("min").alias("__from"), F.max("max").alias("__to"))
+    shape = null_safe_join(shape.drop("min", "max"), ranges, facet)
     low, high = F.col("__from") - 4.0 * F.col("bw"), F.col("__to") + 4.0 * F.col("bw")
     # one row per group: held small when it is
     shape = small_or_self(shape.withColumns({"__low": low, "__delta": (high - low) / float(grid - 1)}))
@@ -55,9 +60,12 @@ def densities(
     )
     weights = cells.select(*keys, F.explode(halves).alias("h")).groupBy(*keys, F.col("h.bin").alias("bin")).agg(F.sum("h.w").alias("w"))
 
-    # at most `grid` bins per group: one array per group, then one row per grid point
+    # at most `grid` bins per group: one array per group, spread over the tasks by slices of the grid
     packed = weights.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "w"))).alias("__bins"))
-    points = null_safe_join(shape, packed, keys).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    slices = null_safe_join(shape, packed, keys).withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit((grid - 1) // SLICE))))
+    slices = slices.repartition(samples.sparkSession.sparkContext.defaultParallelism, *keys, "__slice")
+    first = F.col("__slice") * SLICE
+    points = slices.withColumn("i", F.explode(F.sequence(first, F.least(first + SLICE - 1, F.lit(grid - 1)))))
     points = points.withColumn("x", F.col("__from") + F.col("i") * (F.col("__to") - F.col("__from")) / float(grid - 1))
 
     def smooth(centre):

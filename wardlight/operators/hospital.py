@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,25 +166,42 @@ BUCKET_SECONDS = (30 * 86_400, 86_400, 3_600, 60, 1)
 BUCKET_ROWS = 4_096
 
 
-def _bucket(seconds: int) -> Column:
-    return F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (seconds * 1_000_000)).cast("long")
+def _bucket(events: DataFrame, seconds: int) -> Column:
+    """Time bucket of ``ts``.  A time without zone is counted in its own days and seconds: converting it through the
+    session zone would reorder events around a clock change."""
+    if events.schema["ts"].dataType.simpleString() == "timestamp_ntz":
+        ts = F.col("ts")
+        second = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+        total = F.unix_date(F.to_date(ts)).cast("long") * 86_400 + second
+    else:
+        total = F.unix_seconds("ts")
+    return F.floor(total / F.lit(seconds)).cast("long")
 
 
 def _bucket_sizes(events: DataFrame, key: str, seconds: int) -> tuple[int, int]:
     """(rows in the largest bucket, buckets of the busiest key) at a bucket width."""
-    counts = events.groupBy(key, _bucket(seconds).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts = events.groupBy(key, _bucket(events, seconds).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     per_key = counts.groupBy(key).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("buckets"))
     row = per_key.agg(F.max("n").alias("n"), F.max("buckets").alias("buckets")).first()
     return row["n"] or 1, row["buckets"] or 1
 
 
-def choose_bucket(events: DataFrame, key: str, bucket_rows: int = BUCKET_ROWS) -> tuple[int, int, int]:
-    """The widest bucket whose largest group stays within ``bucket_rows``: (seconds, largest group, buckets per key)."""
+@dataclass(frozen=True)
+class Buckets:
+    """A bucket width with the sizes found for it: rows of the largest bucket, buckets of the busiest key."""
+
+    seconds: int
+    rows: int
+    per_key: int
+
+
+def choose_bucket(events: DataFrame, key: str = "toilet_id", bucket_rows: int = BUCKET_ROWS) -> Buckets:
+    """The widest bucket whose largest group stays within ``bucket_rows`` (else the narrowest)."""
     for seconds in BUCKET_SECONDS:
-        rows, buckets = _bucket_sizes(events, key, seconds)
-        if rows <= bucket_rows:
+        found = Buckets(seconds, *_bucket_sizes(events, key, seconds))
+        if found.rows <= bucket_rows:
             break
-    return seconds, rows, buckets
+    return found
 
 
 def _compose_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int) -> DataFrame:
@@ -192,39 +210,42 @@ def _compose_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], r
     Doubling: round r composes with the row ``2^r`` back, so ``log2(rows)`` windows over one sort do it.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
+    a, b, m = F.col("a"), F.col("b"), F.col("m")
+    rest = [F.col(c) for c in df.columns if c not in ("a", "b", "m")]
     for r in range(max(0, math.ceil(math.log2(max(1, rows))))):
-        df = df.withColumns({f"__{c}": F.lag(c, 2**r).over(window) for c in ("a", "b", "m")})
-        df = df.withColumns(
-            {
-                "m": F.coalesce(F.least(F.col("m"), F.col("a") * F.col("__m") + F.col("b")), F.col("m")),
-                "b": F.coalesce(F.col("a") * F.col("__b") + F.col("b"), F.col("b")),
-                "a": F.coalesce(F.col("a") * F.col("__a"), F.col("a")),
-            }
-        ).drop("__a", "__b", "__m")
+        a0, b0, m0 = (F.lag(c, 2**r).over(window) for c in ("a", "b", "m"))
+        df = df.select(
+            *rest,
+            F.coalesce(a * a0, a).alias("a"),
+            F.coalesce(a * b0 + b, b).alias("b"),
+            F.coalesce(F.least(m, a * m0 + b), m).alias("m"),
+        )
     return df
 
 
-def contamination_levels(events: DataFrame, cleaning_effect: float = CLEANING_EFFECT, key: str = "toilet_id", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def contamination_levels(
+    events: DataFrame, cleaning_effect: float = CLEANING_EFFECT, key: str = "toilet_id", bucket_rows: int = BUCKET_ROWS, buckets: Buckets | None = None
+) -> DataFrame:
     """Every event with the contamination level of its toilet just before and just after it, starting from 0.
 
     A use by a colonised patient adds ``amount`` up to 1, a cleaning removes the share ``cleaning_effect``, any other
     use leaves the level.  Order is ``(ts, event_id)``.  One shuffle of the events, by (toilet, time bucket); the
-    bucket width is chosen from a count so that a busy toilet is spread over many tasks.
+    bucket width is chosen from a count (or given) so that a busy toilet is spread over many tasks.
     """
-    seconds, rows, buckets = choose_bucket(events, key, bucket_rows)
+    buckets = buckets or choose_bucket(events, key, bucket_rows)
     adds = (F.col("kind") == "use") & F.col("colonised")
     maps = events.withColumns(
         {
-            "__bucket": _bucket(seconds),
+            "__bucket": _bucket(events, buckets.seconds),
             "a": F.when(F.col("kind") == "clean", F.lit(1.0 - cleaning_effect)).otherwise(F.lit(1.0)),
             "b": F.when(adds, F.col("amount")).otherwise(F.lit(0.0)),
             "m": F.lit(1.0),
         }
     )
     in_bucket = Window.partitionBy(key, "__bucket").orderBy("ts", "event_id")
-    inside = _compose_running(maps, [key, "__bucket"], ["ts", "event_id"], rows)
+    inside = _compose_running(maps, [key, "__bucket"], ["ts", "event_id"], buckets.rows)
     inside = inside.withColumn("__last", F.lead("event_id").over(in_bucket).isNull())
-    whole = _compose_running(inside.filter("__last").select(key, "__bucket", "a", "b", "m"), [key], ["__bucket"], buckets)
+    whole = _compose_running(inside.filter("__last").select(key, "__bucket", "a", "b", "m"), [key], ["__bucket"], buckets.per_key)
     start = F.lag(F.least(F.col("m"), F.col("b"))).over(Window.partitionBy(key).orderBy("__bucket"))
     whole = whole.select(key, "__bucket", F.coalesce(start, F.lit(0.0)).alias("__start"))
     joined = inside.join(whole, [key, "__bucket"])
@@ -240,7 +261,9 @@ def final_levels(events: DataFrame, cleaning_effect: float = CLEANING_EFFECT, ke
     return levels.groupBy(key).agg(last.alias("level"), F.count(F.lit(1)).alias("events"))
 
 
-def exposure_asof(uses: DataFrame, levels: DataFrame, key: str = "toilet_id", level: str = "level_after", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def exposure_asof(
+    uses: DataFrame, levels: DataFrame, key: str = "toilet_id", level: str = "level_after", bucket_rows: int = BUCKET_ROWS, buckets: Buckets | None = None
+) -> DataFrame:
     """Each use with the latest level strictly before it in ``(ts, event_id)`` order; 0 when there is none.
 
     As-of join by union: both tables share one shuffle by (toilet, time bucket); the last level of earlier buckets is
@@ -249,16 +272,22 @@ def exposure_asof(uses: DataFrame, levels: DataFrame, key: str = "toilet_id", le
     both = uses.withColumn("__use", F.lit(True)).withColumn("__level", F.lit(None).cast("double")).unionByName(
         levels.select(key, "ts", "event_id", F.lit(False).alias("__use"), F.col(level).alias("__level")), allowMissingColumns=True
     )
-    seconds, _, _ = choose_bucket(both, key, bucket_rows)
-    both = both.withColumn("__bucket", _bucket(seconds))
-    known = F.col("__level").isNotNull()
-    parts = both.filter(known).groupBy(key, "__bucket").agg(F.max_by("__level", F.struct("ts", "event_id")).alias("__tail"))
-    # buckets with uses only must be there too
-    parts = both.select(key, "__bucket").distinct().join(parts, [key, "__bucket"], "left")
+    buckets = buckets or choose_bucket(both, key, bucket_rows)
+    both = both.withColumn("__bucket", _bucket(both, buckets.seconds))
+    ordered = Window.partitionBy(key, "__bucket").orderBy("ts", "event_id")
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumns(
+        {
+            "__seen": F.last("__level", ignorenulls=True).over(earlier),
+            "__tail": F.last("__level", ignorenulls=True).over(so_far),
+            "__closes": F.lead("event_id").over(ordered).isNull(),
+        }
+    )
+    parts = seen.filter("__closes").select(key, "__bucket", "__tail")
     parts = exclusive_running(parts, [key], ["__bucket"], {"__carried": ("last", "__tail")}).drop("__tail")
-    earlier = Window.partitionBy(key, "__bucket").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = both.withColumn("__seen", F.last("__level", ignorenulls=True).over(earlier)).filter("__use").join(parts, [key, "__bucket"])
-    return seen.select(*uses.columns, F.coalesce("__seen", "__carried", F.lit(0.0)).alias("exposure"))
+    found = seen.filter("__use").join(parts, [key, "__bucket"])
+    return found.select(*uses.columns, F.coalesce("__seen", "__carried", F.lit(0.0)).alias("exposure"))
 
 
 # ---- risk and schedules ----------------------------------------------------------------------------------------

@@ -21,34 +21,34 @@ def drop_burn_in(runs: DataFrame, burn_in: int = BURN_IN) -> DataFrame:
     return runs.filter(F.col("step") > burn_in)
 
 
-def has_gaps(runs: DataFrame, keys: Sequence[str] = RUN_KEYS) -> bool:
-    """Whether the kept steps of the runs differ from one common, gap-free range start.
+def common_first_step(runs: DataFrame, keys: Sequence[str] = RUN_KEYS) -> int | None:
+    """The step every run starts with, if all runs start together and none has a gap; otherwise None.
 
-    One narrow scan (keys and step only) with partial aggregation; one number comes to the driver.
+    One narrow scan (keys and step only) with partial aggregation; one row comes to the driver.
     """
     per_run = runs.groupBy(*keys).agg(F.min("step").alias("first"), F.max("step").alias("last"), F.count(F.lit(1)).alias("rows"))
-    broken = per_run.agg(
+    found = per_run.agg(
         F.count_if(F.col("last") - F.col("first") + 1 != F.col("rows")).alias("gaps"),
         F.min("first").alias("lowest"), F.max("first").alias("highest"),
     ).first()
-    return broken["gaps"] > 0 or broken["lowest"] != broken["highest"]
+    return found["lowest"] if found["gaps"] == 0 and found["lowest"] == found["highest"] else None
 
 
 def assign_dates(
-    runs: DataFrame, dates: str = "auto", burn_in: int = BURN_IN, origin: str = ORIGIN, keys: Sequence[str] = RUN_KEYS, out: str = "date_sim"
+    runs: DataFrame, dates: str = "auto", first_step: int = BURN_IN + 1, origin: str = ORIGIN, keys: Sequence[str] = RUN_KEYS, out: str = "date_sim"
 ) -> DataFrame:
     """Give every kept row a date: the first kept row of a run is ``origin``, one day per row after it.
 
     ``dates="position"`` counts rows inside the run (exact for any steps, one shuffle of the rows);
-    ``dates="gapless"`` computes the date from the step (no shuffle; right when every run has every step after the
-    burn-in); ``dates="auto"`` checks for gaps first and takes the cheaper right one.
+    ``dates="gapless"`` computes the date from the step (no shuffle; right when every run has every step from
+    ``first_step`` on); ``dates="auto"`` looks for gaps first and takes the cheaper right one.
     """
     if dates == "auto":
-        first = runs.agg(F.min("step")).first()[0]
-        dates = "position" if first is None or first != burn_in + 1 or has_gaps(runs, keys) else "gapless"
+        found = common_first_step(runs, keys)
+        dates, first_step = ("position", first_step) if found is None else ("gapless", found)
     start = F.to_date(F.lit(origin))
     if dates == "gapless":
-        return runs.withColumn(out, F.date_add(start, (F.col("step") - (burn_in + 1)).cast("int")))
+        return runs.withColumn(out, F.date_add(start, (F.col("step") - first_step).cast("int")))
     if dates != "position":
         raise ValueError("dates must be 'auto', 'position' or 'gapless'")
     placed = position_in_group(runs, keys, "step", out="__position")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from wardlight.operators import abc, design, rates, timeline
 from wardlight.operators.summary import mean_sd_band, quantile_band
-from wardlight.session import materialize
 
 # --- fixed values: stage settings ------------------------------------------------------------------------------
 STAGE_ONE_BEFORE = "2004-10-01"
@@ -48,11 +47,10 @@ def calibrate(runs: DataFrame, parameters: DataFrame, observed: DataFrame, tol:
     """One calibration stage.
 
     ``before`` cuts the observed series (stage one: the months before the outbreak); without it the whole observed
-    series is the target (stage two).  The statistics, about a thirtieth of the run output, are written once.
+    series is the target (stage two).
     """
     target = observed if before is None else timeline.before(observed, "month", before)
-    statistics = materialize(monthly_statistics(runs, dates), "monthly-statistics")
-    rejection = abc.reject(statistics, target, tol)
+    rejection = abc.reject(monthly_statistics(runs, dates), target, tol)
     return Calibration(rejection, rejection.parameters(parameters))
 
 
