@@ -74,7 +74,7 @@ def test_period_summary(observed):
 
 def test_parameter_means(parameters):
     means = {r["param"]: r["value"] for r in tables.param_means(parameters).collect()}
-    assert means == {"outbreak_start": 1029.962, "outbreak_end": 1246.789, "control_end": 1335.573, "toilet_cleaning_rate": 2.376}
+    assert means == {"outbreak_start": 1029.962, "outbreak_end": 1246.789, "control_end": 1335.573, "toilet_cleaning_rate": 2.371}
 
 
 def test_priors_from_posterior(posterior):

@@ -17,9 +17,12 @@ from wardlight.functions.scans import equal_width_bin, exclusive_running, null_s
 DIRECT_ROWS = 1_000_000
 
 
-def percentile(column: str | Column, prob: float) -> Column:
-    """Exact percentile as an aggregate, for groups known to be small."""
-    return F.percentile(column, F.lit(prob))
+def direct_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], more: Sequence[Column] = ()) -> DataFrame:
+    """Quantiles of groups known to be small, with further aggregates: one buffer per group for all quantiles."""
+    wanted = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()])).alias("__quantiles")
+    found = df.groupBy(*keys).agg(wanted, *more)
+    names = [F.col("__quantiles")[i].alias(name) for i, name in enumerate(probs)]
+    return found.select(*[F.col(c) for c in found.columns if c != "__quantiles"], *names)
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -40,7 +43,7 @@ def quantiles_by(
     if group_rows is None:
         group_rows = largest_group(df, keys)
     if group_rows <= direct_rows:
-        return df.groupBy(*keys).agg(*[percentile(value, p).alias(name) for name, p in probs.items()])
+        return direct_quantiles(df, keys, value, probs)
     return select_quantiles(df, keys, value, probs, rounds=rounds, bins=bins)
 
 

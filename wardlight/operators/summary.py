@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.functions.quantiles import DIRECT_ROWS, largest_group, percentile, select_quantiles
+from wardlight.functions.quantiles import DIRECT_ROWS, direct_quantiles, largest_group, select_quantiles
 from wardlight.functions.scalar import number_text, title_case
 from wardlight.functions.scans import null_safe_join
 from wardlight.functions.selectors import any_of, prefix_unprefixed
@@ -66,7 +66,7 @@ def describe_by(
     if group_rows is None:
         group_rows = largest_group(df, keys)
     if group_rows <= DIRECT_ROWS:
-        return df.groupBy(*keys).agg(*[percentile(value, p).alias(n) for n, p in probs.items()], *wanted)
+        return direct_quantiles(df, keys, value, probs, wanted)
     chosen = select_quantiles(df, keys, value, probs)
     return null_safe_join(df.groupBy(*keys).agg(*wanted), chosen, keys) if wanted else chosen
 
