@@ -346,15 +346,14 @@ def scheduled_parameters(days: DataFrame, design: DataFrame, outbreak: bool = Tr
 def period_lookup(points: DataFrame, periods: DataFrame, at: str, values: Sequence[str]) -> DataFrame:
     """Values of the highest-priority period covering each point (``t_from < t <= t_to``).
 
-    For a short period table of its own (its size is checked before it is broadcast).  The periods become one array
-    next to each point, so a point stays one row.
+    For one short period table (its size is checked).  It comes as one array from a subquery, so a point stays one
+    row and no join is planned.
     """
     limit = 10_000
     if periods.limit(limit + 1).count() > limit:
         raise ValueError("period_lookup takes a short schedule; use scheduled_parameters for one schedule per run")
-    packed = periods.agg(F.sort_array(F.collect_list(F.struct((-F.col("priority")).alias("order"), "name", "t_from", "t_to", *values))).alias("__periods"))
-    # one row, however many points
-    joined = points.withColumn("__one", F.lit(1)).join(F.broadcast(packed.withColumn("__one", F.lit(1))), "__one")
+    packed = periods.agg(F.sort_array(F.collect_list(F.struct((-F.col("priority")).alias("order"), "name", "t_from", "t_to", *values))))
+    joined = points.withColumn("__periods", packed.scalar())
     covering = F.filter("__periods", lambda p: (F.col(at) > p["t_from"]) & (F.col(at) <= p["t_to"]))
     best = joined.withColumn("__best", F.get(covering, F.lit(0)))
     return best.select(*points.columns, F.col("__best.name").alias("period"), *[F.col(f"__best.{v}").alias(v) for v in values])
