@@ -8,7 +8,7 @@ from wardlight.catalog.blocks import PRE, real, with_blocks
 from wardlight.catalog.registry import Registry
 from wardlight.catalog.series import _rates, _stats
 from wardlight.catalog.shapes import OCP, POSTERIOR, _returns
-from wardlight.operators import abc, density, rates, summary
+from wardlight.operators import abc, density, summary
 from wardlight.operators.reshape import pivot_longer
 from wardlight.plans import calibration, checks
 from wardlight.session import materialize, small_or_self
@@ -93,8 +93,8 @@ def e10_posterior_table(spark, sf):
 
 def _sensitivity_cases(spark, sf):
     """Outbreak cases of four one-parameter experiments; each has its own value column."""
-    rows = checks.sensitivity_runs(derived.runs(spark, sf), derived.sensitivity_design(spark, sf), derived.posterior(spark, sf), "gapless")
-    cases = materialize(rates.outbreak_cases(rows, ["random_seed", "arm", "level"]), "cases")
+    parts = checks.sensitivity_parts(derived.runs(spark, sf), derived.posterior(spark, sf), "gapless")
+    cases = checks.pooled_cases(parts, derived.sensitivity_design(spark, sf), ["arm", "level"])
     names = list(summary.SENSITIVITY_LABELS)
     return {n: cases.filter(F.col("arm") == i).select("random_seed", F.col("level").alias(n), "outbreak_cases") for i, n in enumerate(names)}
 
@@ -168,16 +168,17 @@ def r5_predictive_summary(spark, sf):
     return periods
 
 
-def _windowed(spark, sf):
-    return checks.sensitivity_runs(derived.runs(spark, sf), derived.sensitivity_design(spark, sf), derived.posterior(spark, sf), "gapless")
+def _curves(spark, sf):
+    parts = checks.sensitivity_parts(derived.runs(spark, sf), derived.posterior(spark, sf), "gapless")
+    return checks.sensitivity_curves(parts, derived.sensitivity_design(spark, sf), ["arm", "level"])
 
 
 def r6_sensitivity_rates(spark, sf):
-    return checks.sensitivity_curve(_windowed(spark, sf), ["arm", "level"])[0]
+    return _curves(spark, sf)[0]
 
 
 def r6_sensitivity_cases(spark, sf):
-    return checks.sensitivity_curve(_windowed(spark, sf), ["arm", "level"])[1]
+    return _curves(spark, sf)[1]
 
 
 def r7_two_stage(spark, sf):

@@ -126,7 +126,7 @@ def e3_windowed_rate(spark, sf):
 
 def e4_two_level_mean(spark, sf):
     rows = _dated(spark, sf).join(_levels(spark, sf), "siminputrow")
-    return rates.two_level_mean(rates.monthly_rate(rows, ["random_seed", "level"]), "level")
+    return rates.two_level_mean(rates.monthly_rate(rows, ["random_seed", "level"]), ["level"])
 
 
 def e5_outbreak_cases(spark, sf):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wardlight.functions.scans import equal_width_bin, exclusive_running, null_safe_join
 
-DIRECT_ROWS = 1_000_000
+DIRECT_ROWS = 100_000
 
 
 def direct_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], more: Sequence[Column] = ()) -> DataFrame:

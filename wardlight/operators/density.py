@@ -54,13 +54,11 @@ def densities(
     cells = null_safe_join(samples.select(*keys, value), shape.select(*keys, "__low", "__delta"), keys)
     cells = cells.withColumn("__at", at).withColumn("__bin", F.floor("__at"))
     share = F.col("__at") - F.col("__bin")
-    halves = F.array(
-        F.struct(F.col("__bin").cast("int").alias("bin"), (1.0 - share).alias("w")),
-        F.struct((F.col("__bin") + 1).cast("int").alias("bin"), share.alias("w")),
-    )
-    weights = cells.select(*keys, F.explode(halves).alias("h")).groupBy(*keys, F.col("h.bin").alias("bin")).agg(F.sum("h.w").alias("w"))
+    left = cells.groupBy(*keys, "__bin").agg(F.sum(1.0 - share).alias("__here"), F.sum(share).alias("__next"))
+    halves = F.array(F.struct(F.col("__bin").alias("bin"), F.col("__here").alias("w")), F.struct((F.col("__bin") + 1).alias("bin"), F.col("__next").alias("w")))
+    weights = left.select(*keys, F.explode(halves).alias("h")).select(*keys, "h.bin", "h.w")
 
-    # at most `grid` bins per group: one array per group, spread over the tasks by slices of the grid
+    # at most two weights for each of `grid` bins per group: one array per group, spread over the tasks by slices of the grid
     packed = weights.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "w"))).alias("__bins"))
     slices = null_safe_join(shape, packed, keys).withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit((grid - 1) // SLICE))))
     slices = slices.repartition(samples.sparkSession.sparkContext.defaultParallelism, *keys, "__slice")

@@ -15,6 +15,35 @@ INFECTIONS = "total_hospital_infections"
 OCCUPIED = "current_inpatients"
 
 
+def monthly_parts(dated: DataFrame, keys: Sequence[str] = RUN_KEYS, counter: str = INFECTIONS, occupied: str = OCCUPIED, date: str = "date_sim") -> DataFrame:
+    """Per group and month: last and first value of the counter, patient-days, days.
+
+    All four combine before the shuffle (a run with a third of the rows sends one row per month and task), and combine
+    again when groups are pooled later.
+    """
+    return dated.groupBy(*keys, month_key(date).alias("month")).agg(
+        F.max(counter).alias("last"), F.min(counter).alias("first"), F.sum(occupied).alias("occupied"), F.count(F.lit(1)).alias("n_days")
+    )
+
+
+def pool_parts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Parts of larger groups from the parts of smaller ones; without ``month`` in ``keys`` over all months."""
+    return parts.groupBy(*keys).agg(F.max("last").alias("last"), F.min("first").alias("first"), F.sum("occupied").alias("occupied"), F.sum("n_days").alias("n_days"))
+
+
+def rate_of_parts(parts: DataFrame, keys: Sequence[str], boundary: str = "month") -> DataFrame:
+    """Infections per 1000 patient-days from monthly parts; see ``monthly_rate``."""
+    first = F.col("first")
+    if boundary == "carry":
+        # one row per group and month: the window is as long as the calendar
+        previous = F.lag("last").over(Window.partitionBy(*keys).orderBy("month"))
+        first = F.coalesce(previous, first)
+    elif boundary != "month":
+        raise ValueError("boundary must be 'month' or 'carry'")
+    rate = F.try_divide((F.col("last") - first).cast("double"), F.col("occupied").cast("double")) * 1000.0
+    return parts.select(*keys, "month", rate.alias("rate"), "n_days")
+
+
 def monthly_rate(
     dated: DataFrame, keys: Sequence[str] = RUN_KEYS, boundary: str = "month", counter: str = INFECTIONS, occupied: str = OCCUPIED, date: str = "date_sim"
 ) -> DataFrame:
@@ -23,22 +52,8 @@ def monthly_rate(
     The numerator is ``max - min`` of the cumulative counter.  ``boundary="month"`` takes both inside the month, so an
     increment between the last day of a month and the first of the next is not counted; ``boundary="carry"`` starts
     from the last value of the previous month.  A month without patient-days gets null.
-
-    max, min, sum and count are all combined before the shuffle: a run with a third of the rows sends one row per
-    month and task.
     """
-    monthly = dated.groupBy(*keys, month_key(date).alias("month")).agg(
-        F.max(counter).alias("__last"), F.min(counter).alias("__first"), F.sum(occupied).alias("__occupied"), F.count(F.lit(1)).alias("n_days")
-    )
-    first = F.col("__first")
-    if boundary == "carry":
-        # one row per run and month: the window is as long as the calendar
-        previous = F.lag("__last").over(Window.partitionBy(*keys).orderBy("month"))
-        first = F.coalesce(previous, first)
-    elif boundary != "month":
-        raise ValueError("boundary must be 'month' or 'carry'")
-    rate = F.try_divide((F.col("__last") - first).cast("double"), F.col("__occupied").cast("double")) * 1000.0
-    return monthly.select(*keys, "month", rate.alias("rate"), "n_days")
+    return rate_of_parts(monthly_parts(dated, keys, counter, occupied, date), keys, boundary)
 
 
 def mean_over_seeds(rates: DataFrame, keys: Sequence[str] = ("siminputrow",)) -> DataFrame:
@@ -46,10 +61,10 @@ def mean_over_seeds(rates: DataFrame, keys: Sequence[str] = ("siminputrow",)) ->
     return rates.groupBy(*keys, "month").agg(F.avg("rate").alias("rate"))
 
 
-def two_level_mean(rates: DataFrame, value: str, seed: str = "random_seed") -> DataFrame:
+def two_level_mean(rates: DataFrame, value: Sequence[str], seed: str = "random_seed") -> DataFrame:
     """Mean over months per (value, seed), then mean and sd over seeds per value."""
-    per_seed = rates.groupBy(value, seed).agg(F.avg("rate").alias("rate"))
-    return per_seed.groupBy(value).agg(F.avg("rate").alias("mean_rate"), F.stddev_samp("rate").alias("sd_rate"))
+    per_seed = rates.groupBy(*value, seed).agg(F.avg("rate").alias("rate"))
+    return per_seed.groupBy(*value).agg(F.avg("rate").alias("mean_rate"), F.stddev_samp("rate").alias("sd_rate"))
 
 
 def outbreak_cases(windowed: DataFrame, keys: Sequence[str], counter: str = INFECTIONS) -> DataFrame:

@@ -29,21 +29,33 @@ def predictive_check(runs: DataFrame, observed: DataFrame, dates: str = "auto",
     return band, summary.period_summary(monthly, "month", "rate", *OUTBREAK)
 
 
-def sensitivity_runs(runs: DataFrame, levels: DataFrame, posterior: DataFrame, dates: str = "auto") -> DataFrame:
-    """Dated run rows inside the outbreak step window, with the varied value of their parameter set."""
+def sensitivity_parts(runs: DataFrame, posterior: DataFrame, dates: str = "auto") -> DataFrame:
+    """Monthly parts of every run inside the outbreak step window, written once.
+
+    The only pass over the daily rows.  Everything a sensitivity curve needs is a maximum, a minimum or a sum, so the
+    varied value is joined to these reduced rows, not to the daily ones.
+    """
     dated = timeline.assign_dates(timeline.drop_burn_in(runs), dates)
-    return timeline.in_step_window(dated, timeline.step_window(posterior)).join(small_or_self(levels), "siminputrow")
+    inside = timeline.in_step_window(dated, timeline.step_window(posterior))
+    return materialize(rates.monthly_parts(inside), "sensitivity-parts")
 
 
-def sensitivity_curve(windowed: DataFrame, value: Sequence[str], seed: str = "random_seed") -> tuple[DataFrame, DataFrame]:
-    """(mean and sd of the rate per value, mean and sd of the outbreak cases per value).
+def pooled_rates(parts: DataFrame, levels: DataFrame, value: Sequence[str], seed: str = "random_seed") -> DataFrame:
+    """Monthly rate per seed and value.  Sets that share a value are pooled, as the study groups by value."""
+    keys = [seed, *value]
+    joined = parts.join(small_or_self(levels), "siminputrow")
+    return rates.rate_of_parts(rates.pool_parts(joined, [*keys, "month"]), keys)
 
-    Rates are grouped by value, not by parameter set: sets that share a value are pooled.
-    """
-    value = list(value)
-    monthly = rates.monthly_rate(windowed, [seed, *value])
-    per_seed = monthly.groupBy(*value, seed).agg(F.avg("rate").alias("rate"))
-    curve = per_seed.groupBy(*value).agg(F.avg("rate").alias("mean_rate"), F.stddev_samp("rate").alias("sd_rate"))
-    cases = rates.outbreak_cases(windowed, [seed, *value])
-    case_curve = cases.groupBy(*value).agg(F.avg("outbreak_cases").alias("mean_cases"), F.stddev_samp("outbreak_cases").alias("sd_cases"))
-    return curve, case_curve
+
+def pooled_cases(parts: DataFrame, levels: DataFrame, value: Sequence[str], seed: str = "random_seed") -> DataFrame:
+    """Outbreak cases (rise of the counter over the window) per seed and value."""
+    joined = parts.join(small_or_self(levels), "siminputrow")
+    pooled = rates.pool_parts(joined, [seed, *value])
+    return pooled.select(seed, *value, (F.col("last") - F.col("first")).alias("outbreak_cases"))
+
+
+def sensitivity_curves(parts: DataFrame, levels: DataFrame, value: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(mean and sd of the rate per value, mean and sd of the outbreak cases per value)."""
+    curve = rates.two_level_mean(pooled_rates(parts, levels, value), value)
+    cases = pooled_cases(parts, levels, value).groupBy(*value)
+    return curve, cases.agg(F.avg("outbreak_cases").alias("mean_cases"), F.stddev_samp("outbreak_cases").alias("sd_cases"))
