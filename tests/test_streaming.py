@@ -33,8 +33,15 @@ def test_monthly_stream_over_batches(spark, tmp_path):
 EVENTS = "toilet_id long, event_id long, ts timestamp, kind string, colonised boolean, amount double"
 
 
+@pytest.fixture(params=["UTC", "America/New_York"])
+def zone(request, spark):
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 @pytest.mark.parametrize("batches", [1, 4])
-def test_contamination_stream_over_batches(spark, tmp_path, batches):
+def test_contamination_stream_over_batches(spark, tmp_path, batches, zone):
     source, out, checkpoint = (str(tmp_path / n) for n in ("source", "out", "checkpoint"))
     rng = random.Random(4)
     start = dt.datetime(2024, 1, 1)

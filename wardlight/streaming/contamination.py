@@ -9,6 +9,7 @@ from typing import Any
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wardlight.operators.hospital import CLEANING_EFFECT
@@ -16,9 +17,11 @@ from wardlight.operators.hospital import CLEANING_EFFECT
 # workers get the processor itself, so they need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-OUTPUT = "toilet_id long, event_id long, ts timestamp, level_before double, level_after double"
-_BUFFER = "ts timestamp, event_id long, kind string, colonised boolean, amount double"
-_COLUMNS = ["ts", "event_id", "kind", "colonised", "amount"]
+# Times cross into Python as microseconds since the epoch: pandas would get them in the session's local time, while
+# watermarks are in epoch milliseconds.
+OUTPUT = "toilet_id long, event_id long, micros long, level_before double, level_after double"
+_BUFFER = "micros long, event_id long, kind string, colonised boolean, amount double"
+_COLUMNS = ["micros", "event_id", "kind", "colonised", "amount"]
 
 
 def step_level(level: float, kind: str, colonised: bool, amount: float, effect: float) -> float:
@@ -46,12 +49,11 @@ class ContaminationReplay(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
         for pdf in rows:
-            millis = pdf["ts"].astype("datetime64[us]").astype("int64") // 1000
-            fresh = pdf[millis > watermark]
+            fresh = pdf[pdf["micros"] // 1000 > watermark]
             if len(fresh):
                 self._buffer.appendList(list(fresh[_COLUMNS].itertuples(index=False, name=None)))
                 # fires once the watermark reaches the earliest new row
-                self._handle.registerTimer(int(millis[millis > watermark].min()))
+                self._handle.registerTimer(int(fresh["micros"].min() // 1000))
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -59,13 +61,12 @@ class ContaminationReplay(StatefulProcessor):
         held = pd.DataFrame(list(self._buffer.get()), columns=_COLUMNS)
         if held.empty:
             return iter([])
-        millis = pd.to_datetime(held["ts"]).astype("datetime64[us]").astype("int64") // 1000
-        ready = held[millis <= watermark].sort_values(["ts", "event_id"])
-        waiting = held[millis > watermark]
+        passed = held["micros"] // 1000 <= watermark
+        ready, waiting = held[passed].sort_values(["micros", "event_id"]), held[~passed]
         self._buffer.clear()
         if len(waiting):
             self._buffer.put(list(waiting.itertuples(index=False, name=None)))
-            self._handle.registerTimer(int(millis[millis > watermark].min()))
+            self._handle.registerTimer(int(waiting["micros"].min() // 1000))
         if ready.empty:
             return iter([])
         level = self._level.get()[0] if self._level.exists() else 0.0
@@ -76,7 +77,7 @@ class ContaminationReplay(StatefulProcessor):
             after.append(level)
         self._level.update((level,))
         out = pd.DataFrame(
-            {"toilet_id": key[0], "event_id": ready["event_id"].to_numpy(), "ts": ready["ts"].to_numpy(), "level_before": before, "level_after": after}
+            {"toilet_id": key[0], "event_id": ready["event_id"].to_numpy(), "micros": ready["micros"].to_numpy(), "level_before": before, "level_after": after}
         )
         return iter([out])
 
@@ -86,7 +87,8 @@ class ContaminationReplay(StatefulProcessor):
 
 def contamination_stream(events: DataFrame, delay: str = "1 hour", effect: float = CLEANING_EFFECT) -> DataFrame:
     """Levels of a stream of toilet events (append mode, event time ``ts``)."""
-    watched = events.withWatermark("ts", delay).groupBy("toilet_id")
-    return watched.transformWithStateInPandas(
+    timed = events.withWatermark("ts", delay).withColumn("micros", F.unix_micros("ts"))
+    levels = timed.groupBy("toilet_id").transformWithStateInPandas(
         statefulProcessor=ContaminationReplay(effect), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
     )
+    return levels.select("toilet_id", "event_id", F.timestamp_micros("micros").alias("ts"), "level_before", "level_after")
