@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from wardlight.catalog.blocks import real, with_blocks
@@ -107,6 +109,23 @@ def l11_period_lookup(spark, sf):
     return found.groupBy("siminputrow", "period", "cleaning_rate").agg(F.count(F.lit(1)).alias("rows"), F.min("step").cast("long").alias("first_step"))
 
 
+@contextmanager
+def _stream_settings(spark):
+    """RocksDB state and one state partition per core while a stream starts; state partitions are not coalesced."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism),
+    }
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def t1_monthly_stream(spark, sf):
     """Daily rows written as files, one day range written twice, read as a stream; equals the batch rate."""
     rows = timeline.assign_dates(timeline.drop_burn_in(derived.runs(spark, sf)), "gapless")
@@ -117,7 +136,8 @@ def t1_monthly_stream(spark, sf):
     spark.read.parquet(source).filter(F.year("ts") == 2003).write.mode("append").parquet(source)
     stream = spark.readStream.schema(rows.schema).parquet(source)
     out = scratch_path(spark, "t1-out")
-    monthly.start_monthly(stream, out, scratch_path(spark, "t1-checkpoint")).awaitTermination()
+    with _stream_settings(spark):
+        monthly.start_monthly(stream, out, scratch_path(spark, "t1-checkpoint")).awaitTermination()
     return monthly.latest_rates(spark, out)
 
 
@@ -129,14 +149,9 @@ def t2_contamination_stream(spark, sf):
     stream = spark.readStream.schema(events.schema).parquet(source)
     out = scratch_path(spark, "t2-out")
     levels = contamination.contamination_stream(stream, "1 hour")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        query = levels.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "t2-checkpoint")).outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        spark.conf.set(provider, before)
+    with _stream_settings(spark):
+        sink = levels.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "t2-checkpoint"))
+        sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("toilet_id", "event_id", "level_before", "level_after")
 
 
