@@ -84,14 +84,21 @@ def test_describe_takes_both_paths(spark, monkeypatch):
 # ---- timelines and rates ----------------------------------------------------------------------------------------
 
 
-def test_auto_dates_follow_position_when_a_run_has_a_gap(spark):
-    rows = [(1, 1, s) for s in range(32, 60)] + [(1, 2, s) for s in range(32, 60) if s != 40]
+@pytest.mark.parametrize("case", ["regular", "one gap", "late start", "all odd"])
+def test_auto_dates_equal_dates_by_position(spark, case):
+    runs = {(1, 1): range(32, 60), (1, 2): range(32, 60), (2, 1): range(32, 50)}
+    if case == "one gap":
+        runs[(1, 2)] = [s for s in range(32, 60) if s != 40]
+    elif case == "late start":
+        runs[(1, 2)] = range(45, 60)
+    elif case == "all odd":
+        runs = {k: [s for s in v if s % 7] for k, v in runs.items()}
+    rows = [(*k, s) for k, v in runs.items() for s in v]
     df = spark.createDataFrame(rows, "siminputrow long, random_seed long, step int")
-    assert timeline.common_first_step(df) is None
-    dated = {(r["random_seed"], r["step"]): r["date_sim"] for r in timeline.assign_dates(df).collect()}
-    assert dated[(1, 59)] == dt.date(2002, 1, 28)
-    assert dated[(2, 59)] == dt.date(2002, 1, 27)
-    assert timeline.common_first_step(df.filter("random_seed = 1")) == 32
+    got = rows_of(timeline.assign_dates(df), "siminputrow", "random_seed", "step", "date_sim")
+    assert got == rows_of(timeline.assign_dates(df, "position"), "siminputrow", "random_seed", "step", "date_sim")
+    want = sorted((*k, s, dt.date(2002, 1, 1) + dt.timedelta(days=i)) for k, v in runs.items() for i, s in enumerate(v))
+    assert got == want
 
 
 def test_rate_without_patient_days_is_null_and_carry_counts_the_boundary(spark):

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.functions.scalar import month_date, pad_number, round_half_even
-from wardlight.functions.scans import position_in_group
+from wardlight.functions.scans import null_safe_join, position_in_group
 from wardlight.schema import RUN_KEYS
+from wardlight.session import small_or_self
 
 BURN_IN = 31
 ORIGIN = "2002-01-01"
@@ -21,17 +22,19 @@ def drop_burn_in(runs: DataFrame, burn_in: int = BURN_IN) -> DataFrame:
     return runs.filter(F.col("step") > burn_in)
 
 
-def common_first_step(runs: DataFrame, keys: Sequence[str] = RUN_KEYS) -> int | None:
-    """The step every run starts with, if all runs start together and none has a gap; otherwise None.
-
-    One narrow scan (keys and step only) with partial aggregation; one row comes to the driver.
-    """
+def _profile(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per run: first step and whether every step up to the last is there.  Reads keys and step only."""
     per_run = runs.groupBy(*keys).agg(F.min("step").alias("first"), F.max("step").alias("last"), F.count(F.lit(1)).alias("rows"))
-    found = per_run.agg(
-        F.count_if(F.col("last") - F.col("first") + 1 != F.col("rows")).alias("gaps"),
-        F.min("first").alias("lowest"), F.max("first").alias("highest"),
-    ).first()
-    return found["lowest"] if found["gaps"] == 0 and found["lowest"] == found["highest"] else None
+    return per_run.select(*keys, "first", (F.col("last") - F.col("first") + 1 == F.col("rows")).alias("whole"))
+
+
+def _by_step(runs: DataFrame, first_step: int, origin: str, out: str) -> DataFrame:
+    return runs.withColumn(out, F.date_add(F.to_date(F.lit(origin)), (F.col("step") - first_step).cast("int")))
+
+
+def _by_position(runs: DataFrame, keys: Sequence[str], origin: str, out: str) -> DataFrame:
+    placed = position_in_group(runs, keys, "step", out="__position")
+    return placed.withColumn(out, F.date_add(F.to_date(F.lit(origin)), (F.col("__position") - 1).cast("int"))).drop("__position")
 
 
 def assign_dates(
@@ -41,18 +44,24 @@ def assign_dates(
 
     ``dates="position"`` counts rows inside the run (exact for any steps, one shuffle of the rows);
     ``dates="gapless"`` computes the date from the step (no shuffle; right when every run has every step from
-    ``first_step`` on); ``dates="auto"`` looks for gaps first and takes the cheaper right one.
+    ``first_step`` on).  ``dates="auto"`` profiles the runs first (one narrow scan, one row to the driver): runs that
+    have all steps from the common first one take the arithmetic, only the others are counted by position.
     """
-    if dates == "auto":
-        found = common_first_step(runs, keys)
-        dates, first_step = ("position", first_step) if found is None else ("gapless", found)
-    start = F.to_date(F.lit(origin))
     if dates == "gapless":
-        return runs.withColumn(out, F.date_add(start, (F.col("step") - first_step).cast("int")))
-    if dates != "position":
+        return _by_step(runs, first_step, origin, out)
+    if dates == "position":
+        return _by_position(runs, keys, origin, out)
+    if dates != "auto":
         raise ValueError("dates must be 'auto', 'position' or 'gapless'")
-    placed = position_in_group(runs, keys, "step", out="__position")
-    return placed.withColumn(out, F.date_add(start, (F.col("__position") - 1).cast("int"))).drop("__position")
+    common = F.min(F.when(F.col("whole"), F.col("first")))
+    found = _profile(runs, keys).agg(common.alias("common"), F.bool_and("whole").alias("whole"), F.max("first").alias("latest")).first()
+    if found["common"] is None:
+        return _by_position(runs, keys, origin, out)
+    if found["whole"] and found["latest"] == found["common"]:
+        return _by_step(runs, found["common"], origin, out)
+    odd = small_or_self(_profile(runs, keys).filter(~F.col("whole") | (F.col("first") != found["common"])).select(*keys))
+    regular, irregular = null_safe_join(runs, odd, keys, "left_anti"), null_safe_join(runs, odd, keys, "left_semi")
+    return _by_step(regular, found["common"], origin, out).unionByName(_by_position(irregular, keys, origin, out))
 
 
 def calendar_split(df: DataFrame, date: str = "date_sim") -> DataFrame:
