@@ -5,8 +5,10 @@ from compare import compare, connect
 from conftest import SF
 
 import __spark_entry__ as contract
+from wardlight.catalog import build_registry
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+REGISTRY = build_registry()
+QUERIES, SQL = REGISTRY.queries, REGISTRY.sql
 ROWS_ONLY = {"b1_design_random_rows", "r7_two_stage"}
 
 
@@ -32,6 +34,8 @@ def test_random_queries_have_rows(spark, name):
 def test_only_random_queries_lack_sql():
     assert set(QUERIES) - set(SQL) == ROWS_ONLY
     assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql())
 
 
 def test_entry(spark):
