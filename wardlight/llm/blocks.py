@@ -86,7 +86,8 @@ def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     packed = rows.mapInArrow(_pack(block_bytes), "block long, ids binary, sizes binary, data binary")
     name = f"blocks_{uuid.uuid4().hex}"
-    buckets = max(4, rows.rdd.getNumPartitions())
+    # no fewer buckets than shuffle partitions, or a join would move the blocks to that many
+    buckets = max(4, rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed.write.option("path", scratch_path(spark, name)).bucketBy(buckets, "block").saveAsTable(name)
     return spark.table(name)
 

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardlight.llm.blocks import documents
+from wardlight.llm.decontaminate import contamination
+from wardlight.llm.fingerprints import fingerprint_documents
+from wardlight.llm.quality import score_quality
+from wardlight.llm.secret_scan import RULES, listed, scan
+from wardlight.llm.suffix_dedup import remove_repeated_bytes
 from wardlight.llm.window_dedup import remove_repeated_windows
+from wardlight.session import scratch_path
 
 QUERIES, SQL = {}, {}
 
@@ -26,3 +32,77 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS
        sha256(coalesce(list_aggregate(list_filter(words, lambda x, i: NOT list_contains(coalesce(gone, []), i)), 'string_agg', ' '), '')) AS kept_sha256
 FROM w LEFT JOIN gone USING (doc_id)
 """
+
+
+def op2_suffix_array_dedup(spark, sf_dir):
+    return remove_repeated_bytes(documents(spark, sf_dir)).drop("kept")
+
+
+QUERIES["op2_suffix_array_dedup"] = op2_suffix_array_dedup
+
+
+def op4_decontamination(spark, sf_dir):
+    found = contamination(documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+QUERIES["op4_decontamination"] = op4_decontamination
+SQL["op4_decontamination"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS p FROM b WHERE len(w) > 0),
+q AS (SELECT item_id, list_aggregate(w[p:p + 12], 'string_agg', ' ') AS win, len(w[p:p + 12]) AS n FROM p),
+lens AS (SELECT DISTINCT n FROM q),
+dp AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lens WHERE len(w) >= n),
+dw AS (SELECT doc_id, p, n, list_aggregate(w[p:p + n - 1], 'string_agg', ' ') AS win FROM dp),
+hit AS (SELECT doc_id, p, dw.n, item_id FROM dw JOIN q ON dw.win = q.win),
+pos AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS pos FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
+def op9_secret_scan(spark, sf_dir):
+    found = scan(documents(spark, sf_dir).select("doc_id", "text"), scratch_path(spark, "ledger"))
+    spans = listed(F.col("findings"))
+
+    def count(kind):
+        return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(r.kind) for r in RULES]
+    return found.select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def _spans_sql(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""
+SELECT doc_id, {rank} AS rank, '{kind}' AS kind, hits, parts, gaps, unnest(range(1, len(hits) + 1)) AS i, {least} AS least FROM (
+  SELECT doc_id, regexp_extract_all(t, '{quoted}') AS hits, regexp_extract_all(t, '{quoted}', {group}) AS parts, string_split_regex(t, '{quoted}') AS gaps FROM t)"""
+
+
+QUERIES["op9_secret_scan"] = op9_secret_scan
+SQL["op9_secret_scan"] = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_spans_sql(r.kind, k, r.pattern, r.group, r.least) for k, r in enumerate(RULES, 1))}),
+s AS (SELECT doc_id, rank, kind, parts[i] AS part, least, hits[i] AS hit, len(list_aggregate(gaps[1:i], 'string_agg', '')) + coalesce(len(list_aggregate(hits[1:i - 1], 'string_agg', '')), 0) AS a FROM m),
+k AS (SELECT doc_id, rank, kind, a, kind || ':' || a || ':' || (a + len(hit)) AS span FROM s WHERE len(part) >= least),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY a, rank) AS spans FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN g USING (doc_id)
+"""
+
+
+def op1_quality_classifier(spark, sf_dir):
+    return score_quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+QUERIES["op1_quality_classifier"] = op1_quality_classifier
+
+
+def op8_fingerprints(spark, sf_dir):
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
+QUERIES["op8_fingerprints"] = op8_fingerprints
