@@ -132,11 +132,11 @@ def fingerprints(block: Block, keys: np.ndarray, inside: np.ndarray) -> tuple[np
         draw = mix(term ^ seeds[s])
         for r in range(3):
             keep = (draw >> (U64(63) - (shift[doc] + U64(r)))) < U64(2)  # a rate of 2 ** -(low + r)
-            t, d, draw2 = term[keep], doc[keep], draw[keep]
-            if not len(t):
+            d, drawn = doc[keep], draw[keep]
+            if not len(d):
                 break
             start = np.flatnonzero(np.diff(d, prepend=-1))
-            h = mix(np.add.reduceat(mix(draw2 * U64(0x9E3779B97F4A7C15) + U64(r + 1)), start))
+            h = mix(np.add.reduceat(mix(drawn * U64(0x9E3779B97F4A7C15)), start))
             out[d[start], r, s] = (h >> U64(48)).astype(np.uint16) | 1
     return low, out, size
 
