@@ -1,2 +1,69 @@
-STAGES=[]; ORACLE_SQL=None
-def run(spark, sf_dir): ...
+"""A training corpus in five stages: quality, near duplicates, benchmark passages, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the shared folder and
+gives what it reads back to the next stage. The first four return the columns of ``documents``; the last returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardlight.llm.blocks import documents
+from wardlight.llm.decontaminate import contamination
+from wardlight.llm.ngram_join import similar_documents
+from wardlight.llm.packing import pack_documents
+from wardlight.llm.quality import score_quality
+from wardlight.llm.secret_scan import redact, scan
+from wardlight.llm.tokens import byte_vocabulary
+from wardlight.session import materialize, scratch_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for good ones; rows without a doc_id are kept with no label to judge them by."""
+    rejected = score_quality(docs, documents(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links connect, the one with the smallest doc_id. Repeated rows of it become one."""
+    groups = similar_documents(docs)
+    kept = groups.where("component_id = doc_id").select("doc_id").distinct()
+    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows cover less than a twentieth."""
+    return contamination(docs, documents(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret; n_chars follows the new text."""
+    found = scan(docs, scratch_path(spark, "pipeline-ledger"))
+    text = redact(F.col("text"), F.col("findings"))
+    changed = found.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.when(F.size("findings") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return changed.select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens."""
+    return pack_documents(docs, byte_vocabulary(), window=2048, end=1)
+
+
+STAGES = [
+    ("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination),
+    ("secret scans", secrets), ("packing", packing),
+]
+
+# A classifier and a packing of tokens are beyond SQL; the stages are tested against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 from wardlight.llm.blocks import documents
 from wardlight.llm.decontaminate import contamination
 from wardlight.llm.fingerprints import fingerprint_documents
+from wardlight.llm.html_extract import extract_text
+from wardlight.llm.ngram_join import similar_documents
+from wardlight.llm.packing import pack_documents
 from wardlight.llm.quality import score_quality
 from wardlight.llm.secret_scan import RULES, listed, scan
 from wardlight.llm.suffix_dedup import remove_repeated_bytes
+from wardlight.llm.token_file import read_token_file, write_token_file
+from wardlight.llm.tokens import byte_vocabulary
 from wardlight.llm.window_dedup import remove_repeated_windows
 from wardlight.session import scratch_path
 
@@ -106,3 +111,43 @@ def op8_fingerprints(spark, sf_dir):
 
 
 QUERIES["op8_fingerprints"] = op8_fingerprints
+
+
+def op5_token_file(spark, sf_dir):
+    folder = scratch_path(spark, "token-file")
+    write_token_file(documents(spark, sf_dir), folder, byte_vocabulary(), end=0)
+    return read_token_file(spark, folder)
+
+
+QUERIES["op5_token_file"] = op5_token_file
+
+
+def op7_packing(spark, sf_dir):
+    return pack_documents(documents(spark, sf_dir), byte_vocabulary(), window=2048, end=1)
+
+
+QUERIES["op7_packing"] = op7_packing
+
+
+def op6_ngram_join(spark, sf_dir):
+    return similar_documents(documents(spark, sf_dir))
+
+
+QUERIES["op6_ngram_join"] = op6_ngram_join
+SQL["op6_ngram_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, list_aggregate(words[p:p + 2], 'string_agg', ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS p FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+r(v, l) AS (SELECT doc_id, doc_id FROM w UNION SELECT b, l FROM r JOIN e ON a = v)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.l) AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.v = w.doc_id GROUP BY w.doc_id, n.n
+"""
+
+
+def op3_html_extraction(spark, sf_dir):
+    return extract_text(documents(spark, sf_dir, "pages"))
+
+
+QUERIES["op3_html_extraction"] = op3_html_extraction
