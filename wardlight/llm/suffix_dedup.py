@@ -266,7 +266,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
     if not GRAM + 4 <= window < GRAM + 64:
         raise ValueError("window must lie between 20 and 79 bytes")
     blocks = pack_blocks(docs)
-    parts = 2 * partitions_of(blocks)
+    parts = 4 * partitions_of(blocks)
 
     def keys(block: Block):
         found = np.unique(anchors(block, window)[1] >> U64(64 - FILTER_BITS))
