@@ -170,7 +170,7 @@ def links(pairs: DataFrame, survivors: DataFrame, percent: int) -> DataFrame:
     candidates = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"), F.col("b").alias("key")).join(sets, "key")
     queries = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("key")).join(sets, "key")
 
-    def search(key, table: pa.Table) -> pa.Table:
+    def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         a = key[0].as_py()
         rows = table.to_pydict()
         me = rows["key"].index(a)
