@@ -89,6 +89,21 @@ def near_matches(index: DataFrame, probes: DataFrame, slop: int) -> DataFrame:
     return left.join(right, ["text_key", "term", "strip"]).withColumn("distance", distance).where(F.col("distance") <= slop).groupBy("text_key", "window", "start").agg(F.min("distance").alias("distance"))
 
 
+def compared(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """(text_key, n_hit, items) of texts in which candidates (text_key, start, terms, items) prove right, word for word."""
+    keys = write_table(named.groupBy("text_key").agg(F.collect_set(F.struct("start", "terms", "items")).alias("occurrences")), "occurrences")
+    texts = docs.select(text_key(), "text").join(small_or_self(keys.select("text_key")), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    rows = texts.withColumn("words", words_of(F.col("text"))).drop("text").join(keys, "text_key")
+
+    def matches(o: Column) -> Column:
+        return F.transform(F.slice("words", o["start"] + 1, F.size(o["terms"])), lower_ascii) == o["terms"]
+
+    rows = rows.select("text_key", F.filter("occurrences", matches).alias("o")).where(F.size("o") > 0)
+    covered = F.array_distinct(F.flatten(F.transform("o", lambda o: F.sequence(o["start"], o["start"] + F.size(o["terms"]) - 1))))
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("o", lambda o: o["items"]))))
+    return rows.select("text_key", F.size(covered).cast("long").alias("n_hit"), items.alias("items"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """Every column of ``docs`` (hits replace columns of the same name) and what of its words benchmark windows cover.
 
@@ -98,22 +113,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     null item_id counts as an item without a name. Repeated rows each get their own, equal, row; doc_id is not read. Empty tables give
     an empty result or clean documents. Benchmark tables are broadcast while they have at most 200,000 rows, else joined by shuffles.
     """
-    own = ["n_words", "n_hit", "n_items", "items", "contaminated", "text_key", "occurrences"]
+    own = ["n_words", "n_hit", "n_items", "items", "contaminated", "text_key"]
     docs = docs.drop(*own)
     windows = write_table(benchmark_windows(benchmark, window), "windows")
     probes = write_table(rarest_probes(docs, windows), "probes")
     found = intersect(build_index(docs, probes), probes)
     named = found.join(small_or_self(windows, 200_000), "window")
-    grouped = write_table(named.groupBy("text_key").agg(F.collect_set(F.struct("start", "terms", "items")).alias("occurrences")), "occurrences")
-    rows = docs.withColumn("text_key", text_key()).join(small_or_self(grouped), "text_key", "left")
-    rows = rows.withColumn("_words", words_of(F.col("text")))
-
-    def matches(o: Column) -> Column:
-        return F.transform(F.slice("_words", o["start"] + 1, F.size(o["terms"])), lower_ascii) == o["terms"]
-
-    occurrences = F.filter(F.coalesce("occurrences", F.array().cast(grouped.schema["occurrences"].dataType)), matches)
-    rows = rows.withColumn("n_words", F.size("_words").cast("long")).withColumn("occurrences", occurrences)
-    covered = F.array_distinct(F.flatten(F.transform("occurrences", lambda o: F.sequence(o["start"], o["start"] + F.size(o["terms"]) - 1))))
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("occurrences", lambda o: o["items"]))))
-    rows = rows.withColumn("n_hit", F.size(covered).cast("long")).withColumn("items", items).withColumn("n_items", F.size("items").cast("long"))
-    return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).drop("_words", "occurrences", "text_key")
+    hits = write_table(compared(docs, named), "hits")
+    rows = docs.withColumn("text_key", text_key()).withColumn("n_words", F.size(words_of(F.col("text"))).cast("long")).join(small_or_self(hits), "text_key", "left")
+    rows = rows.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    rows = rows.withColumn("n_items", F.size("items").cast("long"))
+    return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).drop("text_key")
