@@ -64,7 +64,7 @@ def test_selected_quantiles(spark, shape):
     rows = [("hot", value()) for _ in range(2_500)] + [("cold", value()) for _ in range(7)] + [(None, 1.0), (None, 2.0)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q90": 0.9, "q100": 1.0}
-    got = {r["g"]: [r[n] for n in probs] for r in select_quantiles(df, ["g"], "v", probs, bins=8).collect()}
+    got = {r["g"]: [r[n] for n in probs] for r in select_quantiles(df, ["g"], "v", probs, rows=5, pivots=4).collect()}
     for g in ("hot", "cold", None):
         want = np.quantile([v for k, v in rows if k == g], list(probs.values()))
         assert np.allclose(got[g], want, rtol=1e-12, atol=1e-12)
@@ -74,6 +74,35 @@ def test_selected_quantiles(spark, shape):
         assert np.allclose(direct[g], measured[g], rtol=1e-12)
 
 
+def test_quantiles_of_missing_and_special_values(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("none", None)] * 3 + [(None, None)] + [("ends", v) for v in (-inf, 1.0, 2.0, 3.0, inf)] + [("nan", v) for v in (1.0, nan, nan, 5.0, None)] + [("wide", 10.0 ** (i % 600 - 300)) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = {"q0": 0.0, "q50": 0.5, "q100": 1.0}
+    text = lambda found: sorted(str([r["g"], *[r[n] for n in probs]]) for r in found.collect())
+    assert text(select_quantiles(df, ["g"], "v", probs, rows=20, pivots=4)) == text(quantiles_by(df, ["g"], "v", probs, group_rows=600))
+
+
+def test_mean_over_seeds_keeps_missing_months(spark):
+    df = spark.createDataFrame([(1, 1, 2.0), (1, 1, None), (2, 1, 2.0), (2, 1, 4.0)], "siminputrow int, month int, rate double")
+    assert {r["siminputrow"]: r["rate"] for r in rates.mean_over_seeds(df).collect()} == {1: None, 2: 3.0}
+    assert {r["siminputrow"]: r["rate"] for r in rates.mean_over_seeds(df, skip_missing=True).collect()} == {1: 2.0, 2: 3.0}
+
+
+def test_wide_form_refuses_what_it_would_lose(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "a", None)], "k int, n string, v double")
+    assert reshape.pivot_wider(df, ["k"], "n", "v", ["a", "b"]).count() == 2
+    for bad, names in ((df, ["a"]), (df.union(df.limit(1)), ["a", "b"])):
+        with pytest.raises(Exception, match="no column for b|two rows in one cell"):
+            reshape.pivot_wider(bad, ["k"], "n", "v", names).collect()
+
+
+def test_param_file_keeps_missing_values(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1.5), (2, None), (3, 2.5)], "accept_rank long, p double")
+    tables.write_param_file(df, ["p"], str(tmp_path / "f"))
+    assert sorted((r["accept_rank"], r["value"]) for r in tables.param_long(tables.read_param_file(spark, str(tmp_path / "f"))).collect()) == [(1, 1.5), (2, None), (3, 2.5)]
+
+
 def test_describe_takes_both_paths(spark, monkeypatch):
     df = spark.createDataFrame([("a", float(i % 17)) for i in range(400)] + [("b", 1.5)], "g string, v double")
     small = rows_of(summary.describe_by(df, ["g"], "v", {"m": 0.5}, ["mean", "n"]), "g", "m", "mean", "n")

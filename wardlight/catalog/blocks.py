@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardlight.sources.derived import DAYS, FIRST_DAY, POSTERIOR_COLUMNS, SCHEDULE_COLUMNS, WARDS
+from wardlight.sources.derived import DAYS, EXTRA_COLUMNS, FIRST_DAY, POSTERIOR_COLUMNS, SCHEDULE_COLUMNS, WARDS
 
 BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -128,6 +128,7 @@ block(
     + ", ".join(f"{real(lo)} + ({real(hi)} - {real(lo)}) * ((p_partkey * {real(m)}) % {real(1.0)}) AS {n}" for n, (lo, hi, m) in POSTERIOR_COLUMNS.items())
     + " FROM part",
 )
+block("full_posterior", "SELECT *, " + ", ".join(f"{real(low)} + ({real(high)} - {real(low)}) * ((siminputrow * {real(mult)}) % {real(1.0)}) AS {name}" for name, (low, high, mult) in EXTRA_COLUMNS.items()) + " FROM posterior", "posterior")
 block("posterior_long", f"SELECT siminputrow, param, value FROM posterior UNPIVOT (value FOR param IN ({', '.join(POSTERIOR_COLUMNS)}))", "posterior")
 block(
     "posterior_summary",

@@ -101,7 +101,8 @@ def b10_factorial(spark, sf):
 
 
 def b11_keep_plausible(spark, sf):
-    return design.keep_plausible(derived.design(spark, sf), ["community_colonisation_rate"])
+    wanted = [c for name in design.CONSTRAINED for c in (name, f"o_{name}")]
+    return design.keep_plausible(derived.full_posterior(spark, sf).select("siminputrow", *wanted))
 
 
 def b12_sample_rows(spark, sf):
@@ -199,7 +200,9 @@ def register(r: Registry) -> None:
             f"""SELECT siminputrow, toilet_cleaning_rate, i * {real(0.1)} AS bay_proportion, CAST(w AS BIGINT) AS wards_total
             FROM design CROSS JOIN range(11) g(i) CROSS JOIN (VALUES (4), (24)) v(w)""", "design"), ["toilet_cleaning_rate", "bay_proportion"],
     )
-    r.add("b11_keep_plausible", b11_keep_plausible, with_blocks("SELECT * FROM design WHERE o_community_colonisation_rate >= community_colonisation_rate", "design"), params)
+    limited = [c for name in design.CONSTRAINED for c in (name, f"o_{name}")]
+    r.add("b11_keep_plausible", b11_keep_plausible, with_blocks(
+        f"SELECT siminputrow, {', '.join(limited)} FROM full_posterior WHERE " + " AND ".join(f"o_{n} >= {n}" for n in design.CONSTRAINED), "full_posterior"), limited)
     r.add(
         "b12_sample_rows", b12_sample_rows,
         with_blocks("SELECT row_id, u1, u2 FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY u1, row_id) AS rn FROM uniforms) t WHERE rn <= (SELECT COUNT(*) // 4 FROM part)", "uniforms"), ["u1", "u2"],

@@ -8,7 +8,7 @@ from wardlight.catalog.blocks import with_blocks
 from wardlight.catalog.registry import Registry
 from wardlight.catalog.series import _observed, _rates, _stats
 from wardlight.functions import selectors
-from wardlight.operators import reshape, summary
+from wardlight.operators import reshape, summary, timeline
 from wardlight.session import scratch_path
 from wardlight.sources import derived, tables
 
@@ -29,7 +29,7 @@ def a3_read_param_file(spark, sf):
 
 def a4_write_param_file(spark, sf):
     path = scratch_path(spark, "params")
-    tables.write_param_file(_posterior(spark, sf), POSTERIOR[:4], path)
+    tables.write_param_file(_posterior(spark, sf), POSTERIOR, path)
     return tables.param_long(tables.read_param_file(spark, path))
 
 
@@ -81,7 +81,7 @@ def d2_natural_right_join(spark, sf):
 
 
 def g1_pivot_wider(spark, sf):
-    named = _stats(spark, sf).withColumn("name", F.date_format("month", "yyyy_MM"))
+    named = timeline.before(_stats(spark, sf), "month", "2004-10-01").withColumn("name", F.date_format("month", "yyyy_MM"))
     return reshape.pivot_wider(named, ["siminputrow"], "name", "rate", MONTHS, prefix="rate_")
 
 
@@ -90,10 +90,10 @@ def g2_pivot_longer(spark, sf):
     return reshape.pivot_longer(design, ["siminputrow"], selectors.except_for(design, ["siminputrow"]), "param", "value", drop_missing=True)
 
 
-def _returns(spark, sf):
-    """Returned lines per supplier and ship month; months without returns have no row."""
+def _returns(spark, sf, unit="month"):
+    """Returned lines per supplier and ship month (or quarter); months without returns have no row."""
     lines = derived.table(spark, sf, "lineitem").filter(F.col("l_returnflag") == "R")
-    month = F.trunc(F.to_date("l_shipdate"), "MM").alias("month")
+    month = F.trunc(F.to_date("l_shipdate"), unit).alias("month")
     return lines.groupBy(F.col("l_suppkey").alias("siminputrow"), month).agg(F.sum("l_quantity").alias("rate"))
 
 
@@ -136,8 +136,7 @@ def k4_label_lookup(spark, sf):
 
 def register(r: Registry) -> None:
     r.add("a3_read_param_file", a3_read_param_file, with_blocks("SELECT param, ROUND(AVG(value), 3) AS value FROM posterior_long GROUP BY 1", "posterior_long"), ["value"])
-    first = ", ".join(f"'{p}'" for p in POSTERIOR[:4])
-    r.add("a4_write_param_file", a4_write_param_file, with_blocks(f"SELECT param, siminputrow + 1 AS accept_rank, value FROM posterior_long WHERE param IN ({first})", "posterior_long"), ["value"])
+    r.add("a4_write_param_file", a4_write_param_file, with_blocks("SELECT param, siminputrow + 1 AS accept_rank, value FROM posterior_long", "posterior_long"), ["value"])
     r.add(
         "a5_save_load_results", a5_save_load_results,
         with_blocks(
@@ -165,7 +164,7 @@ def register(r: Registry) -> None:
     )
     r.add("d2_natural_right_join", d2_natural_right_join, with_blocks("SELECT s.siminputrow, s.month, s.rate, d.* EXCLUDE (siminputrow) FROM design d RIGHT JOIN stats s ON s.siminputrow = d.siminputrow", "stats", "design"), ["rate", *params])
     wide = ", ".join(f"MAX(rate) FILTER (WHERE strftime(month, '%Y_%m') = '{m}') AS rate_{m}" for m in MONTHS)
-    r.add("g1_pivot_wider", g1_pivot_wider, with_blocks(f"SELECT siminputrow, {wide} FROM stats GROUP BY 1", "stats"), [f"rate_{m}" for m in MONTHS])
+    r.add("g1_pivot_wider", g1_pivot_wider, with_blocks(f"SELECT siminputrow, {wide} FROM stats WHERE month < DATE '2004-10-01' GROUP BY 1", "stats"), [f"rate_{m}" for m in MONTHS])
     r.add(
         "g2_pivot_longer", g2_pivot_longer,
         with_blocks(

@@ -1,8 +1,8 @@
 """Exact quantiles per group (linear interpolation between order statistics), at any group size.
 
 The built-in ``percentile`` keeps the distinct values of a group in one buffer.  That is the right plan while a group
-is known to be small.  Past ``DIRECT_ROWS`` the quantile is selected in rounds: count rows per equal-width bin (partial
-aggregation), keep only the bins that hold a wanted rank, narrow, and rank just the survivors.
+is known to be small.  Past ``DIRECT_ROWS`` the quantile is selected in rounds: cut at approximate quantiles, count rows
+between the cuts exactly (partial aggregation), keep only the stretches that hold a wanted rank, and rank just the survivors.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlight.functions.scans import equal_width_bin, exclusive_running, null_safe_join
+from wardlight.functions.scans import exclusive_running, null_safe_join
+from wardlight.session import materialize
 
 DIRECT_ROWS = 100_000
 
@@ -32,8 +33,7 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def quantiles_by(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-    group_rows: int | None = None, direct_rows: int = DIRECT_ROWS, rounds: int = 2, bins: int = 2048,
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], group_rows: int | None = None, direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """One row per group with the named quantiles of ``value``.
 
@@ -44,45 +44,51 @@ def quantiles_by(
         group_rows = largest_group(df, keys)
     if group_rows <= direct_rows:
         return direct_quantiles(df, keys, value, probs)
-    return select_quantiles(df, keys, value, probs, rounds=rounds, bins=bins)
+    return select_quantiles(df, keys, value, probs, direct_rows)
 
 
-def select_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], rounds: int = 2, bins: int = 2048) -> DataFrame:
-    """``quantiles_by`` without any group-sized buffer: bounded state per task whatever the group size."""
+def select_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], rows: int = DIRECT_ROWS, pivots: int = 64) -> DataFrame:
+    """``quantiles_by`` without any group-sized buffer: bounded state per task whatever the group size or spread.
+
+    Values are cut at approximate quantiles of the distinct values, so every round leaves about 1 in ``pivots`` of
+    them however they are spread; rows are counted exactly between the cuts and only stretches that hold a wanted
+    rank stay. Rounds go on until no stretch has more than ``rows`` distinct values. Groups of missing values only get nulls.
+    """
     keys = list(keys)
-    # equal values collapse to one row with a count, map side first
-    freq = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    extent = freq.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("__total"))
+    groups = df.groupBy(*keys).agg(F.count(value).alias("__total"))
     position = {name: (F.col("__total") - 1) * F.lit(float(p)) for name, p in probs.items()}
     wanted = F.array_distinct(F.concat(*[F.array(F.floor(h), F.ceil(h)) for h in position.values()]))
-    extent = extent.withColumn("__ranks", wanted)
-
-    candidates = null_safe_join(freq, extent.select(*keys, "__lo", "__hi", "__ranks"), keys).withColumn("__base", F.lit(0).cast("long"))
-    for _ in range(rounds):
-        cells = candidates.withColumn("__bin", equal_width_bin(F.col("__v"), F.col("__lo"), F.col("__hi"), bins))
-        counts = cells.groupBy(*keys, "__lo", "__bin").agg(
-            F.sum("__n").alias("__rows"), F.min("__v").alias("__new_lo"), F.max("__v").alias("__new_hi"),
-            F.first("__base").alias("__base0"), F.first("__ranks").alias("__ranks0"),
-        )
-        counts = exclusive_running(counts, [*keys, "__lo"], ["__bin"], {"__before": ("sum", "__rows")})
-        start = F.col("__base0") + F.col("__before")
-        hit = F.exists("__ranks0", lambda r: (r >= start) & (r < start + F.col("__rows")))
-        kept = counts.filter(hit).select(*keys, "__lo", "__bin", "__new_lo", "__new_hi", start.alias("__new_base"))
-        cells = null_safe_join(cells, kept, [*keys, "__lo", "__bin"])
-        candidates = cells.select(
-            *keys, "__v", "__n", F.col("__new_lo").alias("__lo"), F.col("__new_hi").alias("__hi"), "__ranks", F.col("__new_base").alias("__base")
-        )
-
-    running = Window.partitionBy(*keys, "__lo").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = candidates.withColumn("__end", F.col("__base") + F.sum("__n").over(running)).withColumn("__start", F.col("__end") - F.col("__n"))
+    groups = materialize(groups.withColumn("__ranks", wanted), "quantile-groups")
+    # equal values collapse to one row with a count, map side first
+    freq = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    stretches = materialize(null_safe_join(freq, groups.select(*keys, "__ranks"), keys).withColumn("__base", F.lit(0).cast("long")), "quantile-values")
+    while True:
+        cell = [*keys, "__base"]  # the rank at which a stretch begins names it
+        largest = stretches.groupBy(*cell).count().agg(F.max("count").alias("n")).first()["n"] or 0
+        if largest <= rows:
+            break
+        cuts = F.percentile_approx("__v", [i / pivots for i in range(1, pivots)], 1000)
+        cells = null_safe_join(stretches, stretches.groupBy(*cell).agg(F.array_distinct(cuts).alias("__cuts")), cell)
+        cells = cells.withColumn("__bin", F.size(F.filter("__cuts", lambda c: c <= F.col("__v")))).drop("__cuts")
+        counts = cells.groupBy(*cell, "__bin").agg(F.sum("__n").alias("__rows"), F.first("__ranks").alias("__of"))
+        counts = exclusive_running(counts, cell, ["__bin"], {"__before": ("sum", "__rows")})
+        start = F.col("__base") + F.col("__before")
+        hit = F.exists("__of", lambda r: (r >= start) & (r < start + F.col("__rows")))
+        kept = counts.filter(hit).select(*cell, "__bin", start.alias("__new_base"))
+        cells = null_safe_join(cells, kept, [*cell, "__bin"])
+        stretches = materialize(cells.select(*keys, "__v", "__n", "__ranks", F.col("__new_base").alias("__base")), "quantile-values")
+
+    running = Window.partitionBy(*keys, "__base").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = stretches.withColumn("__end", F.col("__base") + F.sum("__n").over(running)).withColumn("__start", F.col("__end") - F.col("__n"))
     inside = F.filter("__ranks", lambda r: (r >= F.col("__start")) & (r < F.col("__end")))
     by_rank = placed.select(*keys, "__v", F.explode(inside).alias("__rank"))
     # at most two ranks per quantile and group from here on
     at = by_rank.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__at"))
-    final = null_safe_join(extent.select(*keys, "__total"), at, keys)
+    final = null_safe_join(groups.select(*keys, "__total"), at, keys, "left")
 
     def interpolate(h: Column) -> Column:
-        low, high = F.element_at("__at", F.floor(h)), F.element_at("__at", F.ceil(h))
-        return low + (h - F.floor(h)) * (high - low)
+        low, high = F.try_element_at("__at", F.floor(h)), F.try_element_at("__at", F.ceil(h))
+        # between equal neighbours nothing is added, so infinities and NaN stay what they are
+        return F.when(low == high, low).otherwise(low + (h - F.floor(h)) * (high - low))
 
     return final.select(*keys, *[interpolate(h).alias(name) for name, h in position.items()])

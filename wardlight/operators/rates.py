@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardlight.functions.scans import null_safe_join
 from wardlight.operators.timeline import month_key
 from wardlight.schema import RUN_KEYS
 from wardlight.session import small_or_self
@@ -56,9 +57,13 @@ def monthly_rate(
     return rate_of_parts(monthly_parts(dated, keys, counter, occupied, date), keys, boundary)
 
 
-def mean_over_seeds(rates: DataFrame, keys: Sequence[str] = ("siminputrow",)) -> DataFrame:
-    """Mean rate per parameter set (or per seed) and month."""
-    return rates.groupBy(*keys, "month").agg(F.avg("rate").alias("rate"))
+def mean_over_seeds(rates: DataFrame, keys: Sequence[str] = ("siminputrow",), skip_missing: bool = False) -> DataFrame:
+    """Mean rate per parameter set (or per seed) and month.
+
+    A month in which any run has no rate is missing, so that the set is masked later; ``skip_missing`` averages the others.
+    """
+    mean = F.avg("rate")
+    return rates.groupBy(*keys, "month").agg((mean if skip_missing else F.when(F.count("rate") == F.count(F.lit(1)), mean)).alias("rate"))
 
 
 def two_level_mean(rates: DataFrame, value: Sequence[str], seed: str = "random_seed") -> DataFrame:
@@ -96,4 +101,4 @@ def with_group_minimum(df: DataFrame, keys: Sequence[str], column: str, out: str
     and a hot group is split by the adaptive skew join instead of landing in one window.
     """
     lowest = df.groupBy(*keys).agg(F.min(column).alias(out))
-    return df.join(small_or_self(lowest), list(keys))
+    return null_safe_join(df, small_or_self(lowest), list(keys))

@@ -16,15 +16,19 @@ MAX_PIVOT_COLUMNS = 5_000
 def pivot_wider(df: DataFrame, keys: Sequence[str], name: str, value: str, names: Sequence[str] | None = None, prefix: str = "") -> DataFrame:
     """One column per distinct ``name``.
 
-    With explicit ``names`` there is no extra job and the column order is fixed; otherwise the names are read first
-    (they become columns, so their number is checked).
+    With explicit ``names`` there is no extra job and the column order is fixed, and a name outside the list is an
+    error; otherwise the names are read first (they become columns, so their number is checked).  Two rows in one
+    cell are an error.
     """
     if names is None:
         found = df.select(F.col(name).cast("string").alias("n")).distinct().limit(MAX_PIVOT_COLUMNS + 1).collect()
         if len(found) > MAX_PIVOT_COLUMNS:
             raise ValueError(f"more than {MAX_PIVOT_COLUMNS} columns; keep the long form")
         names = sorted(r["n"] for r in found if r["n"] is not None)
-    wide = df.withColumn("__name", F.col(name).cast("string")).groupBy(*keys).pivot("__name", list(names)).agg(F.first(value, ignorenulls=True))
+    text = F.col(name).cast("string")
+    listed = F.when(text.isin(list(names)), text).otherwise(F.raise_error(F.concat(F.lit("no column for "), F.coalesce(text, F.lit("null")))).cast("string"))
+    cell = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("two rows in one cell")).cast(df.schema[value].dataType)).otherwise(F.first(value))
+    wide = df.withColumn("__name", listed).groupBy(*keys).pivot("__name", list(names)).agg(cell)
     return wide.withColumnsRenamed({n: f"{prefix}{n}" for n in names})
 
 

@@ -166,6 +166,18 @@ def posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Further columns of the full posterior: name -> (low, high, multiplier).
+EXTRA_COLUMNS = {
+    "o_toilet_contamination_effect": (0.05, 0.5, 0.1354001728), "o_toilet_cleaning_rate": (1.0, 3.0, 0.9282032303),
+}
+
+
+def full_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posterior with the outbreak columns that the constraints and the headline values also need."""
+    key = F.col("siminputrow")
+    return posterior(spark, sf_dir).select("*", *[(low + (high - low) * ((key * mult) % 1.0)).alias(name) for name, (low, high, mult) in EXTRA_COLUMNS.items()])
+
+
 def rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         (F.col("p_partkey") % WARDS + 1).cast("int").alias("ward"),

@@ -55,11 +55,11 @@ def write_observed(series: DataFrame, path: str) -> None:
 def read_param_file(spark: SparkSession, path: str) -> DataFrame:
     """Headerless file, one line per parameter: quoted name, then its accepted values -> ``param, block, values``.
 
-    ``block`` is 0 unless the writer had to split a parameter over several lines.
+    ``block`` is 0 unless the writer had to split a parameter over several lines.  An empty field is a missing value.
     """
     parts = F.split("value", ",")
     name = F.split(F.regexp_replace(F.get(parts, F.lit(0)), '"', ""), "#")
-    values = F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), lambda v: F.trim(v).cast("double"))
+    values = F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), lambda v: F.nullif(F.trim(v), F.lit("")).cast("double"))
     lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
     block = F.coalesce(F.get(name, F.lit(1)).cast("long"), F.lit(0).cast("long"))
     return lines.select(F.translate(F.get(name, F.lit(0)), "-", "_").alias("param"), block.alias("block"), values.alias("values"))
@@ -67,8 +67,9 @@ def read_param_file(spark: SparkSession, path: str) -> DataFrame:
 
 def param_means(params: DataFrame, digits: int = 3) -> DataFrame:
     """Mean of every parameter's values, rounded: the settings the simulator takes from the file."""
-    total = F.aggregate("values", F.lit(0.0), lambda acc, v: acc + v)
-    lines = params.select("param", total.alias("total"), F.size("values").alias("n"))
+    present = F.filter("values", lambda v: v.isNotNull())
+    total = F.aggregate(present, F.lit(0.0), lambda acc, v: acc + v)
+    lines = params.select("param", total.alias("total"), F.size(present).alias("n"))
     return lines.groupBy("param").agg(F.round(F.sum("total") / F.sum("n"), digits).alias("value"))
 
 
@@ -100,7 +101,7 @@ def write_param_file(posterior: DataFrame, params: Sequence[str], path: str, ran
     single = posterior.limit(SETS_PER_LINE + 1).count() <= SETS_PER_LINE
     lines = param_lines(posterior, params, rank).orderBy("position", "block")
     label = F.concat(F.translate("param", "_", "-"), F.when(F.col("block") > 0, F.concat(F.lit("#"), F.col("block").cast("string"))).otherwise(F.lit("")))
-    numbers = F.array_join(F.transform("values", lambda v: v.cast("string")), ",")
+    numbers = F.array_join(F.transform("values", lambda v: v.cast("string")), ",", "")  # a missing value is an empty field
     text = lines.select(F.concat(F.lit('"'), label, F.lit('",'), numbers).alias("value"))
     (text.coalesce(1) if single else text).write.text(path)
 
