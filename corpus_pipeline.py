@@ -35,16 +35,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover less than a twentieth."""
-    return contamination(docs, documents(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(docs.columns)
+    return contamination(docs, documents(spark, sf_dir, "benchmark"), prefix="__").where(~F.col("__contaminated")).select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret; n_chars follows the new text."""
-    found = scan(docs, scratch_path(spark, "pipeline-ledger"))
-    text = redact(F.col("text"), F.col("findings"))
+    found = scan(docs, scratch_path(spark, "pipeline-ledger"), name="__findings")
+    text = redact(F.col("text"), F.col("__findings"))
     changed = found.withColumn("text", text)
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.size("findings") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        changed = changed.withColumn("n_chars", F.when(F.size("__findings") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return changed.select(docs.columns)
 
 

@@ -100,7 +100,7 @@ def test_secrets_and_ledger(spark):
     assert spark.read.parquet(path).count() == (contents + 1) * len(RULES)  # the old contents were not scanned again
     newer = (*RULES[:2], Rule("hex", "[0-9a-f]{18,}", version=2))
     found = Counter(tuple(r) for r in scan(docs, path, newer).select("doc_id", F.expr("size(filter(findings, f -> f.kind = 'hex'))")).collect())
-    assert found[(4, 0)] == 1 and spark.read.parquet(path).count() == (contents + 1) * len(RULES) + contents
+    assert found[(4, 0)] == 2 and spark.read.parquet(path).count() == (contents + 1) * len(RULES) + contents
     assert scan(empty(spark), scratch_path(spark, "ledger")).count() == 0
 
 

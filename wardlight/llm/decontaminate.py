@@ -104,23 +104,25 @@ def compared(docs: DataFrame, named: DataFrame) -> DataFrame:
     return rows.select("text_key", F.size(covered).cast("long").alias("n_hit"), items.alias("items"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """Every column of ``docs`` (hits replace columns of the same name) and what of its words benchmark windows cover.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, prefix: str = "") -> DataFrame:
+    """Every column of ``docs`` and what of its words benchmark windows cover; ``prefix`` stands before the new names.
 
-    A window: ``window`` consecutive words of an item, or all words of a shorter one. New columns: n_words, n_hit (words
+    A window: ``window`` consecutive words of an item, or all words of a shorter one. New columns (they replace columns of the same name): n_words, n_hit (words
     inside any occurrence of a window), n_items, items (distinct item ids as sorted strings), contaminated (a hit, and
     at least one in ``share`` words). Null and wordless texts have no words and are clean; items without words are not looked for; a
     null item_id counts as an item without a name. Repeated rows each get their own, equal, row; doc_id is not read. Empty tables give
     an empty result or clean documents. Benchmark tables are broadcast while they have at most 200,000 rows, else joined by shuffles.
     """
-    own = ["n_words", "n_hit", "n_items", "items", "contaminated", "text_key"]
-    docs = docs.drop(*own)
+    name = {c: prefix + c for c in ("n_words", "n_hit", "n_items", "items", "contaminated")}
+    docs = docs.drop(*name.values())
     windows = write_table(benchmark_windows(benchmark, window), "windows")
     probes = write_table(rarest_probes(docs, windows), "probes")
     found = intersect(build_index(docs, probes), probes)
     named = found.join(small_or_self(windows, 200_000), "window")
-    hits = write_table(compared(docs, named), "hits")
-    rows = docs.withColumn("text_key", text_key()).withColumn("n_words", F.size(words_of(F.col("text"))).cast("long")).join(small_or_self(hits), "text_key", "left")
-    rows = rows.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    rows = rows.withColumn("n_items", F.size("items").cast("long"))
-    return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).drop("text_key")
+    hits = write_table(compared(docs, named), "hits").select(F.col("text_key").alias("__text_key"), F.col("n_hit").alias("__hit"), F.col("items").alias("__items"))
+    rows = docs.withColumn("__text_key", text_key()).withColumn("__words", F.size(words_of(F.col("text"))).cast("long")).join(small_or_self(hits), "__text_key", "left")
+    hit, items = F.coalesce("__hit", F.lit(0).cast("long")), F.coalesce("__items", F.array().cast("array<string>"))
+    return rows.select(
+        *docs.columns, F.col("__words").alias(name["n_words"]), hit.alias(name["n_hit"]), F.size(items).cast("long").alias(name["n_items"]), items.alias(name["items"]),
+        ((hit > 0) & (share * hit >= F.col("__words"))).alias(name["contaminated"]),
+    )

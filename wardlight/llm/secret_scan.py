@@ -59,12 +59,12 @@ def _ledger(spark, path: str) -> DataFrame | None:
     return spark.read.schema(f"content binary, rule string, version int, spans {SPANS}").parquet(path)
 
 
-def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every column of ``docs`` and ``findings``: array of (start, kind, end, rank), by start, then rank of the rule.
+def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, name: str = "findings") -> DataFrame:
+    """Every column of ``docs`` and ``name``: array of (start, kind, end, rank), by start, then rank of the rule.
 
     ``ledger`` is a folder that all executors reach; it is made when missing. Null texts count as empty. Equal texts are
-    scanned once, whatever their number; a text is scanned again only for rules or versions it has not met. Columns of ``docs``
-    named content or findings are replaced. Repeated rows each get their row; empty tables give an empty result. One run writes a
+    scanned once, whatever their number; a text is scanned again only for rules or versions it has not met. A column of ``docs``
+    called ``name`` is replaced. Repeated rows each get their row; empty tables give an empty result. One run writes a
     ledger at a time.
     """
     spark = docs.sparkSession
@@ -89,8 +89,11 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataF
     current = _ledger(spark, ledger).where(F.size("spans") > 0).join(F.broadcast(spark.createDataFrame([(r.kind, r.version) for r in rules], "rule string, version int")), ["rule", "version"])
     listed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank"), s["end"].alias("end"), F.col("rule").alias("kind")))
     findings = current.withColumn("rank", rank).withColumn("found", listed).groupBy("content").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("findings"))
-    rows = docs.drop("findings", "content").withColumn("content", content).join(findings, "content", "left").drop("content")
-    return rows.withColumn("findings", F.coalesce("findings", F.array().cast(findings.schema["findings"].dataType)))
+    findings = findings.withColumnsRenamed({"content": "__content", "findings": "__findings"})
+    kept = docs.drop(name)
+    rows = kept.withColumn("__content", content).join(findings, "__content", "left")
+    found = F.coalesce("__findings", F.array().cast(findings.schema["__findings"].dataType))
+    return rows.select(*kept.columns, found.alias(name))
 
 
 def listed(findings: Column) -> Column:
