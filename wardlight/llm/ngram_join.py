@@ -5,8 +5,9 @@ of a shingle that one class alone has is empty for all others, so a class with t
 rest, the shortest lists name candidates; each search then merges the short lists by a heap, and probes the long ones by
 binary search only for candidates that can still reach the required overlap (DivideSkip).
 
-Only components are wanted. A first round searches along stars and chains of each list; the second round takes all
-candidates that are not in one component yet, so groups of copies are not paired with each other and no link is lost.
+Only components are wanted. Documents that share short lists are dealt into chunks and searched there; then each list's
+leader is searched for among those not connected to it; at last every two documents of a list that are still apart meet
+once. Groups of copies are thus not paired with each other, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm.blocks import (
@@ -26,7 +27,7 @@ from wardlight.llm.components import components
 
 SHINGLE = 3
 KEY_BITS = 40  # of a shingle while its frequency is counted; a collision only makes a list look longer
-CHUNK = 200  # candidates of one search
+CHUNK = 200  # documents of a group that is searched within, about
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -162,26 +163,63 @@ def divide_skip(query: np.ndarray, n: int, sets: list[np.ndarray], sizes: np.nda
     return out
 
 
-def links(pairs: DataFrame, survivors: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike. Searches of one query are cut into chunks of candidates."""
-    pairs = pairs.select("a", "b")
-    chunks = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).select("a", F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks"))
-    sets = survivors.select("key", "n", "shared")
-    candidates = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"), F.col("b").alias("key")).join(sets, "key")
-    queries = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("key")).join(sets, "key")
+def links(members: DataFrame, survivors: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """Links (a, b) found by searching each group of ``members`` (g, key), one document after another.
 
-    def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        a = key[0].as_py()
-        rows = table.to_pydict()
-        me = rows["key"].index(a)
-        others = [i for i in range(len(rows["key"])) if i != me]
-        sets_ = [np.frombuffer(rows["shared"][i], U64) for i in others]
-        sizes = np.array([rows["n"][i] for i in others], np.int64)
-        hits = divide_skip(np.frombuffer(rows["shared"][me], U64), rows["n"][me], sets_, sizes, percent) if others else []
-        return pa.table({"a": pa.array([a] * len(hits), pa.int64()), "b": pa.array([rows["key"][others[j]] for j in hits], pa.int64())})
+    What is connected already, by ``labels`` or by a link of the group, is not searched again: groups of copies take one
+    search per copy, not one per pair.
+    """
+    rows = members.join(survivors.select("key", "n", "shared"), "key")
+    rows = rows.withColumn("label", F.col("key")) if labels is None else rows.join(labels.withColumnRenamed("v", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+    def search(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("key").to_pydict()
+        keys, sets, sizes = rows["key"], [np.frombuffer(x, U64) for x in rows["shared"]], np.array(rows["n"], np.int64)
+        above: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while x in above:
+                x = above[x]
+            return x
+
+        a, b = [], []
+        for i in range(len(keys) - 1):
+            own = find(rows["label"][i])
+            others = [j for j in range(i + 1, len(keys)) if find(rows["label"][j]) != own]
+            for k in divide_skip(sets[i], int(sizes[i]), [sets[j] for j in others], sizes[others], percent) if others else []:
+                own, other = find(own), find(rows["label"][others[k]])
+                if own != other:
+                    above[other] = own
+                    a.append(keys[i]), b.append(keys[others[k]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.select("g", "key", "n", "shared", "label").groupBy("g").applyInArrow(search, "a long, b long")
+
+
+def across(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Groups (g, key) that hold both ends of each pair (a, b): one group for each two chunks between which there are pairs."""
+    of = lambda c, k: chunks.select(F.col("key").alias(c), F.col("chunk").alias(k))
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").withColumn("g", F.xxhash64(F.least("x", "y"), F.greatest("x", "y")))
+    return both.select("g", F.explode(F.array("a", "b")).alias("key")).distinct()
+
+
+def open_lists(survivors: DataFrame, postings: DataFrame, label: DataFrame) -> DataFrame:
+    """(h, key, n, label, ahead) of lists whose documents are not connected yet; ``ahead``: shingles of the document's shorter lists."""
+    named = postings.join(label.withColumnRenamed("v", "key"), "key", "left").select("h", "key", F.coalesce("label", "key").alias("label"))
+    mixed = named.groupBy("h").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("h")
+    wanted = named.join(mixed, "h")
 
-    both = candidates.select("a", "chunk", "key", "n", "shared").union(queries.select("a", "chunk", "key", "n", "shared"))
-    return both.groupBy("a", "chunk").applyInArrow(search, "a long, b long")
+    def unroll(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                h = np.frombuffer(row["short"], np.int64)
+                yield pa.RecordBatch.from_pydict({
+                    "key": pa.array([row["key"]] * len(h), pa.int64()), "h": pa.array(h), "n": pa.array([row["n"]] * len(h), pa.int64()),
+                    "ahead": pa.array([h[:i] for i in range(len(h))], pa.list_(pa.int64())),
+                })
+
+    again = survivors.join(wanted.select("key").distinct(), "key", "left_semi").select("key", "n", "short")
+    return wanted.join(again.mapInArrow(unroll, "key long, h long, n long, ahead array<long>"), ["h", "key"]).select("h", "key", "n", "label", "ahead")
 
 
 def similar_documents(docs: DataFrame, percent: int = 90) -> DataFrame:
@@ -208,21 +246,30 @@ def similar_documents(docs: DataFrame, percent: int = 90) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"h": pa.array(h), "key": pa.array([row["key"]] * len(h), pa.int64()), "n": pa.array([row["n"]] * len(h), pa.int64())})
 
     postings = write_table(survivors.select("key", "n", "short").mapInArrow(unroll, "h long, key long, n long"), "postings")
-    near = lambda small, large: 100 * F.col(small) >= percent * F.col(large)
-    by_size = Window.partitionBy("h").orderBy("n", "key")
-    listed = postings.select("key", "n", F.first(F.struct("key", "n")).over(by_size).alias("first"), F.lag(F.struct("key", "n")).over(by_size).alias("before"))
-    stars = listed.select(F.explode(F.array("first", "before")).alias("x"), "key", "n").where("x.key <> key").select(F.col("x.key").alias("a"), F.col("x.n").alias("m"), F.col("key").alias("b"), "n").where(near("m", "n"))
-    tried = write_table(stars.select("a", "b").distinct(), "tried")
-    edges = write_table(links(tried, survivors, percent), "links")
+    # every list has a leader; documents are dealt into chunks by the smallest leader of their lists
+    leaders = write_table(postings.groupBy("h").agg(F.min("key").alias("leader")), "leaders")
+    family = postings.join(leaders, "h").groupBy("key").agg(F.min("leader").alias("family"))
+    family = write_table(family, "families")
+    sizes = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    chunks = family.join(sizes, "family").select("key", F.xxhash64("family", F.pmod(F.xxhash64("key"), "chunks")).alias("chunk"))
+    chunks = write_table(chunks, "chunks")
+    edges = write_table(links(chunks.withColumnRenamed("chunk", "g"), survivors, None, percent), "links")
+    label = components(edges)
+    # between chunks: first each list's leader with all that are not connected to it
+    named_postings = postings.join(label.withColumnRenamed("v", "key"), "key", "left").select("h", "key", F.coalesce("label", "key").alias("label"))
+    stars = named_postings.join(leaders.join(named_postings.select("h", F.col("key").alias("leader"), F.col("label").alias("label_a")), ["h", "leader"]), "h")
+    stars = stars.where("label <> label_a").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+    found = write_table(links(across(stars, chunks), survivors, label, percent), "links")
+    edges = edges.union(found)
     label = components(edges)
-    labelled = postings.join(label.withColumnRenamed("v", "key"), "key", "left").select("h", "key", "n", F.coalesce("label", "key").alias("label"))
-    mixed = labelled.groupBy("h").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("h")
-    open_ = write_table(labelled.join(mixed, "h"), "open")
-    other = open_.select("h", F.col("key").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"))
-    pairs = open_.withColumnRenamed("key", "a").join(other, "h").where("label <> label_b").where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))).where(near("n", "m"))
-    rest = write_table(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    # then every pair of a list that is still apart, at the first list that both are in
+    open_ = write_table(open_lists(survivors, postings, label), "open")
+    other = open_.select("h", F.col("key").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"), F.col("ahead").alias("ahead_b"))
+    pairs = open_.withColumnRenamed("key", "a").join(other, "h").where("label <> label_b").where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b"))))
+    pairs = pairs.where(100 * F.col("n") >= percent * F.col("m")).where(~F.arrays_overlap("ahead", "ahead_b"))
+    rest = write_table(pairs.select("a", "b"), "rest")
     if rest.take(1):
-        edges = edges.union(links(rest, survivors, percent))
+        edges = edges.union(links(across(rest, chunks), survivors, label, percent))
         label = components(edges)
     named = rows.join(label.withColumnRenamed("v", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     named = write_table(named.select("doc_id", "n", "label"), "named")
