@@ -9,6 +9,7 @@ from wardlight.catalog.blocks import PRE, real, with_blocks
 from wardlight.catalog.registry import Registry
 from wardlight.functions.scans import position_in_group
 from wardlight.operators import rates, summary, timeline
+from wardlight.plans import checks
 from wardlight.plans.calibration import monthly_statistics, run_rates
 from wardlight.session import scratch_path, small_or_self
 from wardlight.sources import derived, tables
@@ -114,25 +115,23 @@ def d4_zip_target(spark, sf):
     return _stats(spark, sf).join(small_or_self(_observed(spark, sf).withColumnRenamed("rate", "target")), "month")
 
 
-def _levels(spark, sf):
-    return small_or_self(derived.sensitivity_design(spark, sf))
+def _outbreak_parts(spark, sf):
+    """Monthly parts of every run inside the outbreak window: the daily rows are reduced before anything is joined."""
+    window = timeline.step_window(derived.posterior(spark, sf))
+    return rates.monthly_parts(timeline.in_step_window(_dated(spark, sf), window))
 
 
 def e3_windowed_rate(spark, sf):
-    window = timeline.step_window(derived.posterior(spark, sf))
-    rows = timeline.in_step_window(_dated(spark, sf), window).join(_levels(spark, sf), "siminputrow")
-    return rates.monthly_rate(rows, ["random_seed", "arm", "level"]).drop("n_days")
+    return checks.pooled_rates(_outbreak_parts(spark, sf), derived.sensitivity_design(spark, sf), ["arm", "level"]).drop("n_days")
 
 
 def e4_two_level_mean(spark, sf):
-    rows = _dated(spark, sf).join(_levels(spark, sf), "siminputrow")
-    return rates.two_level_mean(rates.monthly_rate(rows, ["random_seed", "level"]), ["level"])
+    pooled = checks.pooled_rates(rates.monthly_parts(_dated(spark, sf)), derived.sensitivity_design(spark, sf), ["level"])
+    return rates.two_level_mean(pooled, ["level"])
 
 
 def e5_outbreak_cases(spark, sf):
-    window = timeline.step_window(derived.posterior(spark, sf))
-    rows = timeline.in_step_window(_dated(spark, sf), window).join(_levels(spark, sf), "siminputrow")
-    return rates.outbreak_cases(rows, ["random_seed", "arm", "level"])
+    return checks.pooled_cases(_outbreak_parts(spark, sf), derived.sensitivity_design(spark, sf), ["arm", "level"])
 
 
 def e6_mean_sd_band(spark, sf):
@@ -180,6 +179,17 @@ def s2_head(spark, sf):
     return monthly.orderBy(F.desc(F.round("total", 6)), *KEYS).limit(6)
 
 
+def a2_read_simulator_csv(spark, sf):
+    """All runs exported under the simulator's hyphenated names and read back."""
+    path = scratch_path(spark, "simulator-csv")
+    runs = derived.runs(spark, sf).drop("experiment")
+    runs.withColumnsRenamed(tables.simulator_names(runs.columns)).write.csv(path, header=True)
+    back = tables.read_simulator_csv(spark, path, "from_csv")
+    return back.groupBy("experiment", *KEYS).agg(
+        F.count(F.lit(1)).alias("rows"), F.max("total_colonised").alias("total_colonised"), F.sum("current_inpatients").alias("inpatients"), F.sum("current_colonised").alias("colonised")
+    )
+
+
 def e2_mean_over_seeds_missing(spark, sf):
     """Some runs have months without a rate, as a month without patient-days gives: the set's month is missing then."""
     known = (F.col("siminputrow") * 3 + F.col("random_seed") + F.month("month")) % 11 != 0
@@ -192,6 +202,12 @@ def register(r: Registry) -> None:
         "a1_read_observed", a1_read_observed,
         with_blocks(f"SELECT month, ROUND(rate, 4) AS rate, date_diff('month', DATE '2002-01-01', month) + {real(0.957)} AS x FROM observed", "observed"), ["rate", "x"],
     )
+    r.add(
+        "a2_read_simulator_csv", a2_read_simulator_csv,
+        with_blocks(
+            """SELECT 'from_csv' AS experiment, siminputrow, random_seed, COUNT(*) AS rows, MAX(total_colonised) AS total_colonised, SUM(current_inpatients) AS inpatients,
+            CAST(SUM(current_colonised) AS BIGINT) AS colonised FROM runs GROUP BY 2, 3""", "runs"), ["inpatients"],
+    )
     r.add(
         "a2_write_read_runs", a2_write_read_runs,
         with_blocks(

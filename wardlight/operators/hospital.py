@@ -233,15 +233,8 @@ def contamination_levels(
     bucket width is chosen from a count (or given) so that a busy toilet is spread over many tasks.
     """
     buckets = buckets or choose_bucket(events, key, bucket_rows)
-    adds = (F.col("kind") == "use") & F.col("colonised")
-    maps = events.withColumns(
-        {
-            "__bucket": _bucket(events, buckets.seconds),
-            "a": F.when(F.col("kind") == "clean", F.lit(1.0 - cleaning_effect)).otherwise(F.lit(1.0)),
-            "b": F.when(adds, F.col("amount")).otherwise(F.lit(0.0)),
-            "m": F.lit(1.0),
-        }
-    )
+    a, b = _maps(events, cleaning_effect)
+    maps = events.withColumns({"__bucket": _bucket(events, buckets.seconds), "a": a, "b": b, "m": F.lit(1.0)})
     in_bucket = Window.partitionBy(key, "__bucket").orderBy("ts", "event_id")
     inside = _compose_running(maps, [key, "__bucket"], ["ts", "event_id"], buckets.rows)
     inside = inside.withColumn("__last", F.lead("event_id").over(in_bucket).isNull())
@@ -254,11 +247,38 @@ def contamination_levels(
     return levels.select(*events.columns, "level_before", "level_after")
 
 
-def final_levels(events: DataFrame, cleaning_effect: float = CLEANING_EFFECT, key: str = "toilet_id") -> DataFrame:
-    """Level of every toilet after its last event."""
-    levels = contamination_levels(events, cleaning_effect, key)
-    last = F.max_by("level_after", F.struct("ts", "event_id"))
-    return levels.groupBy(key).agg(last.alias("level"), F.count(F.lit(1)).alias("events"))
+def _maps(events: DataFrame, cleaning_effect: float) -> tuple[Column, Column]:
+    """(a, b) of each event's map ``x -> min(1, a x + b)``."""
+    adds = (F.col("kind") == "use") & F.col("colonised")
+    return F.when(F.col("kind") == "clean", F.lit(1.0 - cleaning_effect)).otherwise(F.lit(1.0)), F.when(adds, F.col("amount")).otherwise(F.lit(0.0))
+
+
+def _folded(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One composed map (a, b, m) and the number of events per group; groups are buckets of bounded size."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, "a", "b", "m", "n")))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(
+            (x["a"] * acc["a"]).alias("a"), (x["a"] * acc["b"] + x["b"]).alias("b"), F.least(x["m"], x["a"] * acc["m"] + x["b"]).alias("m"), (acc["n"] + x["n"]).alias("n")
+        )
+
+    first = F.struct(*[F.col("__rows")[0][c].alias(c) for c in ("a", "b", "m", "n")])
+    folded = F.aggregate(F.slice("__rows", 2, F.size("__rows")), first, step)
+    return df.groupBy(*keys).agg(rows.alias("__rows")).select(*keys, folded.alias("__f")).select(*keys, "__f.*")
+
+
+def final_levels(events: DataFrame, cleaning_effect: float = CLEANING_EFFECT, key: str = "toilet_id", buckets: Buckets | None = None) -> DataFrame:
+    """Level of every toilet after its last event.
+
+    Only composed maps are needed: each bucket is folded to one map, those to one map per thousand buckets, and these to one per
+    toilet. No event is joined or replayed.
+    """
+    buckets = buckets or choose_bucket(events, key)
+    a, b = _maps(events, cleaning_effect)
+    maps = events.withColumns({"__bucket": _bucket(events, buckets.seconds), "a": a, "b": b, "m": F.lit(1.0), "n": F.lit(1).cast("long")})
+    small = _folded(maps, [key, "__bucket"], ["ts", "event_id"])
+    large = _folded(small.withColumn("__wide", F.floor(F.col("__bucket") / 1_000)), [key, "__wide"], ["__bucket"])
+    return _folded(large, [key], ["__wide"]).select(key, F.least("m", "b").alias("level"), F.col("n").alias("events"))
 
 
 def exposure_asof(
