@@ -269,8 +269,10 @@ def fit_labeller(pages: DataFrame, sample: int = 200, practice: int = 500) -> La
 
     Sampled pages count only if their structure names a main text. The practice pages use the sample's words.
     """
-    key = F.xxhash64(F.col("page_id").cast("string"), F.col("url").cast("string"))
-    rows = pages.where(F.col("html").isNotNull()).select(key.alias("k"), "html").orderBy("k", F.xxhash64("html")).limit(sample).collect()
+    keyed = pages.select(F.xxhash64(F.col("page_id").cast("string"), F.col("url").cast("string")).alias("k"), "html").where(F.col("html").isNotNull())
+    # the sample's hashes first, so that tasks send numbers and not pages; then one page of each
+    smallest = [r["k"] for r in keyed.select("k").distinct().orderBy("k").limit(sample).collect()]
+    rows = keyed.where(F.col("k") <= max(smallest)).groupBy("k").agg(F.min("html").alias("html")).orderBy("k").collect() if smallest else []
     read = [blocks_of(r["html"]) for r in rows]
     words = sorted({w for blocks in read for b in blocks for w in b.text.split()[:50]})[:5000] or ["text"]
     read = [b for b in read if any(taught(x.path) for x in b)] + [blocks_of(p) for p in practice_pages(words, practice)]
