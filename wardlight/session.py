@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # Tables up to this many rows may be held on the driver and broadcast; larger ones take the shuffle join.
 SMALL_TABLE_ROWS = 20_000
+SMALL_TABLE_BYTES = 16_000_000
 
 
 def build_session(app: str = "wardlight", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
@@ -64,11 +65,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_or_self(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """``df`` as a broadcast local table if it has at most ``max_rows`` rows, otherwise ``df`` unchanged.
+    """``df`` as a broadcast local table if it has at most ``max_rows`` rows and 16 MB, otherwise ``df`` unchanged.
 
     The check fetches ``max_rows + 1`` rows at most, so the driver never holds a table that grows with the data.
     """
     table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
+    if table.num_rows > max_rows or table.nbytes > SMALL_TABLE_BYTES:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(table, schema=df.schema))
