@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlight.functions.quantiles import DIRECT_ROWS, quantiles_by
+from wardlight.functions.quantiles import quantiles_by
 from wardlight.functions.scans import take_smallest
 from wardlight.session import materialize, small_or_self
 
@@ -72,20 +72,14 @@ def mad_scale(aligned: DataFrame, n: int | None = None) -> DataFrame:
     return mad.select("month", "target", "median", (F.lit(MAD_SCALE) * F.col("raw")).alias("mad"))
 
 
-def rows_per_month(aligned: DataFrame) -> int:
-    """An upper bound on the rows of a month: all rows when they are few, otherwise the number of sets."""
-    rows = aligned.count()
-    return rows if rows <= DIRECT_ROWS else aligned.select("siminputrow").distinct().count()
-
-
 def scaled_distances(aligned: DataFrame, scale: DataFrame) -> DataFrame:
     """Euclidean distance of every set to the target, each month divided by its mad (unscaled when the mad is 0).
 
-    A set with a missing month gets null here.
+    A set with a missing month gets null here, as do all sets when none is complete.
     """
     unit = F.when(F.col("mad") == 0.0, F.lit(1.0)).otherwise(F.col("mad"))
     term = (F.col("rate") - F.col("target")) / unit
-    joined = aligned.join(small_or_self(scale.select("month", "mad")), "month")
+    joined = aligned.join(small_or_self(scale.select("month", "mad")), "month", "left")
     total = joined.groupBy("siminputrow").agg(F.sum(term * term).alias("total"), F.bool_and("complete").alias("complete"))
     return total.select("siminputrow", F.when(F.col("complete"), F.sqrt("total")).alias("distance"))
 
@@ -111,10 +105,10 @@ def reject(statistics: DataFrame, target: DataFrame, tol: float) -> Rejection:
     wanted = small_or_self(target.select("month", F.col("rate").alias("target")))
     months = wanted.count()
     aligned = materialize(align(statistics, wanted, months), "abc-aligned")
-    found = aligned.select("month").distinct().count()
-    if found < months:
-        raise ValueError(f"{months - found} target months have no statistic")
-    scale = small_or_self(mad_scale(aligned, rows_per_month(aligned)))
+    sets = [r["count"] for r in aligned.groupBy("month").count().collect()]  # one row per target month
+    if len(sets) < months:
+        raise ValueError(f"{months - len(sets)} target months have no statistic")
+    scale = small_or_self(mad_scale(aligned, max(sets, default=0)))
     distances = materialize(scaled_distances(aligned, scale), "abc-distances")
     n = distances.count()
     distances = rank_incomplete_last(distances)
