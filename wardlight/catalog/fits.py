@@ -45,6 +45,12 @@ def j1_complete_cases(spark, sf):
     return abc.reject(stats, target, 0.6).accepted
 
 
+def j7_month_alignment(spark, sf):
+    """A target that begins and ends half a year later than the statistics: months are missing on either side."""
+    stats = materialize(_stats(spark, sf), "statistics")
+    return abc.month_alignment(stats, _target(stats).withColumn("month", F.add_months("month", 6)))
+
+
 def j2_mad_scale(spark, sf):
     stats = materialize(_stats(spark, sf), "statistics")
     target = _target(stats, "2004-09-01").withColumnRenamed("rate", "target")
@@ -205,6 +211,12 @@ def register(r: Registry) -> None:
         SELECT * FROM (SELECT siminputrow, distance, ROW_NUMBER() OVER (ORDER BY distance, siminputrow) AS accept_rank FROM di) t
         WHERE accept_rank <= (SELECT CAST(CEIL(COUNT(*) * {real(0.6)}) AS BIGINT) FROM di)""", ["distance"],
     )
+    r.add(
+        "j7_month_alignment", j7_month_alignment,
+        with_blocks(
+            """SELECT COALESCE(s.month, t.month) AS month, COALESCE(s.sets, 0) AS sets, t.month IS NOT NULL AS wanted FROM (SELECT month, COUNT(rate) AS sets FROM stats GROUP BY 1) s
+            FULL JOIN (SELECT DISTINCT CAST(month + INTERVAL 6 MONTH AS DATE) AS month FROM stats) t ON t.month = s.month""", "stats"),
+    )
     r.add("j2_mad_scale", j2_mad_scale, with_blocks("SELECT month, target, median, mad FROM pre_mad", "pre_mad"), ["target", "median", "mad"])
     r.add("j3_distance", j3_distance, with_blocks("SELECT * FROM pre_distance", "pre_distance"), ["distance"])
     r.add(

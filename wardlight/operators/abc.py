@@ -60,6 +60,13 @@ def align(statistics: DataFrame, target: DataFrame, months: int) -> DataFrame:
     return joined.withColumn("complete", F.count("rate").over(per_set) == months)
 
 
+def month_alignment(statistics: DataFrame, target: DataFrame) -> DataFrame:
+    """Months of either side: ``sets`` with a rate in the statistics, and whether the month is ``wanted`` by the target."""
+    have = statistics.groupBy("month").agg(F.count("rate").alias("sets"))
+    both = have.join(target.select("month", F.lit(True).alias("wanted")), "month", "full")
+    return both.select("month", F.coalesce("sets", F.lit(0).cast("long")).alias("sets"), F.coalesce("wanted", F.lit(False)).alias("wanted"))
+
+
 def mad_scale(aligned: DataFrame, n: int | None = None) -> DataFrame:
     """Per month: target, median and ``mad = 1.4826 * median(|x - median|)`` over the complete sets.
 
