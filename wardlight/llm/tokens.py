@@ -94,14 +94,14 @@ class Encoder:
         return ids, np.diff(upto)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One per worker and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One per worker process and vocabulary file. It is kept at the library's module: functions of this one reach workers by value."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_kept_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
