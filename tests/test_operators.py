@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -250,6 +251,10 @@ def test_quantile_functions(spark):
     df = spark.createDataFrame([(0.5,), (0.975,)], "p double")
     got = df.select(apply_qfun(F.col("p"), {"qfun": "qnorm", "mean": 1.0, "sd": 2.0, "min": 9.0}).alias("x")).collect()
     assert np.allclose([r["x"] for r in got], [1.0, 1.0 + 2.0 * 1.959963984540054])
+    probs = [1e-300, 1e-12, 1e-5, 0.0749, 0.0751, 0.3, 0.5, 0.9, 0.99999, 1 - 1e-12]
+    found = spark.createDataFrame([(x,) for x in [*probs, 0.0, 1.0, None, float("nan")]], "p double").select(apply_qfun(F.col("p"), {"qfun": "qnorm"}).alias("x")).collect()
+    assert np.allclose([r["x"] for r in found[:10]], [NormalDist().inv_cdf(x) for x in probs], rtol=1e-12, atol=1e-15)
+    assert [r["x"] for r in found[10:13]] == [-math.inf, math.inf, None] and math.isnan(found[13]["x"])
     with pytest.raises(ValueError, match="unknown quantile"):
         apply_qfun(F.col("p"), {"qfun": "nope"})
 

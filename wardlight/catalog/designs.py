@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from wardlight.catalog.blocks import real, with_blocks
 from wardlight.catalog.registry import Registry
+from wardlight.functions import qfun
 from wardlight.functions.uniform import hash_uniform
 from wardlight.operators import design
 from wardlight.operators.reshape import pivot_longer
@@ -50,6 +53,22 @@ def b1_design_from_uniforms(spark, sf):
     return design.draw(_draws(spark, sf), PAIR, lambda n: F.col(UNIFORM_OF[n])).drop("u1", "u2")
 
 
+def b2_normal_quantiles(spark, sf):
+    draws = derived.uniforms(spark, sf)
+    return draws.select("row_id", qfun.apply_qfun(F.col("u1"), {"qfun": "qnorm", "mean": 1.0, "sd": 2.0}).alias("x"), qfun.apply_qfun(F.col("u2") * 1e-9, {"qfun": "qnorm"}).alias("far"))
+
+
+def _normal_sql(p: str) -> str:
+    """The normal quantile in SQL from the same coefficients."""
+    def ratio(r, parts):
+        above, below = (reduce(lambda acc, c: f"({acc}) * {r} + {real(c)}", part[1:], real(part[0])) for part in parts)
+        return f"({above}) / ({below})"
+
+    q, r = f"({p} - {real(0.5)})", f"sqrt(-ln(least({p}, 1 - {p})))"
+    tail = f"CASE WHEN {r} <= 5 THEN {ratio(f'({r} - {real(1.6)})', qfun.TAIL)} ELSE {ratio(f'({r} - 5)', qfun.FAR_TAIL)} END"
+    return f"CASE WHEN {p} <= 0 THEN CAST('-inf' AS DOUBLE) WHEN abs({q}) <= {real(0.425)} THEN {q} * {ratio(f'({real(0.180625)} - {q} * {q})', qfun.CENTRE)} ELSE sign({q}) * ({tail}) END"
+
+
 def b2_quantile_functions(spark, sf):
     specs = {
         "toilet_cleaning_rate": {"qfun": "qexp", "rate": 2.0, "mean": 9.0},
@@ -154,6 +173,10 @@ def register(r: Registry) -> None:
         "b1_design_from_uniforms", b1_design_from_uniforms,
         with_blocks(f"SELECT row_id AS siminputrow, {unif('u1', 0.5, 3.0)} AS {pair[0]}, {unif('u2', 0.01, 7.0)} AS {pair[1]} FROM uniforms", "uniforms"), pair,
     )
+    r.add(
+        "b2_normal_quantiles", b2_normal_quantiles,
+        with_blocks(f"SELECT row_id, 1 + 2 * ({_normal_sql('u1')}) AS x, {_normal_sql('t')} AS far FROM (SELECT *, u2 * CAST('1e-9' AS DOUBLE) AS t FROM uniforms)", "uniforms"), ["x", "far"],
+    )
     r.add(
         "b2_quantile_functions", b2_quantile_functions,
         with_blocks(f"SELECT row_id AS siminputrow, ROUND(-ln(1 - u1) / 2, 3) AS {pair[0]}, {unif('u2', 1.0, 2.0)} AS {pair[1]} FROM uniforms", "uniforms"), pair,
