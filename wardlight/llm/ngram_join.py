@@ -5,9 +5,9 @@ of a shingle that one class alone has is empty for all others, so a class with t
 rest, the shortest lists name candidates; each search then merges the short lists by a heap, and probes the long ones by
 binary search only for candidates that can still reach the required overlap (DivideSkip).
 
-Only components are wanted. Documents that share short lists are dealt into chunks and searched there; then each list's
-leader is searched for among those not connected to it; at last every two documents of a list that are still apart meet
-once. Groups of copies are thus not paired with each other, and no link between components is lost.
+Only components are wanted. Documents that share short lists are dealt into chunks and searched there, then in the chunks
+of their lists' leaders, at last in every chunk with which they share a list and not the component. No pairs are made:
+a search returns links only, and what is connected already is not searched for.
 """
 
 from __future__ import annotations
@@ -164,7 +164,9 @@ def divide_skip(query: np.ndarray, n: int, sets: list[np.ndarray], sizes: np.nda
 
 
 def links(members: DataFrame, survivors: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """Links (a, b) found by searching each group of ``members`` (g, key), one document after another.
+    """Links (a, b) found by searching each group of ``members`` (g, key, asks), one document after another.
+
+    Documents that ask are searched for among the others of the group; if all ask, among each other.
 
     What is connected already, by ``labels`` or by a link of the group, is not searched again: groups of copies take one
     search per copy, not one per pair.
@@ -183,9 +185,10 @@ def links(members: DataFrame, survivors: DataFrame, labels: DataFrame | None, pe
             return x
 
         a, b = [], []
-        for i in range(len(keys) - 1):
+        asking, among = [i for i, x in enumerate(rows["asks"]) if x], [i for i, x in enumerate(rows["asks"]) if not x]
+        for i in asking:
             own = find(rows["label"][i])
-            others = [j for j in range(i + 1, len(keys)) if find(rows["label"][j]) != own]
+            others = [j for j in among or range(i + 1, len(keys)) if find(rows["label"][j]) != own]
             for k in divide_skip(sets[i], int(sizes[i]), [sets[j] for j in others], sizes[others], percent) if others else []:
                 own, other = find(own), find(rows["label"][others[k]])
                 if own != other:
@@ -193,33 +196,32 @@ def links(members: DataFrame, survivors: DataFrame, labels: DataFrame | None, pe
                     a.append(keys[i]), b.append(keys[others[k]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.select("g", "key", "n", "shared", "label").groupBy("g").applyInArrow(search, "a long, b long")
+    return rows.select("g", "key", "asks", "n", "shared", "label").groupBy("g").applyInArrow(search, "a long, b long")
 
 
-def across(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Groups (g, key) that hold both ends of each pair (a, b): one group for each two chunks between which there are pairs."""
-    of = lambda c, k: chunks.select(F.col("key").alias(c), F.col("chunk").alias(k))
-    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").withColumn("g", F.xxhash64(F.least("x", "y"), F.greatest("x", "y")))
-    return both.select("g", F.explode(F.array("a", "b")).alias("key")).distinct()
+def asked(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Groups (g, key, asks) in which each document of ``queries`` (key, chunk) is searched for among those of its ``chunk``.
 
+    A chunk with many queries is searched in several groups.
+    """
+    parts = queries.groupBy("chunk").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+    asks = queries.join(parts, "chunk").select(F.xxhash64("chunk", F.pmod(F.xxhash64("key"), "parts").cast("int")).alias("g"), "key", F.lit(True).alias("asks"))
+    own = parts.select("chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(chunks, "chunk")
+    return asks.union(own.select(F.xxhash64("chunk", "part").alias("g"), "key", F.lit(False).alias("asks")))
 
-def open_lists(survivors: DataFrame, postings: DataFrame, label: DataFrame) -> DataFrame:
-    """(h, key, n, label, ahead) of lists whose documents are not connected yet; ``ahead``: shingles of the document's shorter lists."""
-    named = postings.join(label.withColumnRenamed("v", "key"), "key", "left").select("h", "key", F.coalesce("label", "key").alias("label"))
-    mixed = named.groupBy("h").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("h")
-    wanted = named.join(mixed, "h")
 
-    def unroll(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                h = np.frombuffer(row["short"], np.int64)
-                yield pa.RecordBatch.from_pydict({
-                    "key": pa.array([row["key"]] * len(h), pa.int64()), "h": pa.array(h), "n": pa.array([row["n"]] * len(h), pa.int64()),
-                    "ahead": pa.array([h[:i] for i in range(len(h))], pa.list_(pa.int64())),
-                })
+def open_queries(postings: DataFrame, chunks: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, chunk): chunks that hold, in a list of the document, one of another and larger component.
 
-    again = survivors.join(wanted.select("key").distinct(), "key", "left_semi").select("key", "n", "short")
-    return wanted.join(again.mapInArrow(unroll, "key long, h long, n long, ahead array<long>"), ["h", "key"]).select("h", "key", "n", "label", "ahead")
+    Of two documents that may be linked the one of the smaller component asks, so a large group of copies asks for nothing.
+    """
+    named = chunks.join(label.withColumnRenamed("v", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    sizes = named.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    ranked = write_table(named.join(sizes, "label").select("key", "chunk", F.struct("size", "label").alias("rank")), "ranked")
+    lists = postings.select("h", "key").join(ranked, "key")
+    tops = lists.groupBy("h", "chunk").agg(F.max("rank").alias("top")).withColumnRenamed("chunk", "to")
+    wanted = lists.join(tops, "h").where((F.col("chunk") != F.col("to")) & (F.col("top") > F.col("rank")))
+    return wanted.select("key", F.col("to").alias("chunk")).distinct()
 
 
 def similar_documents(docs: DataFrame, percent: int = 90) -> DataFrame:
@@ -253,23 +255,18 @@ def similar_documents(docs: DataFrame, percent: int = 90) -> DataFrame:
     sizes = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     chunks = family.join(sizes, "family").select("key", F.xxhash64("family", F.pmod(F.xxhash64("key"), "chunks")).alias("chunk"))
     chunks = write_table(chunks, "chunks")
-    edges = write_table(links(chunks.withColumnRenamed("chunk", "g"), survivors, None, percent), "links")
+    edges = write_table(links(chunks.select(F.col("chunk").alias("g"), "key", F.lit(True).alias("asks")), survivors, None, percent), "links")
     label = components(edges)
-    # between chunks: first each list's leader with all that are not connected to it
-    named_postings = postings.join(label.withColumnRenamed("v", "key"), "key", "left").select("h", "key", F.coalesce("label", "key").alias("label"))
-    stars = named_postings.join(leaders.join(named_postings.select("h", F.col("key").alias("leader"), F.col("label").alias("label_a")), ["h", "leader"]), "h")
-    stars = stars.where("label <> label_a").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    found = write_table(links(across(stars, chunks), survivors, label, percent), "links")
-    edges = edges.union(found)
+    # between chunks: first among those of each list's leader
+    leads = postings.select("h", "key").join(leaders, "h").where("key <> leader").select("key", "leader").distinct()
+    of = chunks.select(F.col("key").alias("leader"), F.col("chunk").alias("to"))
+    near = leads.join(of, "leader").join(chunks, "key").where("chunk <> to").select("key", F.col("to").alias("chunk")).distinct()
+    edges = edges.union(write_table(links(asked(write_table(near, "queries"), chunks), survivors, label, percent), "links"))
     label = components(edges)
-    # then every pair of a list that is still apart, at the first list that both are in
-    open_ = write_table(open_lists(survivors, postings, label), "open")
-    other = open_.select("h", F.col("key").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"), F.col("ahead").alias("ahead_b"))
-    pairs = open_.withColumnRenamed("key", "a").join(other, "h").where("label <> label_b").where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b"))))
-    pairs = pairs.where(100 * F.col("n") >= percent * F.col("m")).where(~F.arrays_overlap("ahead", "ahead_b"))
-    rest = write_table(pairs.select("a", "b"), "rest")
+    # then wherever a list still holds two components
+    rest = write_table(open_queries(postings, chunks, label), "queries")
     if rest.take(1):
-        edges = edges.union(links(across(rest, chunks), survivors, label, percent))
+        edges = edges.union(links(asked(rest, chunks), survivors, label, percent))
         label = components(edges)
     named = rows.join(label.withColumnRenamed("v", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     named = write_table(named.select("doc_id", "n", "label"), "named")
