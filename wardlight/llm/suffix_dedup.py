@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wardlight.llm.blocks import (
-    BYTE_KEYS, NO_ID, U64, Block, gather, map_blocks, mix, pack_array, pack_blocks, pack_sorted, part_of, partitions_of, ranges_of,
+    BLOCK_BYTES, BYTE_KEYS, NO_ID, U64, Block, gather, map_blocks, mix, pack_array, pack_blocks, pack_sorted, part_of, partitions_of, ranges_of,
     repeated, reply, send, unpack_array, unpack_bits,
 )
 
@@ -46,17 +46,17 @@ def anchors(block: Block, window: int) -> tuple[np.ndarray, np.ndarray]:
         h = h[:-size] * U64(0x9E3779B97F4A7C15) + (h[size:] ^ (h[size:] >> U64(29)))
         size *= 2
     h = mix(h)
+    rank = (h >> U64(32)).astype(np.uint32) | np.uint32(1)
     span = window - GRAM + 1
-    least = _spread(h, span, np.minimum)
-    inside = np.ones(n + 1, np.int8)
+    least = _spread(rank, span, np.minimum)
     ends = block.offsets[1:]
-    edge = np.zeros(n + 1, np.int64)
+    edge = np.zeros(n + 1, np.int32)
     np.add.at(edge, np.maximum(block.offsets[:-1], ends - window + 1), 1)
     np.add.at(edge, ends, -1)
-    inside = np.cumsum(edge)[:len(least)] == 0
-    least = np.where(inside, least, U64(0))
-    most = _spread(np.concatenate((np.zeros(span - 1, U64), least, np.zeros(span - 1, U64))), span, np.maximum)
-    at = np.flatnonzero(most[:len(h)] == h)
+    least[np.cumsum(edge, dtype=np.int32)[:len(least)] != 0] = 0  # windows that leave their document
+    none = np.zeros(span - 1, np.uint32)
+    most = _spread(np.concatenate((none, least, none)), span, np.maximum)
+    at = np.flatnonzero(most[:len(rank)] == rank)
     return at, h[at]
 
 
@@ -265,7 +265,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
     """
     if not GRAM + 4 <= window < GRAM + 64:
         raise ValueError("window must lie between 20 and 79 bytes")
-    blocks = pack_blocks(docs)
+    blocks = pack_blocks(docs, BLOCK_BYTES // 2)  # several arrays of eight bytes per byte of text
     parts = 4 * partitions_of(blocks)
 
     def keys(block: Block):
