@@ -41,7 +41,7 @@ class Block:
         return np.repeat(np.arange(len(self.ids)), np.diff(self.offsets))
 
 
-def _pack(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def packer(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches):
         number = TaskContext.get().partitionId() << 32
         ids, sizes, chunks, total = [], [], [], 0
@@ -84,7 +84,7 @@ def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` (doc_id, text) as a bucketed table of blocks in the shared folder; nothing is shuffled for it."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    packed = rows.mapInArrow(_pack(block_bytes), "block long, ids binary, sizes binary, data binary")
+    packed = rows.mapInArrow(packer(block_bytes), "block long, ids binary, sizes binary, data binary")
     name = f"blocks_{uuid.uuid4().hex}"
     # no fewer buckets than shuffle partitions, or a join would move the blocks to that many
     buckets = max(4, rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -15,10 +15,10 @@ from collections import deque
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlight.llm.blocks import BLOCK_BYTES, NO_ID, _pack, block_of, write_table
+from wardlight.llm.blocks import BLOCK_BYTES, NO_ID, block_of, packer, write_table
 from wardlight.llm.tokens import encoder, with_end
 from wardlight.session import small_or_self
 
@@ -99,7 +99,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, window: int, end: int, ids: bool
     """Full windows and rests of encoded documents, numbered by length within each task; a table in the shared folder."""
     def run(batches):
         task, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
-        for packed in _pack(BLOCK_BYTES)(batches):
+        for packed in packer(BLOCK_BYTES)(batches):
             block = block_of(packed.to_pylist()[0])
             tokens, counts = with_end(*encoder(vocabulary).encode(block), end)
             number = (counts + window - 1) // window
@@ -140,8 +140,6 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 2048, end: in
     # ``window`` rows at most
     lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     places = spark.createDataFrame(best_fit_decreasing(lengths, window), "length long, low long, high long, each long, first long, base long")
-    from pyspark.sql import Window
-
     upto = F.sum("count").over(Window.partitionBy("length").orderBy("task"))  # one row per task
     bases = counts.select("task", "length", (upto - F.col("count")).alias("before"))
     ranked = pieces.join(small_or_self(bases, 200_000), ["task", "length"]).withColumn("rank", F.col("before") + F.col("local"))
