@@ -11,7 +11,9 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from wardlight.llm import fingerprints as op8
 from wardlight.llm import html_extract
+from wardlight.llm.blocks import U64, Block, pack_blocks
 from wardlight.llm.fingerprints import fingerprint_documents
 from wardlight.llm.html_extract import blocks_of, extract_text, fit_labeller, label_pages, practice_pages, taught
 from wardlight.llm.quality import STATISTICS, fit, score_quality, statistics
@@ -122,6 +124,25 @@ def test_fingerprints(spark):
     assert single[0].near_next == 1 and fingerprint_documents(empty(spark)).count() == 0
 
 
+def block_with(parts):
+    raw = [p.encode() for p in parts]
+    return Block(0, np.arange(len(raw)), np.concatenate(([0], np.cumsum([len(r) for r in raw], dtype=np.int64))), np.frombuffer(b"".join(raw), np.uint8))
+
+
+@pytest.mark.parametrize("size", [1, 400, 5000, 2_000_000])
+def test_edited_texts_have_the_fingerprint_of_a_document(spark, monkeypatch, size):
+    r = np.random.default_rng(3)  # short words of three letters: an edit often makes a word that other documents have
+    rows = [(i, " ".join("".join(r.choice(list("abc"), r.integers(1, 4))) for _ in range(r.integers(5, 40)))) for i in range(80)]
+    edited = [t[:len(t) - len(t) // 4] + rows[(i + 1) % 80][1][:len(t) // 4] for i, t in rows]
+    term, doc = op8._terms(block_with([t for _, t in rows]))
+    keys, df = np.unique(np.array(sorted(set(zip((term >> U64(24)).tolist(), doc.tolist(), strict=True))), U64)[:, 0], return_counts=True)
+    idf = np.log(80 / df) / np.log(80)
+    want = op8._hex(*op8.fingerprints(block_with(edited), keys, (idf >= 0.25) & (idf <= 0.95)))
+    monkeypatch.setattr(op8, "pack_blocks", lambda docs: pack_blocks(docs, size))
+    got = {r.doc_id: r.edited_fingerprint for r in fingerprint_documents(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(80)] == want
+
+
 def test_fingerprints_tell_edits_from_others(spark):
     got = fingerprint_documents(spark.read.parquet(f"{BIG}/documents.parquet")).where("n_chars > 400").collect()
     assert np.mean([r.near_edited for r in got]) > 0.35 and np.mean([r.near_next for r in got]) < 0.1

@@ -76,17 +76,39 @@ def _terms(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(block.data, starts, ends), doc
 
 
-def _lexicon_keys(block: Block, guests: dict):
-    own = len(block.ids)
-    term, doc = _terms(_with_guests(block, guests)[0])
+def _edit(block: Block, guests: dict, nexts: dict) -> tuple[Block, Block, np.ndarray, list[int]]:
+    """The block with its guests, the edited texts as a block, where each document's next one is, and sizes in characters."""
+    whole, guest_at = _with_guests(block, guests)
+    n = len(block.ids)
+    follower = np.array([guest_at[i] if i in guest_at else int(nexts[i]) for i in range(n)], np.int64)
+    texts = [t.decode() for t in _texts(whole)]
+    edited, chars = [], []
+    for i in range(n):
+        size = len(texts[i])
+        cut = size // 4
+        chars.append(size)
+        edited.append((texts[i][:size - cut] + texts[follower[i]][:cut]).encode())
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in edited], dtype=np.int64)))
+    return whole, Block(block.number, block.ids, offsets, np.frombuffer(b"".join(edited), np.uint8)), follower, chars
+
+
+def _lexicon_keys(own: int, whole: Block, edited: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all terms that are fingerprinted, and how many of the block's ``own`` documents have each.
+
+    Guests and edited texts ask without being counted: an edit makes words that no text of the block need have.
+    """
+    term, doc = _terms(whole)
     key = term >> U64(64 - TERM_BITS)
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
     pair = np.ones(len(key), bool)
     pair[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
     key, doc = key[pair], doc[pair]
-    keys, start = np.unique(key, return_index=True)
-    counts = np.add.reduceat((doc < own).astype(np.int64), start) if len(start) else start
+    found, start = np.unique(key, return_index=True)
+    keys = np.union1d(found, _terms(edited)[0] >> U64(64 - TERM_BITS))
+    counts = np.zeros(len(keys), np.int64)
+    if len(start):
+        counts[np.searchsorted(keys, found)] = np.add.reduceat((doc < own).astype(np.int64), start)
     return keys, counts
 
 
@@ -161,24 +183,15 @@ def _hex(low: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> list[str]:
 
 
 def _rows(block: Block, guests: dict, nexts: dict, answers: dict, parts: int):
-    whole, guest_at = _with_guests(block, guests)
-    keys, _ = _lexicon_keys(block, guests)
-    inside = gather(keys, parts, answers, unpack_bits, TERM_BITS)
     n = len(block.ids)
-    follower = np.array([guest_at[i] if i in guest_at else int(nexts[i]) for i in range(n)], np.int64)
-    texts = [t.decode() for t in _texts(whole)]
-    edited, chars = [], []
-    for i in range(n):
-        size = len(texts[i])
-        cut = size // 4
-        chars.append(size)
-        edited.append((texts[i][:size - cut] + texts[follower[i]][:cut]).encode())
-    edited_block = Block(block.number, block.ids, np.concatenate(([0], np.cumsum([len(t) for t in edited], dtype=np.int64))), np.frombuffer(b"".join(edited), np.uint8))
-    own, other = fingerprints(whole, keys, inside), fingerprints(edited_block, keys, inside)
+    whole, edited, follower, chars = _edit(block, guests, nexts)
+    keys, _ = _lexicon_keys(n, whole, edited)
+    inside = gather(keys, parts, answers, unpack_bits, TERM_BITS)
+    own, other = fingerprints(whole, keys, inside), fingerprints(edited, keys, inside)
     mine, behind = [x[:n] for x in own], [x[follower] for x in own]
     return {
         "doc_id": pa.array(block.ids, mask=block.ids == NO_ID), "n_chars": pa.array(chars, pa.int64()),
-        "edited_sha256": [hashlib.sha256(t).hexdigest() for t in edited],
+        "edited_sha256": [hashlib.sha256(t).hexdigest() for t in _texts(edited)],
         "fingerprint": _hex(*mine), "edited_fingerprint": _hex(*other),
         "near_edited": likeness(*mine, *other), "near_next": likeness(*mine, *behind),
     }
@@ -202,10 +215,11 @@ def fingerprint_documents(docs: DataFrame, band: tuple[float, float] = (0.25, 0.
     guests = write_table(map_blocks(blocks, _give, "part int, block long, answer binary", [asked]), "guests")
     documents = order.count()
 
-    def terms(block: Block, given: dict):
-        keys, counts = _lexicon_keys(block, given)
+    def terms(block: Block, given: dict, nexts: dict):
+        whole, edited, _, _ = _edit(block, given, nexts)
+        keys, counts = _lexicon_keys(len(block.ids), whole, edited)
         return {p: pack_sorted(keys[a:b]) + pack_array(counts[a:b].astype(U64)) for p, a, b in ranges_of(keys, parts, TERM_BITS)}
 
-    lexicon = reply(send(blocks, terms, parts, [guests]), _document_frequencies(documents, band), "lexicon")
+    lexicon = reply(send(blocks, terms, parts, [guests, local]), _document_frequencies(documents, band), "lexicon")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return map_blocks(blocks, lambda block, given, nexts, answers: _rows(block, given, nexts, answers, parts), schema, [guests, local, lexicon])
