@@ -41,6 +41,38 @@ def test_ids_are_those_of_the_whole_text(parts):
     assert got == [whole(p) for p in parts]
 
 
+def untouched(text):
+    from tokenizers import Tokenizer
+
+    if not hasattr(untouched, "t"):
+        untouched.t = Tokenizer.from_file(byte_vocabulary())
+    return untouched.t.encode(text or "", add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(ALPHABET | st.sampled_from(["<|endoftext|>", "<|endof", "text|>", "<", " "]), max_size=30).map("".join), min_size=1, max_size=4))
+def test_ids_with_names_are_those_of_an_untouched_tokenizer(parts):
+    ids, counts = encoder(byte_vocabulary(), names=True).encode(block(parts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [untouched(p) for p in parts]
+
+
+NAMED = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "x  <|endoftext|><|endoftext|>\n\n y"), (4, "<|endof"), (5, "text|> <|endoftext|"), (6, "plain words"), (7, "é<|endoftext|>'s")]
+
+
+def test_operators_read_names_of_added_tokens(spark):
+    assert untouched(NAMED[1][1]) == [50256]
+    folder = scratch_path(spark, "file")
+    write_token_file(frame(spark, NAMED), folder, byte_vocabulary(), 0)
+    want = {d: untouched(t) for d, t in NAMED}
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in read_token_file(spark, folder).collect()}
+    at = 0
+    for d, _ in NAMED:
+        assert got[d] == (at, len(want[d]) + 1, crc(want[d] + [0]))
+        at += len(want[d]) + 1
+    packed = pack_documents(frame(spark, NAMED), byte_vocabulary(), window=2048, end=1).collect()
+    assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packed} == {d: (len(x) + 1, crc(x + [1])) for d, x in want.items()}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 10**6), min_size=1, max_size=300), st.integers(9, 16))
 def test_code_lengths(counts, limit):

@@ -101,7 +101,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, window: int, end: int, ids: bool
         task, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for packed in packer(BLOCK_BYTES)(batches):
             block = block_of(packed.to_pylist()[0])
-            tokens, counts = with_end(*encoder(vocabulary).encode(block), end)
+            tokens, counts = with_end(*encoder(vocabulary, names=True).encode(block), end)
             number = (counts + window - 1) // window
             doc = np.repeat(np.arange(len(counts)), number)
             start = (np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)) * window

@@ -2,12 +2,15 @@
 
 The pre-tokenizer of a byte-level vocabulary never joins some neighbours: a letter and punctuation, or either and the
 white space behind it. Texts are cut there; each distinct piece of a block is encoded once, and a worker remembers
-pieces it has met. The ids are those of the whole text (tests compare them).
+pieces it has met. The ids are those of the whole text (tests compare them). An added token of the vocabulary (``<|endoftext|>``)
+that a text holds is a piece of its own, as the library splits texts there first.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 
@@ -28,8 +31,17 @@ def byte_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pieces(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the pieces of a block's texts; every byte lies in one piece."""
+def added_tokens(tokenizer) -> re.Pattern | None:
+    """Finds the added tokens of a vocabulary in UTF-8 texts, the longest of those that start at one place."""
+    listed = json.loads(tokenizer.to_str())["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in listed) or len({t["normalized"] for t in listed}) > 1:
+        raise ValueError("added tokens that take white space, match whole words only or are found in two rounds cannot be cut out of a text")
+    names = sorted((t["content"].encode() for t in listed if t["content"]), key=len, reverse=True)
+    return re.compile(b"|".join(map(re.escape, names))) if names else None
+
+
+def pieces(block: Block, added: re.Pattern | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of a block's texts; every byte lies in one piece, each match of ``added`` is one."""
     data = block.data
     kind = KINDS[data]
     # two-byte letters of Latin-1 (without the signs for times and divided by)
@@ -39,20 +51,27 @@ def pieces(block: Block) -> tuple[np.ndarray, np.ndarray]:
     cut = np.zeros(len(data) + 1, bool)
     before, after = kind[:-1], kind[1:]
     cut[1:-1] = ((before == LETTER) & ((after == PUNCTUATION) | (after == SPACE))) | ((before == PUNCTUATION) & ((after == LETTER) | (after == SPACE)))
+    if added:
+        raw, edge = data.tobytes(), block.offsets.tolist()
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            for m in added.finditer(raw, a, b):
+                cut[m.start():m.end()] = False
+                cut[[m.start(), m.end()]] = True
     cut[block.offsets] = True
     at = np.flatnonzero(cut)
     return at[:-1], at[1:]
 
 
 class Encoder:
-    """Encodes blocks. Names of special tokens inside a text are ordinary text."""
+    """Encodes blocks. Names of special tokens inside a text are ordinary text, or with ``names`` those tokens (the library's default)."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, names: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not names
+        self.added = added_tokens(self.tokenizer) if names else None
         self.young: dict[bytes, np.ndarray] = {}
         self.old: dict[bytes, np.ndarray] = {}
 
@@ -80,7 +99,7 @@ class Encoder:
         n = len(block.ids)
         if not len(block.data):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        starts, ends = pieces(block)
+        starts, ends = pieces(block, self.added)
         _, first, place = np.unique(word_hashes(block.data, starts, ends), return_index=True, return_inverse=True)
         raw = block.data.tobytes()
         known = self._remember([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
@@ -94,14 +113,14 @@ class Encoder:
         return ids, np.diff(upto)
 
 
-def encoder(path: str) -> Encoder:
-    """One per worker process and vocabulary file. It is kept at the library's module: functions of this one reach workers by value."""
+def encoder(path: str, names: bool = False) -> Encoder:
+    """One per worker process, vocabulary file and reading of ``names``. It is kept at the library's module: functions of this one reach workers by value."""
     import tokenizers
 
     kept = vars(tokenizers).setdefault("_kept_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    if (path, names) not in kept:
+        kept[path, names] = Encoder(path, names)
+    return kept[path, names]
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
