@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm.blocks import documents
+from wardlight.llm.blocks import NO_ID, documents
 from wardlight.llm.decontaminate import contamination
 from wardlight.llm.ngram_join import similar_documents
 from wardlight.llm.packing import pack_documents
@@ -19,18 +19,32 @@ from wardlight.llm.tokens import byte_vocabulary
 from wardlight.session import materialize, scratch_path
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a name of each row's doc_id and text, by which decisions come back to the rows they were made for."""
+    return docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good ones; rows without a doc_id are kept with no label to judge them by."""
-    rejected = score_quality(docs, documents(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Rows that the classifier takes for good ones; rows without a doc_id are kept with no label to judge them by."""
+    rows = keyed(docs)
+    scored = score_quality(rows, documents(spark, sf_dir, "labels"), key="__row")
+    rejected = scored.where("predicted = 0 and doc_id is not null").select("doc_id", "__row").distinct()
+    return rows.join(rejected, ["doc_id", "__row"], "left_anti").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links connect, the one with the smallest doc_id. Repeated rows of it become one."""
-    groups = similar_documents(docs)
-    kept = groups.where("component_id = doc_id").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """Of each group of rows that links connect, one with the smallest doc_id; null ids come last.
+
+    Rows with one doc_id and one text become one, other rows of a doc_id are judged each. Rows without a doc_id and without words are all kept.
+    """
+    blank = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = keyed(docs).where(~blank)
+    groups = similar_documents(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id").distinct()
+    ids = rows.select("__row", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("__id")).distinct()
+    first = groups.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct("__id", "__row")).alias("first"))
+    kept = first.select(F.col("first.__row").alias("__row")).distinct()
+    once = rows.join(kept, "__row", "left_semi").dropDuplicates(["doc_id", "__row"])
+    return once.select(docs.columns).unionByName(docs.where(blank)).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -192,3 +192,17 @@ def test_stages_take_awkward_tables(spark, k):
         assert out.columns == awkward.columns
         assert None in {r.doc_id for r in out.collect()}
     assert stage(spark, empty(spark), SF).count() == 0
+
+
+def test_stages_judge_rows_of_one_doc_id_each(spark):
+    words = [f"w{i}" for i in range(80)]
+    base, near, other = " ".join(words), " ".join(words[:-1] + ["end"]), " ".join(reversed(words))
+    rows = [(1, base), (2, near), (2, other), (None, near + " x"), (None, "some text of its own"), (None, ""), (None, ""), (3, "short"), (3, "short")]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), SF).collect()]
+    assert Counter(got) == Counter([(1, base), (2, other), (None, "some text of its own"), (None, ""), (None, ""), (3, "short")])
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scored = score_quality(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    good, bad = (docs.join(scored.where(f"predicted = {k}").orderBy("score" if not k else F.desc("score")).limit(1).select("doc_id"), "doc_id").first().text for k in (1, 0))
+    twice = docs.limit(1).select([F.lit(10**12).alias("doc_id") if c == "doc_id" else F.explode(F.array(F.lit(good), F.lit(bad))).alias("text") if c == "text" else c for c in docs.columns])
+    kept = corpus_pipeline.quality(spark, docs.union(twice), SF).where(f"doc_id = {10**12}").collect()
+    assert [r.text for r in kept] == [good]

@@ -50,15 +50,15 @@ def statistics(raw: bytes) -> list[float]:
     return [float(x) for x in out]
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, x): one narrow pass over whole texts."""
+def with_statistics(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """(doc_id, x) and the long column ``key`` of ``docs``, if named: one narrow pass over whole texts."""
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             rows = [statistics(t.as_py() or b"") for t in texts]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "x": pa.array(rows, pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "x": pa.array(rows, pa.list_(pa.float64()))} | ({key: batch.column(2)} if key else {}))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([key] if key else [])).mapInArrow(run, "doc_id long, x array<double>" + (f", {key} long" if key else ""))
 
 
 @dataclass(frozen=True)
@@ -141,15 +141,15 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs`` (doc_id, text).
 
     Learns from all rows of ``labels`` (doc_id, quality) that are not held out and whose quality is 0 or 1; a document with
     several labels counts once for each. Null and empty texts have statistics of their own and get a score; rows with
     the same doc_id each get a row; a null doc_id is held out. An empty table gives an empty result; without labels
-    every score is 0.5.
+    every score is 0.5. With ``key`` the long column of that name comes back too, to tell rows of one doc_id apart.
     """
-    x = write_table(with_statistics(docs), "statistics")
+    x = write_table(with_statistics(docs, key), "statistics")
     known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     model = fit(moments(x.join(known, "doc_id").where(~held_out()).select("x", "label")))
 
@@ -157,7 +157,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
         for batch in batches:
             rows = batch.column(1).to_pylist()
             scores = model.score(np.array(rows, float)) if rows else np.zeros(0)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(scores, pa.float64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(scores, pa.float64())} | ({key: batch.column(2)} if key else {}))
 
-    scored = x.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = x.mapInArrow(run, "doc_id long, score double" + (f", {key} long" if key else ""))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *([key] if key else []))
