@@ -45,16 +45,26 @@ def test_position_keeps_null_keys(spark):
     assert sorted((r["k"] or 0, r["step"], r["position"]) for r in position_in_group(df, ["k"], "step", width=4).collect()) == [(0, 5, 1), (0, 9, 2), (1, 3, 1)]
 
 
-@pytest.mark.parametrize("shape", ["uniform", "outlier", "ties", "constant"])
+@pytest.mark.parametrize("shape", ["uniform", "outlier", "ties", "constant", "most equal, NaN and nulls"])
 def test_global_rank(spark, shape):
     rng = random.Random(2)
-    value = {"uniform": rng.random, "outlier": lambda: rng.random() if rng.random() < 0.999 else 1e9, "ties": lambda: float(rng.randrange(3)), "constant": lambda: 4.0}[shape]
+    value = {
+        "uniform": rng.random, "outlier": lambda: rng.random() if rng.random() < 0.999 else 1e9, "ties": lambda: float(rng.randrange(3)), "constant": lambda: 4.0,
+        "most equal, NaN and nulls": lambda: rng.choice([1.0] * 6 + [rng.random(), float("nan"), None, 2.0]),
+    }[shape]
     rows = [(i, value()) for i in range(3_000)]
     df = spark.createDataFrame(rows, "id long, v double").repartition(5)
-    got = {r["id"]: r["rank"] for r in global_rank(df, "v", "id", bins=16, target=50).collect()}
-    assert got == {i: n + 1 for n, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+
+    def key(r):
+        return (-1, 0.0) if r[1] is None else (1, 0.0) if math.isnan(r[1]) else (0, r[1])
+
+    ranked = global_rank(df, "v", "id", parts=16)
+    assert {r["id"]: r["rank"] for r in ranked.collect()} == {i: n + 1 for n, (i, _) in enumerate(sorted(rows, key=lambda r: (key(r), r[0])))}
+    down = {r["id"]: r["rank"] for r in global_rank(df, "v", "id", descending=True).collect()}
+    assert down == {i: n + 1 for n, (i, _) in enumerate(sorted(rows, key=lambda r: (-key(r)[0], -key(r)[1], r[0])))}
     few = rows_of(take_smallest(df, "v", "id", 700, topk_rows=10), "id")
     assert few == rows_of(take_smallest(df, "v", "id", 700), "id")
+    assert rows_of(take_smallest(df, "v", "id", 40, topk_rows=10, descending=True), "id") == sorted((i,) for i, n in down.items() if n <= 40)
     assert rows_of(row_index(df, "v", "id", small_rows=1), "id", "index") == rows_of(row_index(df, "v", "id"), "id", "index")
 
 

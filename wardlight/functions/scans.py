@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardlight.session import materialize
+
 # Up to this many rows a top-k is one small sort; beyond it the cut is found by distributed ranking.
 TOPK_ROWS = 100_000
 
@@ -56,55 +58,41 @@ def position_in_group(df: DataFrame, keys: Sequence[str], order: str, width: int
     return joined.withColumn(out, (F.col("__offset") + F.col("__rank")).cast("long")).drop("__offset", "__rank", "__bucket")
 
 
-def equal_width_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """Index 0..bins-1 of ``value`` on an equal-width grid over ``[low, high]``; 0 when the grid has no width."""
-    scaled = F.floor((value - low) / (high - low) * F.lit(float(bins))).cast("long")
-    return F.when(high > low, F.greatest(F.lit(0), F.least(F.lit(bins - 1), scaled))).otherwise(F.lit(0)).cast("long")
-
-
-def global_rank(df: DataFrame, value: str, tie: str, out: str = "rank", bins: int = 1024, target: int = 1_000_000) -> DataFrame:
-    """1-based rank of every row by ``(value, tie)`` over the whole table, without a single-task sort.
+def global_rank(df: DataFrame, value: str, tie: str, out: str = "rank", descending: bool = False, parts: int | None = None) -> DataFrame:
+    """1-based rank of every row by ``value`` and then rising ``tie`` over the whole table, without a single-task sort.
 
-    Rows fall into equal-width bins of ``value``.  A bin above ``target`` rows (outliers squeeze the rest, or many
-    equal values) is cut again by its own value range, or by ``tie`` when its values are all equal.  Rank = rows in
-    earlier bins + row number inside the bin.  Values must not be null; ``tie`` is a numeric unique key.
+    The rows are dealt to ``parts`` ranges (default: the shuffle partitions) of the pair, cut at pairs that Spark samples, and each
+    range is sorted; rank = rows of the ranges before + place in the range. Ties are cut like anything else, so a value that most rows share does
+    not end up in one task. Nulls come first (last if ``descending``), NaN counts as the largest number. The input is evaluated once.
     """
-    v, t = F.col(value).cast("double"), F.col(tie).cast("double")
-    extent = df.agg(F.struct(F.min(v).alias("low"), F.max(v).alias("high")).alias("extent")).scalar()
-    binned = df.withColumn("__bin", equal_width_bin(v, extent["low"], extent["high"], bins))
-    per_bin = binned.groupBy("__bin").agg(
-        F.count(F.lit(1)).alias("__rows"),
-        F.min(v).alias("__v0"), F.max(v).alias("__v1"), F.min(t).alias("__t0"), F.max(t).alias("__t1"),
-    )
-    # at most `bins` rows: one constant key, one small window
-    per_bin = exclusive_running(per_bin.withColumn("__all", F.lit(1)), ["__all"], ["__bin"], {"__before": ("sum", "__rows")}).drop("__all")
-    cut = binned.join(F.broadcast(per_bin), "__bin")
-    finer = F.when(
-        F.col("__v1") > F.col("__v0"), equal_width_bin(v, F.col("__v0"), F.col("__v1"), bins)
-    ).otherwise(equal_width_bin(t, F.col("__t0"), F.col("__t1"), bins))
-    cut = cut.withColumn("__sub", F.when(F.col("__rows") > target, finer).otherwise(F.lit(0).cast("long")))
-    per_sub = cut.groupBy("__bin", "__sub").agg(F.count(F.lit(1)).alias("__sub_rows"))
-    per_sub = exclusive_running(per_sub, ["__bin"], ["__sub"], {"__sub_before": ("sum", "__sub_rows")}).drop("__sub_rows")
-    inside = Window.partitionBy("__bin", "__sub").orderBy(value, tie)
-    ranked = cut.withColumn("__inside", F.row_number().over(inside)).join(per_sub, ["__bin", "__sub"])
-    rank = (F.col("__before") + F.col("__sub_before") + F.col("__inside")).cast("long")
-    return ranked.select(*[F.col(c) for c in df.columns], rank.alias(out))
-
-
-def take_smallest(df: DataFrame, value: str, tie: str, k: int, rank: str | None = None, topk_rows: int = TOPK_ROWS) -> DataFrame:
-    """The ``k`` first rows by ``(value, tie)``, with their 1-based rank when ``rank`` names a column.
+    order = [F.col(value).desc() if descending else F.col(value).asc(), F.col(tie).asc()]
+    kept = materialize(df, "to-rank")
+    dealt = kept.repartitionByRange(parts, *order) if parts else kept.repartitionByRange(*order)
+    placed = materialize(dealt.sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    # the id of a row: its partition above bit 33, its place in the partition below
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))
+    # a row for each range: one constant key, one small window
+    before = exclusive_running(counts.withColumn("__all", F.lit(1)), ["__all"], ["__part"], {"__before": ("sum", "__rows")})
+    ranked = placed.withColumn("__part", part).join(F.broadcast(before.select("__part", "__before")), "__part")
+    return ranked.select(*[F.col(c) for c in df.columns], (F.col("__before") + place + 1).cast("long").alias(out))
+
+
+def take_smallest(df: DataFrame, value: str, tie: str, k: int, rank: str | None = None, topk_rows: int = TOPK_ROWS, descending: bool = False) -> DataFrame:
+    """The ``k`` first rows by ``value`` (largest first if ``descending``) and rising ``tie``, with their 1-based rank when ``rank`` names a column.
 
     A small ``k`` is a top-k (each task keeps ``k`` rows, one task merges and numbers them).  A large ``k`` is cut by
-    distributed rank.  Values must not be null.
+    distributed rank.
     """
     out = rank or "__rank"
+    order = [F.col(value).desc() if descending else F.col(value).asc(), F.col(tie).asc()]
     if k <= topk_rows:
-        top = df.orderBy(value, tie).limit(k)
+        top = df.orderBy(*order).limit(k)
         if rank is None:
             return top
         # at most topk_rows rows: one small window
-        return top.withColumn(rank, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(value, tie)).cast("long"))
-    ranked = global_rank(df, value, tie, out=out).filter(F.col(out) <= k)
+        return top.withColumn(rank, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).cast("long"))
+    ranked = global_rank(df, value, tie, out=out, descending=descending).filter(F.col(out) <= k)
     return ranked if rank else ranked.drop(out)
 
 
