@@ -1,4 +1,4 @@
-"""The ten dealt operators as registered queries, with the SQL each is checked against where SQL can express it."""
+"""The dealt operators as registered queries, with the SQL each is checked against where SQL can express it."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from wardlight.llm.blocks import documents
 from wardlight.llm.decontaminate import contamination
 from wardlight.llm.fingerprints import fingerprint_documents
 from wardlight.llm.html_extract import extract_text
+from wardlight.llm.importance import resample
 from wardlight.llm.ngram_join import similar_documents
 from wardlight.llm.packing import pack_documents
 from wardlight.llm.quality import score_quality
@@ -151,3 +152,36 @@ def op3_html_extraction(spark, sf_dir):
 
 
 QUERIES["op3_html_extraction"] = op3_html_extraction
+
+
+def op12_importance_resampling(spark, sf_dir):
+    return resample(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def _crc32_sql(text: str) -> str:
+    """DuckDB has no CRC-32: eight steps of a shift register for each byte."""
+    bit = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+    steps = f"list_reduce(list_prepend(xor(c, b), range(8)), lambda s, i: {bit.format('s')})"
+    codes = f"list_transform(range(1, strlen({text}) * 2, 2), lambda p: ('0x' || hex(encode({text}))[p:p + 1])::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {steps}), 4294967295)"
+
+
+QUERIES["op12_importance_resampling"] = op12_importance_resampling
+SQL["op12_importance_resampling"] = rf"""
+WITH both_ AS (SELECT 'd' AS kind, doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 'b', NULL, coalesce(text, '') FROM benchmark),
+w AS (SELECT kind, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM both_),
+p AS (SELECT kind, doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM w, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n),
+f AS (SELECT kind, doc_id, list_aggregate(w[p:p + n - 1], 'string_agg', ' ') AS g, count(*) AS c FROM p GROUP BY ALL),
+crc AS MATERIALIZED (SELECT g, {_crc32_sql("g")} % 10000 AS bucket FROM (SELECT DISTINCT g FROM f)),
+b AS (SELECT kind, doc_id, bucket, sum(c) AS c FROM f JOIN crc USING (g) GROUP BY ALL),
+n AS (SELECT bucket, coalesce(sum(c) FILTER (kind = 'd'), 0) AS s, coalesce(sum(c) FILTER (kind = 'b'), 0) AS t FROM b GROUP BY bucket),
+a AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM n),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM n, a),
+wt AS (SELECT doc_id, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight FROM b JOIN gain USING (bucket) WHERE kind = 'd' GROUP BY doc_id),
+sc AS (SELECT w.doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || w.doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+       FROM w LEFT JOIN wt USING (doc_id) WHERE kind = 'd'),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM sc WHERE n_words >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN rank <= 5 * able // 100 THEN rank END::BIGINT AS rank
+FROM sc LEFT JOIN r USING (doc_id)
+"""
