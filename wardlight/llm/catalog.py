@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardlight.llm.blocks import documents
+from wardlight.llm.conversation_repair import damage, repair_chunks, report
 from wardlight.llm.decontaminate import contamination
 from wardlight.llm.fingerprints import fingerprint_documents
 from wardlight.llm.html_extract import extract_text
@@ -154,10 +155,6 @@ def op3_html_extraction(spark, sf_dir):
 QUERIES["op3_html_extraction"] = op3_html_extraction
 
 
-def op12_importance_resampling(spark, sf_dir):
-    return resample(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")).drop("n_words")
-
-
 def _crc32_sql(text: str) -> str:
     """DuckDB has no CRC-32: eight steps of a shift register for each byte."""
     bit = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
@@ -166,6 +163,10 @@ def _crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {steps}), 4294967295)"
 
 
+def op12_importance_resampling(spark, sf_dir):
+    return resample(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 QUERIES["op12_importance_resampling"] = op12_importance_resampling
 SQL["op12_importance_resampling"] = rf"""
 WITH both_ AS (SELECT 'd' AS kind, doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 'b', NULL, coalesce(text, '') FROM benchmark),
@@ -185,3 +186,58 @@ r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, co
 SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN rank <= 5 * able // 100 THEN rank END::BIGINT AS rank
 FROM sc LEFT JOIN r USING (doc_id)
 """
+
+
+def op11_conversation_repair(spark, sf_dir):
+    conversations = documents(spark, sf_dir, "conversations")
+    return report(repair_chunks(damage(conversations)), conversations)
+
+
+def _least_repair_sql() -> str:
+    """Forward search over turns; a state is one string of cost (10 digits), audit, chr(1), repaired turns, of which the least wins."""
+    def more(state: str, cost: str, letter: str, turn: str | None) -> str:
+        said = f"chr(10) || {turn}" if turn else "''"
+        return f"lpad(({state}[1:10]::BIGINT + {cost})::VARCHAR, 10, '0') || split_part({state}[11:], chr(1), 1) || '{letter}' || chr(1) || split_part({state}, chr(1), 2) || {said}"
+
+    own, ok = "role || ':' || text", "NOT gone"
+
+    def kept(state: str, initial: str) -> str:
+        return f"CASE WHEN {ok} AND role[1:1] = '{initial}' THEN {more(state, 'extra', 'K', own)} END"
+
+    def turned(state: str, role: str) -> str:
+        said = f"'{role}:' || text"
+        return f"CASE WHEN {ok} THEN {more(state, '3 + extra', 'R', said)} END"
+
+    acted = [
+        more("s0", "4", "D", None),
+        f"least({more('s1', '4', 'D', None)}, {kept('s0', 's')})",
+        f"least({more('s2', '4', 'D', None)}, {', '.join(x for s in ('s0', 's1', 's3') for x in (kept(s, 'u'), turned(s, 'user')))})",
+        f"least({more('s3', '4', 'D', None)}, {kept('s2', 'a')}, {turned('s2', 'assistant')})",
+    ]
+    user = ", ".join(more(f"n{k}", "3", "I", "'user:'") for k in (0, 1, 3))
+    return f"""
+r(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT conv_id, 0::BIGINT, '0000000000' || chr(1), NULL::VARCHAR, '0000000003I' || chr(1) || chr(10) || 'user:', '0000000006II' || chr(1) || chr(10) || 'user:' || chr(10) || 'assistant:' FROM ids
+  UNION ALL
+  SELECT conv_id, i, n0, n1, m2, least(n3, {more('m2', '3', 'I', "'assistant:'")}) FROM (SELECT *, least(n2, {user}) AS m2 FROM (
+    SELECT r.conv_id, f.i, {', '.join(f'{x} AS n{k}' for k, x in enumerate(acted))} FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i + 1)))"""
+
+
+QUERIES["op11_conversation_repair"] = op11_conversation_repair
+SQL["op11_conversation_repair"] = rf"""
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id FROM conversations),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+g AS (SELECT *, {_crc32_sql("name")} % 20 AS d FROM k),
+x AS (SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE d WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM g WHERE d <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+        NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut FROM x),
+f AS MATERIALIZED (SELECT conv_id, turn, role, text, i, blank, again AND NOT blank AS duplicate, cut AND NOT blank AND NOT again AS truncated, blank OR again AS gone, CASE WHEN cut THEN 3 ELSE 0 END AS extra,
+        lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS role_before FROM o),
+a AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+        count(*) FILTER (i > 1 AND role_before[1:1] || role[1:1] NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+{_least_repair_sql()},
+z AS (SELECT conv_id, i, least(s0, s3) AS best FROM r)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       best[1:10]::BIGINT AS cost, split_part(best[11:], chr(1), 1) AS audit, sha256(split_part(best, chr(1), 2)[2:]) AS repaired_sha256
+FROM ids LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM ids.conv_id JOIN z ON z.conv_id IS NOT DISTINCT FROM ids.conv_id AND z.i = coalesce(a.n, 0)
+"""
