@@ -12,6 +12,8 @@ from wardlight.llm.html_extract import extract_text
 from wardlight.llm.importance import resample
 from wardlight.llm.ngram_join import similar_documents
 from wardlight.llm.packing import pack_documents
+from wardlight.llm.private_data import KINDS, find_private
+from wardlight.llm.private_data import listed as private_listed
 from wardlight.llm.quality import score_quality
 from wardlight.llm.secret_scan import RULES, listed, scan
 from wardlight.llm.suffix_dedup import remove_repeated_bytes
@@ -241,3 +243,16 @@ SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGIN
        best[1:10]::BIGINT AS cost, split_part(best[11:], chr(1), 1) AS audit, sha256(split_part(best, chr(1), 2)[2:]) AS repaired_sha256
 FROM ids LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM ids.conv_id JOIN z ON z.conv_id IS NOT DISTINCT FROM ids.conv_id AND z.i = coalesce(a.n, 0)
 """
+
+
+def op13_private_data(spark, sf_dir):
+    found = find_private(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["exact"])
+
+    def count(k, name):
+        return F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{name}")
+
+    return found.select("doc_id", *[count(k, name) for k, name in enumerate(KINDS)], F.sha2(private_listed(base), 256).alias("base_sha256"), private_listed(F.col("spans")).alias("spans"))
+
+
+QUERIES["op13_private_data"] = op13_private_data
