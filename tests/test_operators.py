@@ -1,5 +1,6 @@
 """Operators against brute force on small fixtures, with skew, ties, gaps and missing cells."""
 
+import csv
 import datetime as dt
 import math
 import random
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardlight.functions import selectors
+from wardlight.functions import qfun, selectors
 from wardlight.functions.qfun import apply_qfun
 from wardlight.functions.quantiles import quantiles_by, select_quantiles
 from wardlight.functions.scans import global_rank, position_in_group, row_index, take_smallest
@@ -292,17 +293,86 @@ def test_samples(spark):
     assert drawn.count() == 400 and drawn.select("siminputrow").distinct().count() > 40
 
 
+def test_draws_from_a_prior_table(spark, monkeypatch):
+    priors = spark.createDataFrame([(n, float(p["min"]), float(p["max"]), None) for n, p in design.BASELINE_PRIORS.items()], "param string, min double, max double, qfun string")
+    names = list(design.BASELINE_PRIORS)
+    want = rows_of(design.design_random(spark, design.BASELINE_PRIORS, 50, seed=9), "siminputrow", *names)
+    assert rows_of(design.design_from_table(priors, 50, names, seed=9), "siminputrow", *names) == want
+    monkeypatch.setattr(design, "DRAW_BLOCK", 7)
+    assert rows_of(design.design_from_table(priors, 50, names, seed=9), "siminputrow", *names) == want
+    assert design.draw_table(priors, 0).count() == 0 and design.draw_table(priors.limit(0), 5).count() == 0
+    # as many parameters as a dictionary on the driver should not hold; no crossing of tables in the plan
+    many = spark.range(30_000).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("param"), F.col("id").cast("double").alias("min"), (F.col("id") + 1.0).alias("max"))
+    drawn = design.draw_table(many, 3)
+    assert drawn.count() == 90_000 and "NestedLoop" not in drawn._jdf.queryExecution().executedPlan().toString()
+    off = drawn.withColumn("low", F.substring("param", 2, 9).cast("double")).filter((F.col("value") < F.col("low")) | (F.col("value") > F.col("low") + 1))
+    assert off.count() == 0
+    with pytest.raises(Exception, match="unknown quantile function none"):
+        design.draw_table(many.limit(1).withColumn("qfun", F.lit("none")), 1).collect()
+
+
+def test_vector_quantile_functions(spark):
+    def triangle(p, low=0.0, high=1.0):
+        return low + (high - low) * np.sqrt(p)
+
+    qfun.register_vector_qfun("triangle", triangle)
+    df = spark.createDataFrame([(0.0,), (0.25,), (1.0,)], "p double")
+    assert rows_of(df.select(apply_qfun(F.col("p"), {"qfun": "triangle", "high": 3.0, "sd": 9.0}).alias("x")), "x") == [(0.0,), (1.5,), (3.0,)]
+    priors = spark.createDataFrame([("a", "triangle", 1.0, None), ("b", "qunif", None, 5.0)], "param string, qfun string, low double, max double")
+    got = {r["param"]: r["value"] for r in design.draw_table(priors, 1, uniform=lambda row, param: F.lit(0.25), vectors=["triangle"]).collect()}
+    assert got == {"a": 1.0, "b": 1.25}
+    # a column form of the same name goes first: no Python in the plan
+    qfun.register_vector_qfun("qexp", triangle)
+    assert "Python" not in df.select(apply_qfun(F.col("p"), {"qfun": "qexp"}))._jdf.queryExecution().executedPlan().toString()
+    for bad in (lambda p, low: p, lambda p, low=True: p, lambda p, low="x": p):
+        with pytest.raises(TypeError, match="numeric defaults"):
+            qfun.register_vector_qfun("bad", bad)
+    qfun.register_vector_qfun("short", lambda p: p.head(1).to_numpy())
+    with pytest.raises(Exception, match="expected 3 doubles"):
+        df.repartition(1).select(apply_qfun(F.col("p"), {"qfun": "short"})).collect()
+    with pytest.raises(ValueError, match="unknown quantile function"):
+        apply_qfun(F.col("p"), {"qfun": "nobody"})
+
+
+def test_two_stages_hand_over(spark):
+    """Stage two's priors and sets come from what stage one accepted."""
+    first = design.design_random(spark, design.BASELINE_PRIORS, 40, seed=3)
+    months = [dt.date(2004, 8, 1), dt.date(2004, 9, 1), dt.date(2004, 12, 1)]
+    observed = spark.createDataFrame([(m, 5.0) for m in months], "month date, rate double")
+    series = first.select("siminputrow", F.explode(F.array(*[F.lit(m) for m in months])).alias("month"), (F.col("antibiotic_effect") * 5 - 2.0).alias("rate"))
+    asked = []
+
+    def second(drawn):
+        asked.append(drawn.columns)
+        return drawn.select("siminputrow", F.explode(F.array(*[F.lit(m) for m in months])).alias("month"), (F.col("o_side_room_delay_mean") + 1.0).alias("rate"))
+
+    out = calibration.two_stage(first, series, second, observed, settings=({"tol": 0.1}, {"samples": 30, "tol": 0.1}), seed=5)
+    near = sorted(first.collect(), key=lambda r: abs(r["antibiotic_effect"] * 5 - 7.0))[:4]
+    assert sorted(r["siminputrow"] for r in out.one.posterior.collect()) == sorted(r["siminputrow"] for r in near)
+    prior = {r["param"]: r for r in out.priors.collect()}["antibiotic_effect"]
+    assert prior["min"] == pytest.approx(np.quantile([r["antibiotic_effect"] for r in near], 0.25)) and len(asked) == 1
+    drawn = out.design.collect()
+    assert len(drawn) == 30 and all(prior["min"] - 1e-3 <= r["antibiotic_effect"] <= prior["max"] + 1e-3 for r in drawn)
+    best = sorted(drawn, key=lambda r: (abs(r["o_side_room_delay_mean"] - 4.0), r["siminputrow"]))[:3]
+    assert [r["siminputrow"] for r in out.two.posterior.orderBy("accept_rank").collect()] == [r["siminputrow"] for r in best]
+
+
 def test_second_stage_design(spark):
     params = list(design.BASELINE_PRIORS)
     accepted = design.design_random(spark, design.BASELINE_PRIORS, 60)
     priors = calibration.stage_two_priors(accepted)
     assert priors.count() == 8 + 14
-    drawn = calibration.stage_two_design(spark, priors, 40, [1, 2, 3]).cache()
-    assert drawn.count() == 120 and drawn.select("siminputrow").distinct().count() == 40
+    drawn = calibration.stage_two_design(priors, 40, [1, 2, 3]).cache()
+    assert drawn.count() == 120 and rows_of(drawn.select("siminputrow").distinct(), "siminputrow") == [(i,) for i in range(1, 41)]
+    with pytest.raises(ValueError, match="cannot take"):
+        calibration.stage_two_design(priors, 40, [1], oversample=0)
     for name in design.CONSTRAINED:
         assert drawn.filter(F.col(f"o_{name}") < F.col(name)).count() == 0
     assert calibration.mean_design(accepted, params, [1, 2]).count() == 2
-    assert calibration.uniform_design(spark, accepted, params, 10, [1, 2]).count() == 20
+    assert calibration.uniform_design(accepted, params, 10, [1, 2]).count() == 20
+    bounds = design.uniform_around_mean(accepted, ["antibiotic_effect"]).first()
+    cells = calibration.uniform_design(accepted, params, 10, [1], generator=design.lhs_from_table).collect()
+    assert sorted(int((r["antibiotic_effect"] - bounds["min"]) / (bounds["max"] - bounds["min"]) * 10) for r in cells) == list(range(10))
     posterior = accepted.withColumn("accept_rank", F.col("siminputrow")).withColumn("distance", F.lit(0.0))
     predictive = calibration.predictive_design(spark, posterior, 30)
     assert predictive.count() == 30 and {"siminputrow", "seed_value", *params} <= set(predictive.columns)
@@ -323,7 +393,7 @@ def test_complete_cells(spark):
     assert sorted((r["k"], r["n"], r["v"] or -1) for r in reshape.complete_cells(df, ["k"], "n", "v").collect()) == [(1, "x", 1.0), (1, "y", -1), (2, "x", -1), (2, "y", 2.0)]
 
 
-def test_param_file_round_trip_in_blocks(spark, tmp_path, monkeypatch):
+def test_param_file_has_one_line_per_parameter_at_any_size(spark, tmp_path, monkeypatch):
     posterior = spark.range(25).select((F.col("id") + 1).alias("accept_rank"), (F.col("id") * 0.5).alias("o_rate"), (F.col("id") * 2.0).alias("mean_delay"))
     names = ["o_rate", "mean_delay"]
     want = sorted((n, r["accept_rank"], r[n]) for r in posterior.collect() for n in names)
@@ -331,16 +401,41 @@ def test_param_file_round_trip_in_blocks(spark, tmp_path, monkeypatch):
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "one")).collect()]
     assert len(lines) == 2 and lines[0].startswith('"o-rate",0.0,0.5,1.0,')
     assert rows_of(tables.param_long(tables.read_param_file(spark, str(tmp_path / "one"))), "param", "accept_rank", "value") == want
-    monkeypatch.setattr(tables, "SETS_PER_LINE", 10)
-    tables.write_param_file(posterior, names, str(tmp_path / "many"))
+    monkeypatch.setattr(tables, "SETS_PER_CHUNK", 10)
+    tables.write_param_file(posterior.repartition(4), names, str(tmp_path / "many"))
     params = tables.read_param_file(spark, str(tmp_path / "many"))
-    assert params.count() == 6
-    assert rows_of(tables.param_long(params), "param", "accept_rank", "value") == want
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "many")).collect()] == lines
     assert {r["param"]: r["value"] for r in tables.param_means(params).collect()} == {"o_rate": 6.0, "mean_delay": 24.0}
     tables.export_single_set(posterior, names, 3, str(tmp_path / "single"))
     assert {r["param"]: r["value"] for r in tables.param_means(tables.read_param_file(spark, str(tmp_path / "single"))).collect()} == {"o_rate": 1.0, "mean_delay": 4.0}
 
 
+def test_param_file_of_many_sets_is_plain_csv(spark, tmp_path):
+    posterior = spark.range(100_000).select((F.col("id") + 1).alias("accept_rank"), (F.col("id") % 1000 * 0.001).alias("o_rate"), F.when(F.col("id") != 77_777, F.col("id") * 1.0).alias("late"))
+    tables.write_param_file(posterior, ["o_rate", "late"], str(tmp_path / "f"))
+    files = [f for f in (tmp_path / "f").iterdir() if f.name.startswith("part-")]
+    assert len(files) == 1
+    with files[0].open() as f:
+        rows = list(csv.reader(f))
+    assert [r[0] for r in rows] == ["o-rate", "late"] and [len(r) for r in rows] == [100_001, 100_001]
+    assert [float(x) if x else None for x in rows[1][1:]] == [None if i == 77_777 else float(i) for i in range(100_000)]
+
+
+def test_results_are_published_together(spark, tmp_path):
+    root = str(tmp_path / "results")
+    one = tables.save_results({"a": spark.range(3), "b": spark.range(2)}, root)
+    pinned = tables.load_results(spark, root)
+    broken = spark.range(5).select(F.raise_error(F.lit("lost")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        tables.save_results({"a": spark.range(9), "b": broken}, root)
+    assert {n: df.count() for n, df in tables.load_results(spark, root).items()} == {"a": 3, "b": 2}
+    two = tables.save_results({"a": spark.range(7)}, root)
+    assert {n: df.count() for n, df in tables.load_results(spark, root).items()} == {"a": 7} and two > one
+    assert {n: df.count() for n, df in pinned.items()} == {"a": 3, "b": 2} == {n: df.count() for n, df in tables.load_results(spark, root, one).items()}
+    with pytest.raises(ValueError, match="no results"):
+        tables.load_results(spark, root, "never")
+
+
 def test_simulator_csv(spark, tmp_path):
     path = tmp_path / "runs.csv"
     path.write_text("siminputrow,random-seed,[step],total-hospital-infections,current-inpatients,outbreak?,o-rate\n1,-5,32,7,100,1,0.25\n")

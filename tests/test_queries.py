@@ -9,7 +9,8 @@ from wardlight.catalog import build_registry
 
 REGISTRY = build_registry()
 QUERIES, SQL = REGISTRY.queries, REGISTRY.sql
-ROWS_ONLY = {"b1_design_random_rows", "r7_two_stage"}
+ROWS_ONLY = {"b1_design_random_rows"}
+VECTORISED = {"b2_vector_quantiles"}  # a function of the user's own runs in Python
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +23,7 @@ def test_matches_sql(spark, con, name):
     df = QUERIES[name](spark, SF)
     text = df._jdf.queryExecution().executedPlan().toString()
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
-        assert node not in text
+        assert node not in text or node == "ArrowEvalPython" and name in VECTORISED
     assert compare(df, con, SQL[name]) is None
 
 

@@ -10,6 +10,6 @@ def build_registry() -> Registry:
     import importlib
 
     registry = Registry()
-    for name in ("series", "designs", "shapes", "fits", "wards", "scalars"):
+    for name in ("series", "designs", "shapes", "fits", "stages", "wards", "scalars"):
         importlib.import_module(f"wardlight.catalog.{name}").register(registry)
     return registry

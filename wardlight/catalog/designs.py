@@ -158,6 +158,36 @@ def b18_fix_all_but(spark, sf):
     return design.fix_all_but(derived.posterior(spark, sf), POSTERIOR, ["c_antibiotic_prescription_rate", "antibiotic_effect"], {"toilet_cleaning_effect": 1.0})
 
 
+def derived_priors_sql() -> str:
+    """The priors of stage two from a table ``b`` of the baseline parameters (param, min, max, mean, sd)."""
+    a = design.CONSTANTS["antibiotic_prescription_rate"]
+
+    def from_source(param: str, source: str, low: str, high: str) -> str:
+        return f"SELECT '{param}' AS param, {low} AS min, {high} AS max, NULL AS mean, NULL AS sd FROM b WHERE param = '{source}'"
+
+    def const(param: str, low: float, high: float) -> str:
+        return f"SELECT '{param}', {real(low)}, {real(high)}, NULL, NULL"
+
+    rows = [
+        "SELECT param, min, max, mean, sd FROM b",
+        from_source("o_toilet_frequenting_rate", "toilet_frequenting_rate", "min", "2 * mean"),
+        from_source("o_toilet_contamination_effect", "toilet_contamination_effect", "min", f"LEAST({real(0.99)}, 2 * mean)"),
+        from_source("o_toilet_cleaning_effect", "toilet_cleaning_effect", f"GREATEST({real(0.01)}, mean - mean)", "max"),
+        from_source("o_toilet_cleaning_rate", "toilet_cleaning_rate", real(0.5), "max"),
+        from_source("o_community_colonisation_rate", "community_colonisation_rate", "min", "2 * mean"),
+        from_source("c_toilet_cleaning_effect", "toilet_cleaning_effect", "min", real(0.99)),
+        from_source("c_toilet_cleaning_rate", "toilet_cleaning_rate", "min", "2 * mean"),
+        const("o_antibiotic_prescription_rate", a, min(0.99, a + a)),
+        const("c_antibiotic_prescription_rate", 0.01, a),
+        const("o_side_room_delay_mean", 0.01, 7.0),
+        const("c_side_room_delay_mean", 0.01, 7.0),
+        const("outbreak_start", 914.0, 1094.0),
+        const("outbreak_end", 1156.0, 1336.0),
+        const("control_end", 1306.0, 1366.0),
+    ]
+    return " UNION ALL ".join(rows)
+
+
 def register(r: Registry) -> None:
     def unif(u: str, lo: float, hi: float) -> str:
         return f"ROUND({real(lo)} + {u} * ({real(hi)} - {real(lo)}), 3)"
@@ -241,34 +271,9 @@ def register(r: Registry) -> None:
         with_blocks("SELECT param, q25 AS min, q75 AS max, mean, sd, mean - sd AS lower_sd, mean + sd AS upper_sd, 'qunif' AS qfun FROM posterior_summary", "posterior_summary"),
         ["min", "max", "mean", "sd", "lower_sd", "upper_sd"],
     )
-    a = design.CONSTANTS["antibiotic_prescription_rate"]
-
-    def from_source(param: str, source: str, low: str, high: str) -> str:
-        return f"SELECT '{param}' AS param, {low} AS min, {high} AS max, NULL AS mean, NULL AS sd FROM b WHERE param = '{source}'"
-
-    def const(param: str, low: float, high: float) -> str:
-        return f"SELECT '{param}', {real(low)}, {real(high)}, NULL, NULL"
-
-    rows = [
-        "SELECT param, min, max, mean, sd FROM b",
-        from_source("o_toilet_frequenting_rate", "toilet_frequenting_rate", "min", "2 * mean"),
-        from_source("o_toilet_contamination_effect", "toilet_contamination_effect", "min", f"LEAST({real(0.99)}, 2 * mean)"),
-        from_source("o_toilet_cleaning_effect", "toilet_cleaning_effect", f"GREATEST({real(0.01)}, mean - mean)", "max"),
-        from_source("o_toilet_cleaning_rate", "toilet_cleaning_rate", real(0.5), "max"),
-        from_source("o_community_colonisation_rate", "community_colonisation_rate", "min", "2 * mean"),
-        from_source("c_toilet_cleaning_effect", "toilet_cleaning_effect", "min", real(0.99)),
-        from_source("c_toilet_cleaning_rate", "toilet_cleaning_rate", "min", "2 * mean"),
-        const("o_antibiotic_prescription_rate", a, min(0.99, a + a)),
-        const("c_antibiotic_prescription_rate", 0.01, a),
-        const("o_side_room_delay_mean", 0.01, 7.0),
-        const("c_side_room_delay_mean", 0.01, 7.0),
-        const("outbreak_start", 914.0, 1094.0),
-        const("outbreak_end", 1156.0, 1336.0),
-        const("control_end", 1306.0, 1366.0),
-    ]
     names_in = ", ".join(f"'{n}'" for n in BASELINE)
     base = f"SELECT param, q25 AS min, q75 AS max, mean, sd FROM posterior_summary WHERE param IN ({names_in})"
-    union = " UNION ALL ".join(rows)
+    union = derived_priors_sql()
     r.add(
         "b15_derived_priors", b15_derived_priors,
         with_blocks(f"SELECT param, min, max, mean, sd, 'qunif' AS qfun FROM (WITH b AS ({base}) {union}) t", "posterior_summary"), ["min", "max", "mean", "sd"],

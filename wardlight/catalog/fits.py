@@ -186,16 +186,6 @@ def r6_sensitivity_cases(spark, sf):
     return _curves(spark, sf)[1]
 
 
-def r7_two_stage(spark, sf):
-    """Stage one posterior -> stage two priors -> drawn, constrained and sampled design (random, rows only)."""
-    fit = _calibration(spark, sf, 1)
-    n = fit.rejection.k
-    ranks = small_or_self(fit.rejection.accepted.select("accept_rank", "distance"))
-    baseline = derived.posterior(spark, sf).withColumn("accept_rank", F.col("siminputrow") + 1).join(ranks, "accept_rank")
-    priors = calibration.stage_two_priors(baseline)
-    return calibration.stage_two_design(spark, priors, n, [11, 23, 47])
-
-
 def register(r: Registry) -> None:
     r.add(
         "j1_complete_cases", j1_complete_cases,
@@ -324,7 +314,10 @@ def register(r: Registry) -> None:
     r.add("r3_uniform_summary", r3_uniform_summary, with_blocks(summary_sql.format(t="stats"), "stats"), doubles)
     r.add("r4_mean_runs_by_seed", r4_mean_runs_by_seed, with_blocks("SELECT random_seed, month, AVG(rate) AS rate FROM monthly GROUP BY 1, 2", "monthly"), ["rate"])
     r.add("r5_predictive_band", r5_predictive_band, with_blocks(f"SELECT month, {band}, MAX(rate) AS observed FROM monthly GROUP BY 1", "monthly"), ["q_low", "m", "q_high", "observed"])
-    r.add("r5_predictive_summary", r5_predictive_summary, with_blocks(summary_sql.format(t="monthly"), "monthly"), doubles)
+    both = "SELECT 'sim' AS type, month, rate FROM monthly UNION ALL SELECT 'obs', month, MAX(rate) FROM monthly GROUP BY month"
+    compared = f"""SELECT type, period, QUANTILE_CONT(rate, 0.25) AS q_low, MEDIAN(rate) AS median, QUANTILE_CONT(rate, 0.75) AS q_high, MIN(rate) AS min, MAX(rate) AS max, AVG(rate) AS mean, COUNT(rate) AS n FROM
+        (SELECT type, CASE WHEN month < {PRE} THEN 'pre_outbreak' WHEN month <= DATE '2005-05-31' THEN 'outbreak' END AS period, rate FROM ({both}) b) t WHERE period IS NOT NULL GROUP BY 1, 2"""
+    r.add("r5_predictive_summary", r5_predictive_summary, with_blocks(compared, "monthly"), doubles)
     r.add(
         "r6_sensitivity_rates", r6_sensitivity_rates,
         with_blocks(
@@ -337,4 +330,3 @@ def register(r: Registry) -> None:
         with_blocks(f"SELECT arm, level, AVG(outbreak_cases) AS mean_cases, STDDEV_SAMP(outbreak_cases) AS sd_cases FROM ({cases}) c GROUP BY 1, 2", "dated", "posterior", "sensitivity"),
         ["level", "mean_cases", "sd_cases"],
     )
-    r.add("r7_two_stage", r7_two_stage)

@@ -10,8 +10,11 @@ import inspect
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # --- fixed values: coefficients of algorithm AS 241 (normal quantile, 16 digits), highest power first -------------
 CENTRE = (
@@ -29,6 +32,7 @@ FAR_TAIL = (
 # --- end of fixed values ---------------------------------------------------------------------------------------
 
 _REGISTRY: dict[str, Callable[..., Column]] = {}
+_VECTORS: dict[str, Callable[..., Column]] = {}
 
 
 def register_qfun(name: str, builder: Callable[..., Column]) -> None:
@@ -36,12 +40,59 @@ def register_qfun(name: str, builder: Callable[..., Column]) -> None:
     _REGISTRY[name] = builder
 
 
+def register_vector_qfun(name: str, function: Callable[..., pd.Series]) -> None:
+    """Make a vectorised function ``(p, **fields) -> Series`` of doubles available under ``name``: for quantiles that no column form expresses.
+
+    It runs on Arrow batches, and only if ``name`` has no column form. The first argument takes the probabilities; every other argument is a field of the prior and
+    needs a default, which stands in for a missing one.
+    """
+    first, *fields = inspect.signature(function).parameters.values()
+    loose = [f.name for f in fields if f.default is inspect.Parameter.empty or isinstance(f.default, bool) or not isinstance(f.default, int | float)]
+    if first.kind not in (inspect.Parameter.POSITIONAL_ONLY, inspect.Parameter.POSITIONAL_OR_KEYWORD) or loose:
+        raise TypeError(f"{name}: a quantile function takes probabilities and fields with numeric defaults; not so: {loose or [first.name]}")
+    names = [f.name for f in fields]
+
+    def checked(p: pd.Series, *values: pd.Series) -> pd.Series:
+        out = function(p, **dict(zip(names, values, strict=True)))
+        if len(out) != len(p) or not np.issubdtype(np.asarray(out).dtype, np.floating):
+            raise TypeError(f"{name}: expected {len(p)} doubles")
+        return pd.Series(out, dtype="float64")
+
+    vector = F.pandas_udf(checked, DoubleType())
+
+    def build(p: Column, **given: object) -> Column:
+        return vector(p.cast("double"), *[F.coalesce(_as_column(given.get(f.name, f.default)).cast("double"), F.lit(float(f.default))) for f in fields])
+
+    build.__signature__ = inspect.signature(function)
+    _VECTORS[name] = build
+
+
+def _builder(name: str) -> Callable[..., Column]:
+    found = _REGISTRY.get(name) or _VECTORS.get(name)
+    if found is None:
+        raise ValueError(f"unknown quantile function {name!r}; known: {sorted({*_REGISTRY, *_VECTORS})}")
+    return found
+
+
+def row_quantile(p: Column, columns: Sequence[str], vectors: Sequence[str] = ()) -> Column:
+    """The quantile at ``p`` of the prior that stands in the same row: its function by name in ``qfun`` (``qunif`` when missing), its fields in columns.
+
+    Fields that a row leaves null take the function's default; a name that is not registered fails. Of the vector functions only those named in ``vectors`` are planned.
+    """
+    name = F.coalesce("qfun", F.lit("qunif")) if "qfun" in columns else F.lit("qunif")
+    out = F
+    for known in [*_REGISTRY, *(v for v in vectors if v not in _REGISTRY)]:
+        builder = _builder(known)
+        _, *fields = inspect.signature(builder).parameters.values()
+        given = {f.name: F.coalesce(F.col(f.name).cast("double"), F.lit(float(f.default))) for f in fields if f.name in columns}
+        out = out.when(name == known, builder(p, **given))
+    return out.otherwise(F.raise_error(F.concat(F.lit("unknown quantile function "), name)).cast("double"))
+
+
 def apply_qfun(p: Column, spec: Mapping[str, object]) -> Column:
     """The quantile at probability ``p`` of the prior ``spec``; ``qunif`` when no function is named."""
     name = spec.get("qfun") or "qunif"
-    if name not in _REGISTRY:
-        raise ValueError(f"unknown quantile function {name!r}; known: {sorted(_REGISTRY)}")
-    builder = _REGISTRY[name]
+    builder = _builder(name)
     taken = inspect.signature(builder).parameters
     fields = {k: v for k, v in spec.items() if k != "qfun" and k in taken and v is not None}
     return builder(p, **fields)

@@ -22,3 +22,10 @@ def hash_uniform(row_id: Column, seed: int, label: str | Column) -> Column:
 def hash_seed(row_id: Column, seed: int) -> Column:
     """A non-negative 31-bit integer seed for each row id."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), F.lit("seed"), row_id), 33)
+
+
+def named_uniform(row_id: Column, label: str | Column) -> Column:
+    """A double in ``[0, 1)`` from the first 32 bits of md5(``row_id:label``): coarser and slower, but other engines can recompute it."""
+    tag = F.lit(label) if isinstance(label, str) else label
+    bits = F.conv(F.substring(F.md5(F.concat(row_id.cast("string"), F.lit(":"), tag).cast("binary")), 1, 8), 16, 10)
+    return bits.cast("double") / float(2**32)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardlight.functions.qfun import apply_qfun
+from wardlight.functions.qfun import apply_qfun, row_quantile
 from wardlight.functions.scalar import clamp, days_between
 from wardlight.functions.scans import exclusive_running, take_smallest
 from wardlight.functions.uniform import hash_seed, hash_uniform
@@ -71,19 +71,64 @@ def design_lhs(df: DataFrame, priors: Mapping[str, Prior], uniforms: Mapping[str
     names = list(priors)
     u = {n: F.col(uniforms[n]) if uniforms else hash_uniform(F.col("siminputrow"), seed, n) for n in names}
     wide = df.select("siminputrow", *[u[n].alias(n) for n in names])
-    tall = wide.unpivot(["siminputrow"], names, "param", "u")
-    tall = tall.withColumn("cell", F.floor(F.col("u") * cells).cast("long"))
-    counts = tall.groupBy("param", "cell").agg(F.count(F.lit(1)).alias("rows"))
-    offsets = exclusive_running(counts, ["param"], ["cell"], {"before": ("sum", "rows")}).drop("rows")
-    totals = small_or_self(counts.groupBy("param").agg(F.sum("rows").alias("n")))
-    in_cell = Window.partitionBy("param", "cell").orderBy("u", "siminputrow")
-    placed = tall.withColumn("inside", F.row_number().over(in_cell)).join(offsets, ["param", "cell"]).join(totals, "param")
-    stratum = F.col("before") + F.col("inside") - 1
-    strata = placed.select("siminputrow", "param", ((stratum + F.col("u")) / F.col("n")).alias("p"))
+    strata = stratified(wide.unpivot(["siminputrow"], names, "param", "u"), cells)
     back = strata.groupBy("siminputrow").pivot("param", names).agg(F.first("p"))
     return back.select("siminputrow", *[F.round(apply_qfun(F.col(n), spec), precision).alias(n) for n, spec in priors.items()])
 
 
+def stratified(tall: DataFrame, cells: int = 1024) -> DataFrame:
+    """``tall`` (siminputrow, param, u, ...) with ``p``: the draw ``u`` moved into the stratum of its rank among the ``n`` draws of the parameter."""
+    tall = tall.withColumn("__cell", F.floor(F.col("u") * cells).cast("long"))
+    counts = tall.groupBy("param", "__cell").agg(F.count(F.lit(1)).alias("__rows"))
+    offsets = exclusive_running(counts, ["param"], ["__cell"], {"__before": ("sum", "__rows")}).drop("__rows")
+    totals = counts.groupBy("param").agg(F.sum("__rows").alias("__n"))
+    in_cell = Window.partitionBy("param", "__cell").orderBy("u", "siminputrow")
+    placed = tall.withColumn("__inside", F.row_number().over(in_cell)).join(offsets, ["param", "__cell"]).join(totals, "param")
+    p = (F.col("__before") + F.col("__inside") - 1 + F.col("u")) / F.col("__n")
+    return placed.withColumn("p", p).drop("__cell", "__before", "__inside", "__n")
+
+
+# ---- draws from a prior table ----------------------------------------------------------------------------------
+
+DRAW_BLOCK = 4_096
+Uniform = Callable[[Column, Column], Column]
+
+
+def draw_rows(priors: DataFrame, samples: int) -> DataFrame:
+    """Every row of ``priors`` once for each ``siminputrow`` 1..``samples``.
+
+    The priors stay a table: each row is exploded into blocks of ``DRAW_BLOCK`` numbers, the blocks are dealt out, and a task explodes its own.
+    """
+    blocks = F.sequence(F.lit(0).cast("long"), F.lit((samples - 1) // DRAW_BLOCK).cast("long"))
+    cut = priors.withColumn("__block", F.explode(blocks if samples > 0 else F.array().cast("array<bigint>")))
+    if samples > DRAW_BLOCK:
+        cut = cut.repartition("param", "__block")
+    first = F.col("__block") * DRAW_BLOCK + 1
+    return cut.withColumn("siminputrow", F.explode(F.sequence(first, F.least(first + DRAW_BLOCK - 1, F.lit(samples).cast("long"))))).drop("__block")
+
+
+def draw_table(priors: DataFrame, samples: int, seed: int = 42, precision: int = 3, uniform: Uniform | None = None, lhs: bool = False, vectors: Sequence[str] = ()) -> DataFrame:
+    """Draws from a prior table in the long form ``siminputrow, param, value``; independent, or one in each stratum with ``lhs``.
+
+    ``priors``: ``param`` (unique), ``qfun`` and the fields of the quantile functions as columns. ``uniform(row, param)`` gives other uniforms; the default gives
+    the numbers of ``design_random`` for the same priors and seed. An empty prior table gives no draws.
+    """
+    own = uniform or (lambda row, param: hash_uniform(row, seed, param))
+    rows = draw_rows(priors, samples).withColumn("u", own(F.col("siminputrow"), F.col("param")))
+    rows = stratified(rows) if lhs else rows.withColumn("p", F.col("u"))
+    return rows.select("siminputrow", "param", F.round(row_quantile(F.col("p"), priors.columns, vectors), precision).alias("value"))
+
+
+def design_from_table(priors: DataFrame, samples: int, names: Sequence[str], **options: object) -> DataFrame:
+    """The draws of ``draw_table`` as a design: one row per set, one column per name. Parameters of other names are left out; a name without a prior is null."""
+    return draw_table(priors.where(F.col("param").isin(list(names))), samples, **options).groupBy("siminputrow").pivot("param", list(names)).agg(F.first("value"))
+
+
+def lhs_from_table(priors: DataFrame, samples: int, names: Sequence[str], **options: object) -> DataFrame:
+    """A Latin hypercube from a prior table, as ``design_from_table``."""
+    return design_from_table(priors, samples, names, lhs=True, **options)
+
+
 def bind_constants(design: DataFrame, constants: Mapping[str, object]) -> DataFrame:
     return design.withColumns({k: F.lit(v) for k, v in constants.items()})
 
@@ -161,13 +206,13 @@ def keep_plausible(design: DataFrame, names: Sequence[str] = CONSTRAINED) -> Dat
     return design
 
 
-def sample_rows(df: DataFrame, n: int, key: str = "siminputrow", seed: int = 42, uniform: str | None = None) -> DataFrame:
-    """``n`` rows without replacement: the smallest by a uniform per row.  Fails when fewer rows exist."""
+def sample_rows(df: DataFrame, n: int, key: str = "siminputrow", seed: int = 42, uniform: str | Column | None = None, rank: str | None = None) -> DataFrame:
+    """``n`` rows without replacement: the smallest by a uniform per row, numbered in that order when ``rank`` names a column.  Fails when fewer rows exist."""
     available = df.count()
     if available < n:
         raise ValueError(f"cannot take {n} rows from {available}")
-    tagged = df.withColumn("__u", F.col(uniform) if uniform else hash_uniform(F.col(key), seed, "sample"))
-    return take_smallest(tagged, "__u", key, n).drop("__u")
+    own = hash_uniform(F.col(key), seed, "sample") if uniform is None else F.col(uniform) if isinstance(uniform, str) else uniform
+    return take_smallest(df.withColumn("__u", own), "__u", key, n, rank=rank).drop("__u")
 
 
 def bootstrap(indexed: DataFrame, draws: DataFrame, index: str = "accept_rank", uniform: str = "u", rows: int | None = None) -> DataFrame:
@@ -289,15 +334,6 @@ def uniform_around_mean(posterior: DataFrame, params: Sequence[str], group_rows:
     return stats.select("param", F.col("lower_sd").alias("min"), F.col("upper_sd").alias("max"), "qfun")
 
 
-def read_priors(priors: DataFrame) -> dict[str, Prior]:
-    """A prior table (one row per parameter) as a dictionary for ``design_random`` / ``design_lhs``."""
-    limit = 10_000
-    rows = priors.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("a prior table has one row per parameter")
-    return {r["param"]: {k: v for k, v in r.asDict().items() if k != "param" and v is not None} for r in rows}
-
-
 def fix_all_but(posterior: DataFrame, params: Sequence[str], varied: Sequence[str], overrides: Mapping[str, float] | None = None) -> DataFrame:
     """One row of posterior means for every parameter except the varied ones; ``overrides`` replace single values."""
     overrides = overrides or {}

@@ -82,13 +82,19 @@ def quantile_band(df: DataFrame, keys: Sequence[str], value: str, group_rows: in
     return describe_by(df, keys, value, {"q_low": 0.25, "m": 0.5, "q_high": 0.75}, group_rows=group_rows)
 
 
-def period_summary(df: DataFrame, date: str, value: str, outbreak_from: str, outbreak_to: str, group_rows: int | None = None) -> DataFrame:
-    """Median, quartiles, min, max and mean before and during the outbreak, in one pass."""
+def period_summary(df: DataFrame, date: str, value: str, outbreak_from: str, outbreak_to: str, group_rows: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Median, quartiles, min, max and mean before and during the outbreak, in one pass; for each ``by`` where given."""
     day = F.col(date)
     start, end = F.to_date(F.lit(outbreak_from)), F.to_date(F.lit(outbreak_to))
     period = F.when(day < start, "pre_outbreak").when(day <= end, "outbreak")
-    tagged = df.select(period.alias("period"), value).filter(F.col("period").isNotNull())
-    return describe_by(tagged, ["period"], value, {"q_low": 0.25, "median": 0.5, "q_high": 0.75}, ["min", "max", "mean", "n"], group_rows)
+    tagged = df.select(*by, period.alias("period"), value).filter(F.col("period").isNotNull())
+    return describe_by(tagged, [*by, "period"], value, {"q_low": 0.25, "median": 0.5, "q_high": 0.75}, ["min", "max", "mean", "n"], group_rows)
+
+
+def period_comparison(simulated: DataFrame, observed: DataFrame, date: str, value: str, outbreak_from: str, outbreak_to: str, group_rows: int | None = None) -> DataFrame:
+    """``period_summary`` of both series in one pass: ``type`` is ``sim`` or ``obs``. A period without rows of a type has no line."""
+    both = simulated.select(F.lit("sim").alias("type"), date, value).unionByName(observed.select(F.lit("obs").alias("type"), date, value))
+    return period_summary(both, date, value, outbreak_from, outbreak_to, group_rows, ["type"])
 
 
 def column_summary(df: DataFrame, columns: Sequence[str], group_rows: int | None = None) -> DataFrame:

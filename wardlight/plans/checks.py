@@ -22,11 +22,11 @@ def series_by_run(runs: DataFrame, keys: Sequence[str] = ("siminputrow",), dates
 
 
 def predictive_check(runs: DataFrame, observed: DataFrame, dates: str = "auto", group_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(band per month next to the observed series, summary before and during the outbreak)."""
+    """(band per month next to the observed series, summary before and during the outbreak of the simulated and of the observed rates)."""
     monthly = materialize(run_rates(runs, dates).select(*rates.RUN_KEYS, "month", "rate"), "run-rates")
     complete = reshape.complete_cells(monthly, rates.RUN_KEYS, "month", "rate")
     band = summary.series_table(summary.quantile_band(complete, ["month"], "rate", group_rows), observed)
-    return band, summary.period_summary(monthly, "month", "rate", *OUTBREAK)
+    return band, summary.period_comparison(monthly, observed, "month", "rate", *OUTBREAK)
 
 
 def sensitivity_parts(runs: DataFrame, posterior: DataFrame, dates: str = "auto") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +14,9 @@ from wardlight.operators.reshape import pivot_longer
 from wardlight.schema import OBSERVED_FILE, RUN_KEYS, file_name, table_name
 
 FIRST_MONTH = "2002-01-01"
-SETS_PER_LINE = 10_000
+SETS_PER_CHUNK = 10_000
 INDEX = "_results"
+MANIFEST = "version string, names array<string>"
 
 
 def write_runs(runs: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -53,16 +56,11 @@ def write_observed(series: DataFrame, path: str) -> None:
 
 
 def read_param_file(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless file, one line per parameter: quoted name, then its accepted values -> ``param, block, values``.
-
-    ``block`` is 0 unless the writer had to split a parameter over several lines.  An empty field is a missing value.
-    """
+    """Headerless file, one line per parameter: quoted name, then its accepted values -> ``param, values``.  An empty field is a missing value."""
     parts = F.split("value", ",")
-    name = F.split(F.regexp_replace(F.get(parts, F.lit(0)), '"', ""), "#")
+    name = F.translate(F.regexp_replace(F.get(parts, F.lit(0)), '"', ""), "-", "_")
     values = F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), lambda v: F.nullif(F.trim(v), F.lit("")).cast("double"))
-    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
-    block = F.coalesce(F.get(name, F.lit(1)).cast("long"), F.lit(0).cast("long"))
-    return lines.select(F.translate(F.get(name, F.lit(0)), "-", "_").alias("param"), block.alias("block"), values.alias("values"))
+    return spark.read.text(path).filter(F.length(F.trim("value")) > 0).select(name.alias("param"), values.alias("values"))
 
 
 def param_means(params: DataFrame, digits: int = 3) -> DataFrame:
@@ -75,35 +73,32 @@ def param_means(params: DataFrame, digits: int = 3) -> DataFrame:
 
 def param_long(params: DataFrame) -> DataFrame:
     """``param, accept_rank, value`` from the array form."""
-    rows = params.select("param", "block", F.posexplode("values").alias("at", "value"))
-    return rows.select("param", (F.col("block") * SETS_PER_LINE + F.col("at") + 1).cast("long").alias("accept_rank"), "value")
+    return params.select("param", F.posexplode("values").alias("at", "value")).select("param", (F.col("at") + 1).cast("long").alias("accept_rank"), "value")
 
 
 def param_lines(posterior: DataFrame, params: Sequence[str], rank: str = "accept_rank") -> DataFrame:
-    """The transposed posterior: one row per parameter, its values in rank order -> ``position, param, block, values``.
+    """The transposed posterior as text: ``position, param, numbers``, the values of a parameter in rank order with commas between.
 
-    ``rank`` runs 1, 2, 3, ...  Beyond ``SETS_PER_LINE`` accepted sets a parameter takes further lines (blocks), so no
-    line and no group grows with the posterior.
+    ``rank`` runs 1, 2, 3, ...  Values are joined to chunks of ``SETS_PER_CHUNK`` first, chunks to lines afterwards: what sorts numbers never holds more than a chunk, what makes a
+    line holds its text alone.
     """
     tall = pivot_longer(posterior, [rank], params, "param", "value")
-    tall = tall.withColumn("block", F.floor((F.col(rank) - 1) / SETS_PER_LINE).cast("long"))
-    values = F.transform(F.sort_array(F.collect_list(F.struct(rank, "value"))), lambda s: s["value"])
-    order = F.array_position(F.array(*[F.lit(p) for p in params]), F.col("param"))
-    return tall.groupBy("param", "block").agg(values.alias("values")).select(order.alias("position"), "param", "block", "values")
+    tall = tall.withColumn("chunk", F.floor((F.col(rank) - 1) / SETS_PER_CHUNK).cast("long"))
+    # a missing value is an empty field
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank, "value"))), lambda s: s["value"].cast("string")), ",", "")
+    chunks = tall.groupBy("param", "chunk").agg(text.alias("text"))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda s: s["text"]), ",")
+    position = F.array_position(F.array(*[F.lit(p) for p in params]), F.col("param"))
+    return chunks.groupBy("param").agg(line.alias("numbers")).select(position.alias("position"), "param", "numbers")
 
 
 def write_param_file(posterior: DataFrame, params: Sequence[str], path: str, rank: str = "accept_rank") -> None:
-    """Write the transposed posterior as a headerless CSV under the hyphenated names.
+    """Write the transposed posterior as a headerless CSV under the hyphenated names: one file with one line per parameter, whatever the number of sets.
 
-    Up to ``SETS_PER_LINE`` sets this is one file with one line per parameter; a larger posterior is written as
-    several ordered files, its further lines named ``"name#1"``, ``"name#2"``, ...
+    A line is one string, so a parameter's text must stay below 2 GB (some 100 million sets).
     """
-    single = posterior.limit(SETS_PER_LINE + 1).count() <= SETS_PER_LINE
-    lines = param_lines(posterior, params, rank).orderBy("position", "block")
-    label = F.concat(F.translate("param", "_", "-"), F.when(F.col("block") > 0, F.concat(F.lit("#"), F.col("block").cast("string"))).otherwise(F.lit("")))
-    numbers = F.array_join(F.transform("values", lambda v: v.cast("string")), ",", "")  # a missing value is an empty field
-    text = lines.select(F.concat(F.lit('"'), label, F.lit('",'), numbers).alias("value"))
-    (text.coalesce(1) if single else text).write.text(path)
+    lines = param_lines(posterior, params, rank).orderBy("position")
+    lines.select(F.concat(F.lit('"'), F.translate("param", "_", "-"), F.lit('",'), "numbers").alias("value")).coalesce(1).write.text(path)
 
 
 def export_single_set(posterior: DataFrame, params: Sequence[str], n: int, path: str, rank: str = "accept_rank") -> None:
@@ -111,18 +106,29 @@ def export_single_set(posterior: DataFrame, params: Sequence[str], n: int, path:
     write_param_file(posterior.filter(F.col(rank) == n).withColumn(rank, F.lit(1).cast("long")), params, path, rank)
 
 
-def save_results(results: Mapping[str, DataFrame], root: str) -> None:
-    """Store every named result as a table under one root, with an index of the names."""
+def save_results(results: Mapping[str, DataFrame], root: str) -> str:
+    """Store every named result as a table under one root and publish them together; returns the name of the version.
+
+    Tables go to a folder of their own version. The manifest, one row in one file, is added after the last table, so readers see the whole set or the one before:
+    a save that fails publishes nothing, a repeated one publishes a second version. Old versions are left in place.
+    """
+    if not results:
+        raise ValueError("nothing to save")
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     for name, df in results.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        df.write.parquet(f"{root}/{version}/{name}")
     spark = next(iter(results.values())).sparkSession
-    spark.createDataFrame([(n,) for n in results], "name string").coalesce(1).write.mode("overwrite").parquet(f"{root}/{INDEX}")
+    spark.createDataFrame([(version, list(results))], MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/{INDEX}")
+    return version
 
 
-def load_results(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The named results stored under a root, read lazily."""
-    names = [r["name"] for r in spark.read.parquet(f"{root}/{INDEX}").collect()]
-    return {name: spark.read.parquet(f"{root}/{name}") for name in names}
+def load_results(spark: SparkSession, root: str, version: str | None = None) -> dict[str, DataFrame]:
+    """The named results of a version (default: the last one published), read lazily. The tables belong to one version even if others are saved meanwhile."""
+    manifest = spark.read.schema(MANIFEST).parquet(f"{root}/{INDEX}")
+    found = manifest.orderBy(F.desc("version")).first() if version is None else manifest.filter(F.col("version") == version).first()
+    if found is None:
+        raise ValueError(f"no results {version or ''} under {root}")
+    return {name: spark.read.parquet(f"{root}/{found['version']}/{name}") for name in found["names"]}
 
 
 def simulator_names(columns: Sequence[str]) -> dict[str, str]:
