@@ -591,3 +591,44 @@ def test_layout_allocation_clamps(spark):
     wards = spark.range(1, 4).withColumnRenamed("id", "ward")
     assert hospital.allocate_evenly(wards, 4, 1.0).filter("is_bay").count() == 12
     assert rows_of(hospital.allocate_evenly(wards, 4, 0.4).filter("is_bay").groupBy("ward").count(), "ward", "count") == [(1, 2), (2, 1), (3, 1)]
+
+
+def _covering(t, rows):
+    hits = [(-p, n, a, b, v) for n, a, b, p, v in rows if t is not None and a < t <= b]
+    return (min(hits)[1], min(hits)[4]) if hits else (None, None)
+
+
+def test_period_lookup_against_every_pair(spark):
+    rng = random.Random(8)
+    periods = [(f"p{i}", a, a + rng.choice([0.0, 0.5, 1.0, 7.25, 60.0, 400.0]), rng.randrange(4), float(i)) for i in range(300) for a in [rng.choice([rng.uniform(-50, 520), float(rng.randrange(500))])]]
+    periods += [("all", float("-inf"), float("inf"), -1, -1.0), ("never", 5.0, 5.0, 9, 0.0), ("back", 9.0, 3.0, 9, 0.0)]
+    points = [*range(-5, 520), None, 77, 77]
+    table = spark.createDataFrame(periods, "name string, t_from double, t_to double, priority int, rate double")
+    got = hospital.period_lookup(spark.createDataFrame([(t,) for t in points], "t int"), table, "t", ["rate"])
+    assert sorted(((r["t"] is None, r["t"], r["period"], r["rate"]) for r in got.collect()), key=str) == sorted(((t is None, t, *_covering(t, periods)) for t in points), key=str)
+    assert not {"CartesianProduct", "NestedLoop"} & set(got._jdf.queryExecution().executedPlan().toString().split())
+    empty = hospital.period_lookup(spark.createDataFrame([(1,)], "t int"), table.limit(0), "t", ["rate"])
+    assert [tuple(r) for r in empty.collect()] == [(1, None, None)]
+    assert hospital.period_lookup(spark.createDataFrame([], "t int"), table, "t", ["rate"]).count() == 0
+
+
+def test_period_lookup_by_key_and_date(spark):
+    rng = random.Random(9)
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(n)
+    periods = [(rng.choice([1, 2, None]), f"p{i}", a, a + rng.randrange(9), rng.randrange(3), float(i)) for i in range(80) for a in [rng.randrange(60)]]
+    points = [(k, rng.randrange(60)) for k in (1, 2, 3, None) for _ in range(40)]
+    table = spark.createDataFrame([(k, n, day(a), day(b), p, v) for k, n, a, b, p, v in periods], "ward int, name string, t_from date, t_to date, priority int, rate double")
+    got = hospital.period_lookup(spark.createDataFrame([(k, day(t)) for k, t in points], "ward int, day date"), table, "day", ["rate"], ["ward"])
+    want = [(k, day(t), *_covering(t, [x[1:] for x in periods if x[0] == k])) for k, t in points]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_a_million_periods(spark):
+    periods = spark.range(1_000_000).select(
+        F.concat(F.lit("p"), F.col("id").cast("string")).alias("name"), (F.col("id") - 0.5).alias("t_from"), (F.col("id") + 0.5 + F.when(F.col("id") % 1000 == 0, 500_000.0).otherwise(0.0)).alias("t_to"),
+        F.when(F.col("id") % 1000 == 0, 0).otherwise(1).alias("priority"), F.col("id").alias("rate"),
+    )
+    points = spark.range(0, 1_400_000, 7).select(F.col("id").alias("t"))
+    got = hospital.period_lookup(points, periods, "t", ["rate"])
+    right = F.when((F.col("t") < 1_000_000) & (F.col("t") % 1000 != 0), F.col("rate") == F.col("t")).otherwise(F.col("rate") % 1000 == 0)
+    assert got.filter(right).count() == 200_000

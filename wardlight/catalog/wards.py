@@ -109,6 +109,16 @@ def l11_period_lookup(spark, sf):
     return found.groupBy("siminputrow", "period", "cleaning_rate").agg(F.count(F.lit(1)).alias("rows"), F.min("step").cast("long").alias("first_step"))
 
 
+def l11_interval_join(spark, sf):
+    """Every shipped line as a point of a ward's calendar, every stay as a period with a priority: which stay's bed counts on that day."""
+    stays = derived.stays(spark, sf)
+    periods = stays.select(
+        "ward", F.col("stay_id").cast("string").alias("name"), F.col("admit").alias("t_from"), F.col("discharge").alias("t_to"), (F.col("stay_id") % 5).cast("int").alias("priority"), "bed")
+    lines = derived.table(spark, sf, "lineitem").select((F.col("l_suppkey") % derived.WARDS + 1).cast("int").alias("ward"), F.to_date("l_shipdate").alias("day"))
+    found = hospital.period_lookup(lines, periods, "day", ["bed"], ["ward"])
+    return found.groupBy(F.col("ward").cast("long").alias("ward"), "day", "period", F.col("bed").cast("long").alias("bed")).agg(F.count(F.lit(1)).alias("lines"))
+
+
 @contextmanager
 def _stream_settings(spark):
     """RocksDB state and one state partition per core while a stream starts; state partitions are not coalesced."""
@@ -258,6 +268,14 @@ def register(r: Registry) -> None:
              CASE WHEN step > 1049 AND step <= 1335.573 THEN {real(3.36)} WHEN step > 1029.962 AND step <= 1246.789 THEN {real(1.574)} ELSE {real(2.376)} END AS cleaning_rate FROM runs) t GROUP BY 1, 2, 3""", "runs"),
         ["cleaning_rate"],
     )
+    r.add(
+        "l11_interval_join", l11_interval_join,
+        with_blocks(
+            """SELECT l.ward, l.day, p.best.name AS period, CAST(p.best.bed AS BIGINT) AS bed, l.lines FROM
+            (SELECT CAST(l_suppkey % 24 + 1 AS BIGINT) AS ward, CAST(l_shipdate AS DATE) AS day, COUNT(*) AS lines FROM lineitem GROUP BY 1, 2) l LEFT JOIN
+            (SELECT d.ward, d.day, MIN({'order': -(stay_id % 5), 'name': CAST(stay_id AS VARCHAR), 'bed': bed}) AS best FROM (SELECT DISTINCT l_suppkey % 24 + 1 AS ward, CAST(l_shipdate AS DATE) AS day FROM lineitem) d
+             JOIN stays s ON s.ward = d.ward AND d.day > s.admit AND d.day <= s.discharge GROUP BY 1, 2) p ON p.ward = l.ward AND p.day = l.day""", "stays"),
+    )
     r.add("t1_monthly_stream", t1_monthly_stream, with_blocks("SELECT * FROM monthly", "monthly"), ["rate"])
     r.add(
         "t2_contamination_stream", t2_contamination_stream,

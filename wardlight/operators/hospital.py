@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight.functions.scalar import risk
-from wardlight.functions.scans import exclusive_running
-from wardlight.session import small_or_self
+from wardlight.functions.scans import exclusive_running, null_safe_join
+from wardlight.session import materialize, small_or_self
 
 BAY_BEDS = 4
 CLEANING_EFFECT = 0.8
@@ -363,19 +363,44 @@ def scheduled_parameters(days: DataFrame, design: DataFrame, outbreak: bool = Tr
     return joined.select(*days.columns, *[in_outbreak(p).alias(f"now_{p}") for p in own], *[in_control(p).alias(f"now_{p}") for p in shared])
 
 
-def period_lookup(points: DataFrame, periods: DataFrame, at: str, values: Sequence[str]) -> DataFrame:
-    """Values of the highest-priority period covering each point (``t_from < t <= t_to``).
+def period_lookup(points: DataFrame, periods: DataFrame, at: str, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Values of the highest-priority period covering each point (``t_from < t <= t_to``); a smaller name wins ties. Points outside all periods get nulls.
 
-    For one short period table (its size is checked).  It comes as one array from a subquery, so a point stays one
-    row and no join is planned.
+    ``at`` is an integer or date column of ``points``; ``periods`` has ``name, t_from, t_to, priority``, the columns ``values`` and, where each key has a schedule of its own, the key
+    columns ``by`` (nulls match nulls). An interval join without comparing points and periods: a period is cut into the few aligned stretches of 1, 2, 4, ... steps that make it up,
+    each stretch keeps its best period in a combinable aggregation, and a point asks the stretch of every size that it lies in. Work grows with
+    the number of periods and of distinct points times the logarithm of the range, not with how many periods cover a point.
     """
-    limit = 10_000
-    if periods.limit(limit + 1).count() > limit:
-        raise ValueError("period_lookup takes a short schedule; use scheduled_parameters for one schedule per run")
-    packed = periods.agg(F.sort_array(F.collect_list(F.struct((-F.col("priority")).alias("order"), "name", "t_from", "t_to", *values))))
-    joined = points.withColumn("__periods", packed.scalar())
-    covering = F.filter("__periods", lambda p: (F.col(at) > p["t_from"]) & (F.col(at) <= p["t_to"]))
-    best = joined.withColumn("__best", F.get(covering, F.lit(0)))
-    return best.select(*points.columns, F.col("__best.name").alias("period"), *[F.col(f"__best.{v}").alias(v) for v in values])
-
-
+    by = list(by)
+    day = points.schema[at].dataType.simpleString() == "date"
+
+    def number(c: Column) -> Column:
+        return (F.unix_date(c) if day else c).cast("long")
+
+    moments = materialize(points.select(*by, F.col(at).alias("__at"), number(F.col(at)).alias("__t")).filter(F.col("__t").isNotNull()).distinct(), "moments")
+    ends = moments.agg(F.min("__t").alias("low"), F.max("__t").alias("high")).first()
+    low, high = (ends["low"], ends["high"]) if ends["low"] is not None else (0, 0)
+    levels = (high - low).bit_length() + 1
+    whole = (lambda c: F.unix_date(F.to_date(c)).cast("long")) if day else (lambda c: F.floor(F.least(F.greatest(c.cast("double"), F.lit(low - 1.0)), F.lit(high + 1.0))).cast("long"))
+    best = F.struct((-F.col("priority")).alias("order"), "name", "t_from", "t_to", *values)
+    # first and one past the last step, counted from ``low``
+    first = F.greatest(whole(F.col("t_from")) + 1, F.lit(low)) - low
+    past = F.least(whole(F.col("t_to")), F.lit(high)) + 1 - low
+
+    def climb(acc: Column, level: Column) -> Column:
+        a, z, open_ = acc["a"], acc["z"], acc["a"] < acc["z"]
+        left, right = open_ & (a % 2 == 1), open_ & (z % 2 == 1)
+        node = lambda n: F.array(F.struct(level.alias("level"), n.alias("node")))
+        none = F.array().cast("array<struct<level:int,node:bigint>>")
+        found = F.concat(acc["found"], F.when(left, node(a)).otherwise(none), F.when(right & (z - 1 >= F.when(left, a + 1).otherwise(a)), node(z - 1)).otherwise(none))
+        return F.struct(F.floor((F.when(left, a + 1).otherwise(a)) / 2).alias("a"), F.floor((F.when(right, z - 1).otherwise(z)) / 2).alias("z"), found.alias("found"))
+
+    start = F.struct(first.cast("long").alias("a"), past.cast("long").alias("z"), F.array().cast("array<struct<level:int,node:bigint>>").alias("found"))
+    cut = F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, climb, lambda acc: acc["found"])
+    kept = periods.filter((F.col("t_from") < F.col("t_to")) & (first < past)).select(*by, best.alias("best"), F.explode(cut).alias("n"))
+    stretches = kept.groupBy(*by, "n.level", "n.node").agg(F.min("best").alias("best"))
+    asked = moments.select(*by, "__at", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.floor((F.col("__t") - low) / F.pow(F.lit(2.0), k)).cast("long"))).alias("level", "node"))
+    found = null_safe_join(asked, stretches, [*by, "level", "node"]) if by else asked.join(stretches, ["level", "node"])
+    answers = found.groupBy(*by, "__at").agg(F.min("best").alias("__best")).withColumnRenamed("__at", at)
+    joined = null_safe_join(points, answers, [*by, at], "left")
+    return joined.select(*[F.col(c) for c in points.columns], F.col("__best.name").alias("period"), *[F.col(f"__best.{v}").alias(v) for v in values])
