@@ -549,24 +549,48 @@ def replay(rows, effect=0.8):
     return out
 
 
-@pytest.mark.parametrize("bucket_rows", [5, 4_096])
-def test_contamination_levels(spark, toilet_rows, bucket_rows):
-    levels = hospital.contamination_levels(spark.createDataFrame(toilet_rows, EVENTS), bucket_rows=bucket_rows)
-    want = replay(toilet_rows)
-    got = levels.collect()
+@pytest.mark.parametrize(("block_rows", "effect", "groups"), [(5, 0.8, 2), (256, 0.8, 256), (64, 1.0, 3), (256, 0.0, 256), (256, 0.999, 2)])
+def test_contamination_levels(spark, toilet_rows, monkeypatch, block_rows, effect, groups):
+    monkeypatch.setattr(hospital, "GROUP_BLOCKS", groups)
+    events = spark.createDataFrame(toilet_rows, EVENTS).repartition(3)
+    want = replay(toilet_rows, effect)
+    got = hospital.contamination_levels(events, effect, block_rows=block_rows, parts=4).collect()
     assert len(got) == len(want)
-    assert max(max(abs(r["level_before"] - want[r["event_id"]][0]), abs(r["level_after"] - want[r["event_id"]][1])) for r in got) < 1e-12
-
-
-@pytest.mark.parametrize("bucket_rows", [5, 4_096])
-def test_exposure_asof(spark, toilet_rows, bucket_rows):
+    assert max(max(abs(r["level_before"] - want[r["event_id"]][0]), abs(r["level_after"] - want[r["event_id"]][1])) for r in got) < 1e-11
+    last = {}
+    for toilet, event, ts, *_ in sorted(toilet_rows, key=lambda r: (r[0], r[2], r[1])):
+        last[toilet] = (want[event][1], last.get(toilet, (0, 0))[1] + 1)
+    final = {r["toilet_id"]: (r["level"], r["events"]) for r in hospital.final_levels(events, effect, block_rows=block_rows, parts=4).collect()}
+    assert final.keys() == last.keys() and all(abs(final[t][0] - last[t][0]) < 1e-11 and final[t][1] == last[t][1] for t in last)
+
+
+def test_one_second_with_most_events(spark):
+    """50,000 events of one toilet in one second are spread over tasks and blocks."""
+    second = dt.datetime(2024, 3, 1, 12, 0, 0)
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") < 50_000, 1).otherwise(F.col("id") % 40).cast("long").alias("toilet_id"), F.col("id").alias("event_id"), F.when(F.col("id") < 50_000, F.lit(second)).otherwise(F.lit(dt.datetime(2024, 3, 2))).alias("ts"),
+        F.when(F.col("id") % 9 == 0, "clean").otherwise("use").alias("kind"), (F.col("id") % 9 != 0).alias("colonised"), (F.col("id") % 7 * 0.05).alias("amount"),
+    )
+    levels = hospital.contamination_levels(rows, parts=8)
+    text = levels._jdf.queryExecution().executedPlan().toString()
+    want = replay([tuple(r) for r in rows.collect()])
+    assert max(abs(r["level_after"] - want[r["event_id"]][1]) for r in levels.collect()) < 1e-11
+    placed = hospital.ordered_blocks(rows, ["toilet_id", "ts", "event_id"], 256, 8)
+    sizes = placed.groupBy(F.shiftright("__block", 33).alias("part")).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 20_000 and placed.groupBy("__block").count().agg(F.max("count")).first()[0] <= 256
+    assert text.count("Window [") == 3
+
+
+@pytest.mark.parametrize("block_rows", [5, 8_192])
+def test_exposure_asof(spark, toilet_rows, block_rows):
     events = spark.createDataFrame(toilet_rows, EVENTS)
     exposing = (F.col("kind") == "use") & ~F.col("colonised")
-    levels = hospital.contamination_levels(events).filter(~exposing)
-    got = hospital.exposure_asof(events.filter(exposing), levels, bucket_rows=bucket_rows).collect()
+    levels = hospital.contamination_levels(events)
     want = replay(toilet_rows)
-    assert len(got) == sum(r[3] == "use" and not r[4] for r in toilet_rows)
-    assert max(abs(r["exposure"] - want[r["event_id"]][0]) for r in got) < 1e-12
+    for table in (levels.filter(~exposing), levels):  # a level of the use itself is not before it
+        got = hospital.exposure_asof(events.filter(exposing), table, block_rows=block_rows, parts=5).collect()
+        assert len(got) == sum(r[3] == "use" and not r[4] for r in toilet_rows)
+        assert max(abs(r["exposure"] - want[r["event_id"]][0]) for r in got) < 1e-11
 
 
 def test_infection_risk(spark):

@@ -41,10 +41,9 @@ def test_step_window_bounds_are_subqueries(spark, sf, stored):
     assert "Subquery" in text and "NestedLoop" not in text
 
 
-def test_events_are_shuffled_by_toilet_and_bucket(spark, sf):
-    levels = hospital.contamination_levels(derived.toilet_events(spark, sf), bucket_rows=20)
-    text = plan(levels)
-    assert "hashpartitioning(toilet_id" in text and "__bucket" in text.split("hashpartitioning(toilet_id")[1][:60]
+def test_events_are_dealt_by_position(spark, sf):
+    text = plan(hospital.contamination_levels(derived.toilet_events(spark, sf), block_rows=20))
+    assert "hashpartitioning(__block" in text and "hashpartitioning(toilet_id" not in text.split("Window")[1]
 
 
 def test_daily_measures_are_summed_before_the_window(spark, sf):

@@ -66,24 +66,23 @@ def l8_final_levels(spark, sf):
     return hospital.final_levels(derived.toilet_events(spark, sf))
 
 
-def _exposures(spark, sf):
-    """Uses by patients who are not colonised, with the level left by the earlier events."""
-    events = derived.toilet_events(spark, sf)
-    exposing = (F.col("kind") == "use") & ~F.col("colonised")
-    buckets = hospital.choose_bucket(events)
-    # read twice below, so written once
-    levels = materialize(hospital.contamination_levels(events, buckets=buckets).filter(~exposing).select("toilet_id", "event_id", "ts", "level_after"), "levels")
-    return hospital.exposure_asof(events.filter(exposing).select("toilet_id", "event_id", "ts"), levels, buckets=buckets)
+def _exposing():
+    return (F.col("kind") == "use") & ~F.col("colonised")
 
 
 def l10_exposure_asof(spark, sf):
-    return _exposures(spark, sf).drop("ts")
+    """Uses by patients who are not colonised, with the level left by the earlier events, from two tables."""
+    events = derived.toilet_events(spark, sf)
+    levels = hospital.contamination_levels(events).filter(~_exposing()).select("toilet_id", "event_id", "ts", "level_after")
+    return hospital.exposure_asof(events.filter(_exposing()).select("toilet_id", "event_id", "ts"), levels).drop("ts")
 
 
 def l9_infection_risk(spark, sf):
     """Patients are identified with the toilet they use: one patient per user and day."""
     keyed = {"day": F.to_date("ts"), "antibiotic": F.col("patient_id") % 2 == 0}
-    uses = _exposures(spark, sf).withColumnRenamed("toilet_id", "patient_id").withColumns(keyed).select("patient_id", "day", "antibiotic", "exposure")
+    # the level before a use is what its patient meets: the replay gives it without a second table
+    replayed = hospital.contamination_levels(derived.toilet_events(spark, sf)).filter(_exposing())
+    uses = replayed.withColumnRenamed("toilet_id", "patient_id").withColumns(keyed).select("patient_id", "day", "antibiotic", F.col("level_before").alias("exposure"))
     events = derived.toilet_events(spark, sf).withColumnRenamed("toilet_id", "patient_id").withColumns(keyed)
     days = events.select("patient_id", "day", "antibiotic").distinct().withColumn("baseline", F.lit(6.7))
     return hospital.infection_risk(days, uses)

@@ -2,8 +2,8 @@
 
 A plain ``Window.partitionBy(key)`` sorts all rows of a key in one task.  Here the order axis is cut into buckets by
 value: each (key, bucket) is one small window, the buckets are reduced to one row each by a partially aggregated
-``groupBy``, and only that reduced table is scanned per key.  Buckets come from values, never from the physical
-partition, so a re-run task sees the same buckets.
+``groupBy``, and only that reduced table is scanned per key.  Buckets come from values, or from row positions in a sorted
+table that was written once, so a re-run task sees the same buckets.
 """
 
 from __future__ import annotations
@@ -58,6 +58,20 @@ def position_in_group(df: DataFrame, keys: Sequence[str], order: str, width: int
     return joined.withColumn(out, (F.col("__offset") + F.col("__rank")).cast("long")).drop("__offset", "__rank", "__bucket")
 
 
+def ordered_blocks(df: DataFrame, order: Sequence[str], rows: int, parts: int | None = None) -> DataFrame:
+    """``df`` sorted by ``order`` over the whole table, in blocks of at most ``rows`` consecutive rows: ``__block`` rises with the order, ``__place`` rises inside a block.
+
+    Blocks are cut by row position, so neither a busy key nor many rows of one value make a large one. The rows are dealt by sampled cuts of ``order`` and written sorted; positions
+    are those of the written table, so a re-run task sees the same ones. ``order`` should be unique, or rows that are equal in it stand in any order.
+    """
+    dealt = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    at = F.monotonically_increasing_id()  # its partition above bit 33, the place in the partition below
+    placed = materialize(dealt.sortWithinPartitions(*order).withColumn("__at", at), "ordered")
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    block = F.shiftleft(F.shiftright("__at", 33), 33) + F.floor(place / F.lit(rows))
+    return placed.withColumns({"__block": block.cast("long"), "__place": (place % rows).cast("int")}).drop("__at")
+
+
 def global_rank(df: DataFrame, value: str, tie: str, out: str = "rank", descending: bool = False, parts: int | None = None) -> DataFrame:
     """1-based rank of every row by ``value`` and then rising ``tie`` over the whole table, without a single-task sort.
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight.functions.scalar import risk
-from wardlight.functions.scans import exclusive_running, null_safe_join
+from wardlight.functions.scans import exclusive_running, null_safe_join, ordered_blocks
 from wardlight.session import materialize, small_or_self
 
 BAY_BEDS = 4
@@ -160,153 +159,132 @@ def queue_lengths(queue_events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 #
 # Every event maps the level x to min(m, a * x + b).  Such maps compose:
 #   (a2, b2, m2) after (a1, b1, m1)  =  (a2 * a1, a2 * b1 + b2, min(m2, a2 * m1 + b2))      (a2 >= 0)
-# so a toilet's history can be cut into time buckets, each composed on its own.
+# Inside a block of events they need no composing: with A the product of all a so far, the level divided by A only grows by b / A
+# and is held below 1 / A, so it is a running sum P and a running minimum:  x / A = P + min(x0, min over events of 1 / A - P).
+# Events are cut into blocks by row position, a block is one map, a group of blocks is one map, and only groups are followed toilet by toilet.
 
-BUCKET_SECONDS = (30 * 86_400, 86_400, 3_600, 60, 1)
-BUCKET_ROWS = 4_096
+BLOCK_ROWS = 256
+GROUP_BLOCKS = 256
+FULL = 1.0 - 1e-12  # a cleaning that removes everything counts as this much
+SPAN = 250.0  # powers of ten that 1 / A may grow by inside a block
 
 
-def _bucket(events: DataFrame, seconds: int) -> Column:
-    """Time bucket of ``ts``.  A time without zone is counted in its own days and seconds: converting it through the
-    session zone would reorder events around a clock change."""
-    if events.schema["ts"].dataType.simpleString() == "timestamp_ntz":
-        ts = F.col("ts")
-        second = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-        total = F.unix_date(F.to_date(ts)).cast("long") * 86_400 + second
-    else:
-        total = F.unix_seconds("ts")
-    return F.floor(total / F.lit(seconds)).cast("long")
+def _block_rows(cleaning_effect: float, rows: int) -> int:
+    """Rows of a block: ``rows``, or as many as cleanings may follow each other before 1 / A leaves the range of doubles."""
+    shrink = -math.log10(1.0 - min(cleaning_effect, FULL))
+    return max(1, min(rows, int(SPAN / shrink))) if shrink > 0 else rows
 
 
-def _bucket_sizes(events: DataFrame, key: str, seconds: int) -> tuple[int, int]:
-    """(rows in the largest bucket, buckets of the busiest key) at a bucket width."""
-    counts = events.groupBy(key, _bucket(events, seconds).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    per_key = counts.groupBy(key).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("buckets"))
-    row = per_key.agg(F.max("n").alias("n"), F.max("buckets").alias("buckets")).first()
-    return row["n"] or 1, row["buckets"] or 1
+def _adds() -> Column:
+    return F.when((F.col("kind") == "use") & F.col("colonised"), F.col("amount")).otherwise(F.lit(0.0))
 
 
-@dataclass(frozen=True)
-class Buckets:
-    """A bucket width with the sizes found for it: rows of the largest bucket, buckets of the busiest key."""
+def _replayed(events: DataFrame, cleaning_effect: float, key: str, rows: int, parts: int | None) -> DataFrame:
+    """The events in blocks with the map from the level at the start of the block to that before (``A0, P0, M0``) and after the event (``A, P, M``)."""
+    keep = F.lit(1.0 - min(cleaning_effect, FULL))
+    blocks = ordered_blocks(events.filter(F.col(key).isNotNull()), [key, "ts", "event_id"], _block_rows(cleaning_effect, rows), parts)
+    before = Window.partitionBy("__block", key).orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+    cleans = (F.col("kind") == "clean").cast("int")
+    df = blocks.withColumn("A0", F.pow(keep, F.coalesce(F.sum(cleans).over(before), F.lit(0))))
+    df = df.withColumn("A", F.when(F.col("kind") == "clean", F.col("A0") * keep).otherwise(F.col("A0"))).withColumn("__term", _adds() / F.col("A"))
+    df = df.withColumn("P0", F.coalesce(F.sum("__term").over(before), F.lit(0.0))).withColumn("P", F.col("P0") + F.col("__term"))
+    df = df.withColumn("__cap", F.lit(1.0) / F.col("A") - F.col("P"))
+    return df.withColumn("M0", F.min("__cap").over(before)).withColumn("M", F.least("M0", "__cap")).drop("__term", "__cap")
 
-    seconds: int
-    rows: int
-    per_key: int
 
+def _level(a: Column, p: Column, cap: Column, start: Column) -> Column:
+    return a * (p + F.least(start, cap))
 
-def choose_bucket(events: DataFrame, key: str = "toilet_id", bucket_rows: int = BUCKET_ROWS) -> Buckets:
-    """The widest bucket whose largest group stays within ``bucket_rows`` (else the narrowest)."""
-    for seconds in BUCKET_SECONDS:
-        found = Buckets(seconds, *_bucket_sizes(events, key, seconds))
-        if found.rows <= bucket_rows:
-            break
-    return found
 
+def _block_maps(replayed: DataFrame, key: str) -> DataFrame:
+    """One map (a, b, m) per toilet and block, with its number of events."""
+    last = F.max_by(F.struct("A", "P", "M"), "__place")
+    maps = replayed.groupBy(key, "__block").agg(last.alias("e"), F.count(F.lit(1)).alias("n"))
+    return maps.select(key, "__block", F.col("e.A").alias("a"), (F.col("e.A") * F.col("e.P")).alias("b"), (F.col("e.A") * (F.col("e.P") + F.col("e.M"))).alias("m"), "n")
 
-def _compose_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int) -> DataFrame:
-    """Compose the maps (a, b, m) of each group from its first row to the current one.
 
-    Doubling: round r composes with the row ``2^r`` back, so ``log2(rows)`` windows over one sort do it.
-    """
-    window = Window.partitionBy(*keys).orderBy(*order)
-    a, b, m = F.col("a"), F.col("b"), F.col("m")
-    rest = [F.col(c) for c in df.columns if c not in ("a", "b", "m")]
-    for r in range(max(0, math.ceil(math.log2(max(1, rows))))):
-        a0, b0, m0 = (F.lag(c, 2**r).over(window) for c in ("a", "b", "m"))
-        df = df.select(
-            *rest,
-            F.coalesce(a * a0, a).alias("a"),
-            F.coalesce(a * b0 + b, b).alias("b"),
-            F.coalesce(F.least(m, a * m0 + b), m).alias("m"),
-        )
-    return df
+def _group() -> Column:
+    """Groups of ``GROUP_BLOCKS`` blocks of a partition; they rise with the blocks."""
+    part = F.shiftleft(F.shiftright("__block", 33), 33)
+    return (part + F.floor((F.col("__block") - part) / F.lit(GROUP_BLOCKS))).cast("long")
+
+
+def _sorted_maps(at: str) -> Column:
+    return F.array_sort(F.collect_list(F.struct(at, "a", "b", "m", "n")))
+
+
+def _group_maps(blocks: DataFrame, key: str) -> DataFrame:
+    """The maps of at most ``GROUP_BLOCKS`` blocks composed to one."""
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct((x["a"] * acc["a"]).alias("a"), (x["a"] * acc["b"] + x["b"]).alias("b"), F.least(x["m"], x["a"] * acc["m"] + x["b"]).alias("m"), (acc["n"] + x["n"]).alias("n"))
+
+    none = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("inf")).alias("m"), F.lit(0).cast("long").alias("n"))
+    listed = blocks.withColumn("__group", _group()).groupBy(key, "__group").agg(_sorted_maps("__block").alias("x"))
+    return listed.select(key, "__group", F.aggregate("x", none, step).alias("e")).select(key, "__group", "e.*")
+
+
+def _starts(maps: Column, start: Column, at: str) -> Column:
+    """The level before each map of a sorted array."""
+    kind = f"array<struct<{at}:bigint,start:double>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        own = F.array(F.struct(x[at].alias(at), acc["level"].alias("start")))
+        return F.struct(F.least(x["m"], x["a"] * acc["level"] + x["b"]).alias("level"), F.concat(acc["out"], own).alias("out"))
+
+    return F.aggregate(maps, F.struct(start.alias("level"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
 
 
 def contamination_levels(
-    events: DataFrame, cleaning_effect: float = CLEANING_EFFECT, key: str = "toilet_id", bucket_rows: int = BUCKET_ROWS, buckets: Buckets | None = None
+    events: DataFrame, cleaning_effect: float = CLEANING_EFFECT, key: str = "toilet_id", block_rows: int = BLOCK_ROWS, parts: int | None = None
 ) -> DataFrame:
     """Every event with the contamination level of its toilet just before and just after it, starting from 0.
 
     A use by a colonised patient adds ``amount`` up to 1, a cleaning removes the share ``cleaning_effect``, any other
-    use leaves the level.  Order is ``(ts, event_id)``.  One shuffle of the events, by (toilet, time bucket); the
-    bucket width is chosen from a count (or given) so that a busy toilet is spread over many tasks.
+    use leaves the level.  Order is ``(ts, event_id)``; events without a toilet are left out.  Events are sorted by ranges and cut by position, so one toilet with most of the events, or one
+    second with many, is spread over all tasks: three running sums and minima inside blocks of ``block_rows`` events, then blocks and groups of blocks as one map each.
+    ``parts`` sets the number of ranges.
     """
-    buckets = buckets or choose_bucket(events, key, bucket_rows)
-    a, b = _maps(events, cleaning_effect)
-    maps = events.withColumns({"__bucket": _bucket(events, buckets.seconds), "a": a, "b": b, "m": F.lit(1.0)})
-    in_bucket = Window.partitionBy(key, "__bucket").orderBy("ts", "event_id")
-    inside = _compose_running(maps, [key, "__bucket"], ["ts", "event_id"], buckets.rows)
-    inside = inside.withColumn("__last", F.lead("event_id").over(in_bucket).isNull())
-    whole = _compose_running(inside.filter("__last").select(key, "__bucket", "a", "b", "m"), [key], ["__bucket"], buckets.per_key)
-    start = F.lag(F.least(F.col("m"), F.col("b"))).over(Window.partitionBy(key).orderBy("__bucket"))
-    whole = whole.select(key, "__bucket", F.coalesce(start, F.lit(0.0)).alias("__start"))
-    joined = inside.join(whole, [key, "__bucket"])
-    after = joined.withColumn("level_after", F.least(F.col("m"), F.col("a") * F.col("__start") + F.col("b")))
-    levels = after.withColumn("level_before", F.coalesce(F.lag("level_after").over(in_bucket), F.col("__start")))
-    return levels.select(*events.columns, "level_before", "level_after")
-
-
-def _maps(events: DataFrame, cleaning_effect: float) -> tuple[Column, Column]:
-    """(a, b) of each event's map ``x -> min(1, a x + b)``."""
-    adds = (F.col("kind") == "use") & F.col("colonised")
-    return F.when(F.col("kind") == "clean", F.lit(1.0 - cleaning_effect)).otherwise(F.lit(1.0)), F.when(adds, F.col("amount")).otherwise(F.lit(0.0))
-
-
-def _folded(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One composed map (a, b, m) and the number of events per group; groups are buckets of bounded size."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, "a", "b", "m", "n")))
+    replayed = _replayed(events, cleaning_effect, key, block_rows, parts)
+    blocks = materialize(_block_maps(replayed, key), "block-maps")
+    groups = _group_maps(blocks, key).groupBy(key).agg(_sorted_maps("__group").alias("x"))
+    group_starts = groups.select(key, F.explode(_starts(F.col("x"), F.lit(0.0), "__group")).alias("s")).select(key, "s.*")
+    listed = blocks.withColumn("__group", _group()).groupBy(key, "__group").agg(_sorted_maps("__block").alias("x")).join(group_starts, [key, "__group"])
+    starts = listed.select(key, F.explode(_starts(F.col("x"), F.col("start"), "__block")).alias("s")).select(key, "s.__block", "s.start")
+    joined = replayed.join(starts, [key, "__block"])
+    start = F.col("start")
+    return joined.select(*events.columns, _level(F.col("A0"), F.col("P0"), F.col("M0"), start).alias("level_before"), _level(F.col("A"), F.col("P"), F.col("M"), start).alias("level_after"))
 
-    def step(acc: Column, x: Column) -> Column:
-        return F.struct(
-            (x["a"] * acc["a"]).alias("a"), (x["a"] * acc["b"] + x["b"]).alias("b"), F.least(x["m"], x["a"] * acc["m"] + x["b"]).alias("m"), (acc["n"] + x["n"]).alias("n")
-        )
 
-    first = F.struct(*[F.col("__rows")[0][c].alias(c) for c in ("a", "b", "m", "n")])
-    folded = F.aggregate(F.slice("__rows", 2, F.size("__rows")), first, step)
-    return df.groupBy(*keys).agg(rows.alias("__rows")).select(*keys, folded.alias("__f")).select(*keys, "__f.*")
+def final_levels(events: DataFrame, cleaning_effect: float = CLEANING_EFFECT, key: str = "toilet_id", block_rows: int = BLOCK_ROWS, parts: int | None = None) -> DataFrame:
+    """Level of every toilet after its last event, and its number of events.
 
+    Only maps are composed: blocks to groups, groups to the toilet. No event is joined or replayed.
+    """
+    groups = _group_maps(_block_maps(_replayed(events, cleaning_effect, key, block_rows, parts), key), key)
+    maps = groups.groupBy(key).agg(_sorted_maps("__group").alias("x"))
+    level = F.aggregate("x", F.lit(0.0), lambda acc, x: F.least(x["m"], x["a"] * acc + x["b"]))
+    events_ = F.aggregate("x", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    return maps.select(key, level.alias("level"), events_.alias("events"))
 
-def final_levels(events: DataFrame, cleaning_effect: float = CLEANING_EFFECT, key: str = "toilet_id", buckets: Buckets | None = None) -> DataFrame:
-    """Level of every toilet after its last event.
 
-    Only composed maps are needed: each bucket is folded to one map, those to one map per thousand buckets, and these to one per
-    toilet. No event is joined or replayed.
-    """
-    buckets = buckets or choose_bucket(events, key)
-    a, b = _maps(events, cleaning_effect)
-    maps = events.withColumns({"__bucket": _bucket(events, buckets.seconds), "a": a, "b": b, "m": F.lit(1.0), "n": F.lit(1).cast("long")})
-    small = _folded(maps, [key, "__bucket"], ["ts", "event_id"])
-    large = _folded(small.withColumn("__wide", F.floor(F.col("__bucket") / 1_000)), [key, "__wide"], ["__bucket"])
-    return _folded(large, [key], ["__wide"]).select(key, F.least("m", "b").alias("level"), F.col("n").alias("events"))
+ASOF_ROWS = 8_192
 
 
-def exposure_asof(
-    uses: DataFrame, levels: DataFrame, key: str = "toilet_id", level: str = "level_after", bucket_rows: int = BUCKET_ROWS, buckets: Buckets | None = None
-) -> DataFrame:
+def exposure_asof(uses: DataFrame, levels: DataFrame, key: str = "toilet_id", level: str = "level_after", block_rows: int = ASOF_ROWS, parts: int | None = None) -> DataFrame:
     """Each use with the latest level strictly before it in ``(ts, event_id)`` order; 0 when there is none.
 
-    As-of join by union: both tables share one shuffle by (toilet, time bucket); the last level of earlier buckets is
-    carried in from the reduced bucket table.
+    As-of join by union: both tables are sorted by ranges and cut into blocks by position, a use looks back inside its block, and
+    the last level of earlier blocks is carried in from the reduced table of blocks.
     """
-    both = uses.withColumn("__use", F.lit(True)).withColumn("__level", F.lit(None).cast("double")).unionByName(
-        levels.select(key, "ts", "event_id", F.lit(False).alias("__use"), F.col(level).alias("__level")), allowMissingColumns=True
-    )
-    buckets = buckets or choose_bucket(both, key, bucket_rows)
-    both = both.withColumn("__bucket", _bucket(both, buckets.seconds))
-    ordered = Window.partitionBy(key, "__bucket").orderBy("ts", "event_id")
-    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumns(
-        {
-            "__seen": F.last("__level", ignorenulls=True).over(earlier),
-            "__tail": F.last("__level", ignorenulls=True).over(so_far),
-            "__closes": F.lead("event_id").over(ordered).isNull(),
-        }
+    both = uses.withColumns({"__level_row": F.lit(False), "__level": F.lit(None).cast("double")}).unionByName(
+        levels.select(key, "ts", "event_id", F.lit(True).alias("__level_row"), F.col(level).alias("__level")), allowMissingColumns=True
     )
-    parts = seen.filter("__closes").select(key, "__bucket", "__tail")
-    parts = exclusive_running(parts, [key], ["__bucket"], {"__carried": ("last", "__tail")}).drop("__tail")
-    found = seen.filter("__use").join(parts, [key, "__bucket"])
+    blocks = ordered_blocks(both, [key, "ts", "event_id", "__level_row"], block_rows, parts)  # a level of the same event comes after the use
+    earlier = Window.partitionBy(key, "__block").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+    seen = blocks.withColumn("__seen", F.last("__level", ignorenulls=True).over(earlier)).filter(~F.col("__level_row"))
+    tails = blocks.groupBy(key, "__block").agg(F.max_by("__level", F.when(F.col("__level").isNotNull(), F.col("__place"))).alias("__tail"))
+    carried = exclusive_running(tails, [key], ["__block"], {"__carried": ("last", "__tail")}).drop("__tail")
+    found = null_safe_join(seen, carried, [key, "__block"])
     return found.select(*uses.columns, F.coalesce("__seen", "__carried", F.lit(0.0)).alias("exposure"))
 
 
