@@ -1,6 +1,7 @@
 """Quality scores, page texts, fingerprints and the pipeline."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -95,8 +96,52 @@ def test_blocks_of_a_page():
     assert blocks_of("") == []
 
 
+def test_broken_and_foreign_markup_loses_no_text():
+    def got(page):
+        return [b.text for b in blocks_of(page)]
+
+    assert got('<article><p>one</p><svg viewBox="0 0 1 1"/><p>two</p></article>') == ["one", "two"]
+    assert got("<p>one<svg><text>drawn</text></svg> two<p>three<svg><p>four") == ["one two", "three", "four"]
+    assert got("<p>one<iframe src=x><p>two") == ["one", "two"]
+    assert got("<p>a <math><mi>x</mi></math> b <object data=x>other</object><noscript><p>still</p></noscript>") == ["a x b other", "still"]
+    assert got('<p class="x>two</p><p class="y">three</p>') == ["two", "three"]
+    assert got('<p class="x>two</p>') == ["two"] and got("<p title='a>b' class=c>one</p>") == ["one"] and got('<div data-x="<b>hi</b>">t</div>') == ["t"]
+    assert got("<p>1 < 2 and <b>3 > 2</b> <3") == ["1 < 2 and 3 > 2 <3"] and got("<p>a<!-- no end <p>b") == ["ab"] and got("<p>a<script>x = '<'</script>b<style>y") == ["ab"]
+    assert got("<p>end <b") == ["end <b"] and got("</div></p>x</span>") == ["x"] and got("<?xml?><!doctype html>x") == ["x"]
+
+
+@pytest.mark.parametrize("piece", ["<a '", '<a ="', "<a ='>'", "<div>x", "<p", "<!--", "<script>", "<svg>", '<p class="x>t</p>', "<div><p></span>", '<a href="', "<", '<p x=">a<b>', "<iframe>a<b>", "<ul><li>", "</p>", '<p class="'])
+def test_a_megabyte_of_broken_markup_takes_linear_time(piece):
+    page = piece * (1_000_000 // len(piece))
+    start = time.perf_counter()
+    blocks_of(page)
+    assert time.perf_counter() - start < 8  # below 3 s on an idle machine; squares would take minutes
+
+
+MARKED = [  # pages and their main text, marked by hand; no class or id tells what a part is for
+    ("""<html><head><title>Tides</title><script>var a = "<p>no</p>";</script></head><body><header><a href="/">Harbour news</a></header><nav><ul><li><a href="/1">Boats</a><li><a href="/2">Weather</a></ul></nav>
+      <article class="x1"><h1>Tides of the week</h1><p>The water rises <em>twice</em> a day.<p>On Monday it rose by <math><mn>2</mn></math> metres.<svg viewBox="0 0 1 1"/></p><ul><li>High at noon.<li>Low at dusk.</ul></article>
+      <aside class="x2"><h3>More</h3><p><a href="/3">Fishing permits</a></p></aside><footer><p>All rights reserved</p></footer></body></html>""",
+     "Tides of the week\nThe water rises twice a day.\nOn Monday it rose by 2 metres.\nHigh at noon.\nLow at dusk."),
+    ("""<body><main><article id="q"><h1>Bread &amp; salt</h1><p>Mix the flour,
+      the water and the salt.</p><blockquote>Wait an hour.</blockquote><p class="x>Bake it until it is brown.</p></article></main><form class="k"><label>Your mail</label><input><button>Send</button></form><footer>Imprint</footer>""",
+     "Bread & salt\nMix the flour, the water and the salt.\nWait an hour.\nBake it until it is brown."),
+    ("<nav><a href=/a>Home</a> <a href=/b>About</a></nav><footer><p>Contact us by phone.</p></footer>", ""),
+    ("<body><nav><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></nav><article><h1>A long walk</h1><p>We left at six.</p><iframe src=map><p>The path was steep and wet.</p><noscript><p>A picture of the path.</p></noscript><p>We came home late.</p></article>",
+     "A long walk\nWe left at six.\nThe path was steep and wet.\nA picture of the path.\nWe came home late."),
+]
+
+
+def test_pages_marked_by_hand(spark):
+    table = spark.read.parquet(f"{SF}/pages.parquet")
+    net = fit_labeller(table)
+    for page, want in MARKED:
+        blocks = blocks_of(page)
+        assert "\n".join(b.text for b, s in zip(blocks, label_pages(net, [blocks])[0], strict=True) if s >= 0.5) == want
+
+
 def test_page_edge_cases(spark):
-    rows = [(1, "u", None), (2, None, ""), (3, "u", "plain words"), (None, "u", "<article><p>" + "long text. " * 30_000), (3, "u", "plain words"), (4, "u", "<p" * 50)]
+    rows = [(1, "u", None), (2, None, ""), (3, "u", "plain words"), (None, "u", "<article><p>" + "long text. " * 30_000), (5, "u", "<div>deep " * 4_000), (3, "u", "plain words"), (4, "u", "<p" * 50)]
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("other"))).collect()
     assert Counter(r.page_id for r in got) == Counter(r[0] for r in rows)
     assert all(r.text == "" for r in got if r.page_id in (1, 2))

@@ -11,6 +11,8 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,14 +27,17 @@ BLOCK_TAGS = frozenset(
 CLOSE_P = BLOCK_TAGS - {"button", "label", "option"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ALONE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-RAW = "script|style|textarea|noscript|template|iframe|svg|math|object|xmp|noembed|noframes"
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>",
-    re.S | re.I,
-)
+RAW = frozenset("script style textarea template iframe svg xmp noembed noframes".split())  # what they hold is no text of the page
+TAG_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+TAG_STOP = re.compile(r""">|=\s*["']""")
+OPENING = re.compile(r"<[/a-zA-Z]")
+BLOCK_EDGE = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK_TAGS))})(?=[\s/>])", re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[A-Za-z]+")
 
+PATHS, WORDS, SIZES = 192, 32, 5
+WIDTH = PATHS + WORDS + SIZES
+
 # Names that tell what a part of a page is for; the teacher of the network, which sees them only as hashes.
 MAIN = frozenset("article main content entry post story".split())
 ASIDE = frozenset(
@@ -41,70 +46,169 @@ ASIDE = frozenset(
 )
 
 
+class Level:
+    """An open element: names of it and of all around it, as hashed counts; the elements around are shared, not copied."""
+
+    def __init__(self, parent: Level | None, tag: str, names: list[str]) -> None:
+        self.parent, self.tag, self.names = parent, tag, names
+        self.counts = parent.counts.copy() if parent else np.zeros(PATHS, np.float32)
+        self.size = len(names) + (parent.size if parent else 0)
+        for name in names:
+            self.counts[zlib.crc32(name.encode()) % PATHS] += 1.0
+
+    def path(self) -> list[str]:
+        out, at = [], self
+        while at:
+            out += reversed(at.names)
+            at = at.parent
+        return out[::-1]
+
+
 @dataclass
 class Piece:
-    """A block: names on its path, its text, characters inside links."""
+    """A block: where it stands, its text, characters inside links."""
 
-    path: list[str]
+    level: Level | None
     text: str
     linked: int
 
+    @property
+    def path(self) -> list[str]:
+        return self.level.path() if self.level else []
+
+
+class Markup:
+    """Reads a page from left to right; what was looked for in vain is not looked for again, so broken pages take linear time, too."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.plain = False  # after a tag that never ended: quotes count for nothing
+        self.missing: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The ``>`` of the tag whose name ends at ``at``. Quotes behind ``=`` may hold one; a quote that is never closed, or only beyond the next tag, holds none."""
+        page, start = self.page, at
+        while not self.plain:
+            m = TAG_STOP.search(page, at)
+            if not m:
+                self.plain = True
+                break
+            if m[0] == ">":
+                return m.start()
+            close = self.find(m[0][-1], m.end())
+            first = page.find(">", m.end(), close if close >= 0 else len(page))
+            if close < 0 or first >= 0 and "<" not in page[m.end():first] and OPENING.search(page, first, close):
+                return first
+            at = close + 1
+        return self.find(">", start)
+
+    def raw_end(self, name: str, at: int) -> int:
+        """Where the content of an element ends that holds no text: behind its end tag, or without one before the next tag of a block."""
+        if name not in self.missing:
+            m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(self.page, at)
+            if m:
+                end = self.page.find(">", m.end())
+                return end + 1 if end >= 0 else len(self.page)
+            self.missing.add(name)
+        m = BLOCK_EDGE.search(self.page, at)
+        return m.start() if m else len(self.page)
+
+    def parts(self) -> Iterator[tuple[str, str, str]]:
+        """(text, name, attributes) of texts and tags in order; one of text and name is empty, the name of an end tag begins with ``/``."""
+        page, at, text = self.page, 0, 0
+        while True:
+            at = page.find("<", at)
+            if at < 0:
+                break
+            name, end = "", -1
+            if page.startswith("<!--", at):
+                end = self.find("-->", at + 4)
+                end = end + 2 if end >= 0 else self.find(">", at)
+            elif page.startswith(("<!", "<?"), at):
+                end = self.find(">", at)
+            else:
+                shut = page.startswith("/", at + 1)
+                m = TAG_NAME.match(page, at + 1 + shut)
+                if m or shut:
+                    end = self.tag_end(m.end() if m else at + 2)
+                    name = "/" * shut + m[0].lower() if m else ""
+            if end < 0:
+                at += 1
+                continue
+            yield page[text:at], "", ""
+            attributes = page[m.end():end] if name else ""
+            at = end + 1
+            if name in RAW:
+                if not (name == "svg" and attributes.endswith("/")):
+                    at = self.raw_end(name, at)
+            elif name:
+                yield "", name, attributes
+            text = at
+        yield page[text:], "", ""
+
 
 def blocks_of(page: str) -> list[Piece]:
-    """The blocks of a page in order, with white space turned into single spaces."""
-    stack: list[tuple[str, list[str]]] = []
+    """The blocks of a page in order, with white space turned into single spaces.
+
+    Text of math, object, noscript and other elements that are no blocks belongs to the block around it. Self-closing and unclosed elements take no text with them; markup that never
+    ends is text.
+    """
+    stack: list[Level] = []
+    open_: Counter[str] = Counter()
     out: list[Piece] = []
     texts: list[str] = []
-    linked, in_link, at = 0, 0, 0
+    linked, in_link = 0, 0
 
     def flush():
         nonlocal linked
         text = " ".join("".join(texts).split())
         if text:
-            out.append(Piece([name for _, names in stack for name in names], text, linked))
+            out.append(Piece(stack[-1] if stack else None, text, linked))
         texts.clear()
         linked = 0
 
-    def add(raw: str):
-        nonlocal linked
+    def pop():
+        open_[stack.pop().tag] -= 1
+
+    for raw, name, attributes in Markup(page).parts():
         if raw:
             text = html.unescape(raw)
             texts.append(text)
             linked += len(text) if in_link else 0
-
-    for m in TOKEN.finditer(page):
-        add(page[at:m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
-        if m[1] or not name:
-            continue
-        if name == "br":
+        elif name == "br":
             texts.append("\n")
-        elif m[2]:
-            if name == "a":
-                in_link = max(0, in_link - 1)
-            elif name in BLOCK_TAGS:
-                flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+        elif name == "/a":
+            in_link = max(0, in_link - 1)
         elif name == "a":
             in_link += 1
+        elif name[:1] == "/" and name[1:] in BLOCK_TAGS:
+            flush()
+            if open_[name[1:]]:
+                while stack[-1].tag != name[1:]:
+                    pop()
+                pop()
         elif name in BLOCK_TAGS:
             flush()
             in_link = 0
             shut = ALONE.get(name, set()) | ({"p"} if name in CLOSE_P else set())
             if name == "body":
                 shut = {"head", "title"}
-            while stack and stack[-1][0] in shut:
-                stack.pop()
+            while stack and stack[-1].tag in shut:
+                pop()
             if name not in VOID:
                 own = [name]
-                for groups in NAMES.findall(m[4]):
+                for groups in NAMES.findall(attributes):
                     own += [name + "." + w.lower() for w in PART.findall(groups[0] or groups[1] or groups[2])]
-                stack.append((name, own))
-    add(page[at:])
+                stack.append(Level(stack[-1] if stack else None, name, own))
+                open_[name] += 1
     flush()
     return out
 
@@ -115,8 +219,6 @@ def taught(path: list[str]) -> int:
     return int(bool(names & MAIN) and not names & ASIDE)
 
 
-PATHS, WORDS, SIZES = 96, 32, 5
-WIDTH = PATHS + WORDS + SIZES
 
 
 def vectors(blocks: list[Piece]) -> np.ndarray:
@@ -124,13 +226,13 @@ def vectors(blocks: list[Piece]) -> np.ndarray:
     out = np.zeros((len(blocks), WIDTH), np.float32)
     for i, b in enumerate(blocks):
         row = out[i]
-        for k, name in enumerate(reversed(b.path)):
-            h = zlib.crc32(name.encode())
-            row[h % PATHS] += 1.0 if k else 1.5
+        if b.level:
+            row[:PATHS] = b.level.counts
+            row[zlib.crc32(b.level.names[-1].encode()) % PATHS] += 0.5
         words = b.text.split(" ")
         bag = np.bincount([zlib.crc32(w.encode()) % WORDS for w in words], minlength=WORDS)
         row[PATHS:PATHS + WORDS] = bag / np.sqrt((bag * bag).sum())
-        row[-5:] = np.log1p(len(b.text)) / 5, b.linked / len(b.text), b.text[-1] in ".!?…", i / len(blocks), len(b.path) / 8
+        row[-5:] = np.log1p(len(b.text)) / 5, b.linked / len(b.text), b.text[-1] in ".!?…", i / len(blocks), (b.level.size if b.level else 0) / 8
     return out
 
 
@@ -238,11 +340,17 @@ def practice_pages(words: list[str], count: int, seed: int = 11) -> list[str]:
     def text(low: int, high: int) -> str:
         return html.escape(" ".join(pick(words) for _ in range(int(r.integers(low, high)))))
 
+    def noise() -> str:
+        """Now and then a class or id that says nothing."""
+        if r.random() < 0.7:
+            return ""
+        return f' {pick(["class", "id"])}="{"".join(pick("abcdefghijklmnopqrstuvwxyz") for _ in range(int(r.integers(1, 7))))}{pick(["", "1", "-2"])}"'
+
     def paragraphs(low: int, high: int) -> str:
-        return "".join(f"<p>{text(3, 40)}" + pick(["</p>", "</p>", ""]) for _ in range(int(r.integers(low, high))))
+        return "".join(f"<p{noise()}>{text(3, 40)}" + pick(["</p>", "</p>", ""]) for _ in range(int(r.integers(low, high))))
 
     def links() -> str:
-        return "<ul>" + "".join(f'<li><a href="/x">{text(1, 4)}</a></li>' for _ in range(int(r.integers(2, 8)))) + "</ul>"
+        return f"<ul{noise()}>" + "".join(f'<li{noise()}><a href="/x">{text(1, 4)}</a></li>' for _ in range(int(r.integers(2, 8)))) + "</ul>"
 
     others = [name for name in sorted(ASIDE) if name not in ("head", "title", "nav", "header", "footer", "aside", "form")]
     out = []
@@ -255,10 +363,10 @@ def practice_pages(words: list[str], count: int, seed: int = 11) -> list[str]:
             if kind == "named":
                 tag = pick(["div", "section", "div", "aside"])
                 return f'<{tag} {pick(["class", "id"])}="{pick(["", "site-", "page-", "main-"])}{pick(others)}{pick(["", "-box", "-list"])}">{inner}</{tag}>'
-            return f"<{kind}>{inner}</{kind}>"
+            return f"<{kind}{noise()}>{inner}</{kind}>"
 
         body = f"<h1>{text(2, 12)}</h1>" + "".join(pick([lambda: paragraphs(1, 5), lambda: paragraphs(2, 9), lambda: f"<h2>{text(2, 6)}</h2>", lambda: f"<blockquote>{text(4, 20)}</blockquote>", lambda: f"<ul><li>{text(2, 9)}<li>{text(2, 9)}</ul>", lambda: other() if r.random() < 0.3 else ""])() for _ in range(int(r.integers(1, 6))))
-        tag = pick(["<article>|</article>", "<article>|</article>", "<main>|</main>", "<main><article>|</article></main>", '<div class="content">|</div>', '<div class="post-content">|</div>', '<div id="main">|</div>', '<div class="entry">|</div>'])
+        tag = pick([f"<article{noise()}>|</article>", f"<article{noise()}>|</article>", f"<main{noise()}>|</main>", f"<main{noise()}><article{noise()}>|</article></main>", '<div class="content">|</div>', '<div class="post-content">|</div>', '<div id="main">|</div>', '<div class="entry">|</div>'])
         parts = [other() for _ in range(int(r.integers(0, 4)))] + [tag.replace("|", body)] + [other() for _ in range(int(r.integers(0, 4)))]
         out.append(f"<html><head><title>{text(2, 12)}</title></head><body>{''.join(parts)}</body></html>")
     return out
@@ -267,7 +375,8 @@ def practice_pages(words: list[str], count: int, seed: int = 11) -> list[str]:
 def fit_labeller(pages: DataFrame, sample: int = 200, practice: int = 500) -> Labeller:
     """Train on at most ``sample`` pages, the first by a hash of page_id and url, and ``practice`` generated ones.
 
-    Sampled pages count only if their structure names a main text. The practice pages use the sample's words.
+    Sampled pages count only if their structure names a main text. The practice pages are made of at most 5,000 different words of the sample, taken from the first 50 words of each
+    block: a bound on what the lessons are written with, not on what is labelled.
     """
     keyed = pages.select(F.xxhash64(F.col("page_id").cast("string"), F.col("url").cast("string")).alias("k"), "html").where(F.col("html").isNotNull())
     # the sample's hashes first, so that tasks send numbers and not pages; then one page of each
