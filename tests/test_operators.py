@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardlight.functions import qfun, selectors
+from wardlight.functions import qfun, selectors, sketches
 from wardlight.functions.qfun import apply_qfun
 from wardlight.functions.quantiles import quantiles_by, select_quantiles
 from wardlight.functions.scans import global_rank, position_in_group, row_index, take_smallest
@@ -122,6 +122,26 @@ def test_describe_takes_both_paths(spark, monkeypatch):
     assert rows_of(summary.describe_by(df, ["g"], "v", {"m": 0.5}, ["mean", "n"]), "g", "m", "mean", "n") == small
 
 
+def test_sketches_merge_and_keep_their_error(spark):
+    df = spark.range(60_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 7).alias("part"), (F.xxhash64("id") % 100_003).cast("double").alias("v"))
+    df = df.union(spark.createDataFrame([(9, 0, None), (9, 1, float("nan")), (0, 0, None)], df.schema))
+    probs = {f"q{i}": i / 10 for i in range(11)}
+    merged = sketches.merge_sketches(sketches.sketches_by(df, ["g", "part"], "v"), ["g"])
+    assert {r["g"]: r["n"] for r in merged.collect()} == {0: 20_000, 1: 20_000, 2: 20_000, 9: 0}
+    values = {g: np.sort([r["v"] for r in df.filter((F.col("g") == g) & F.col("v").isNotNull()).collect()]) for g in (0, 1, 2)}
+    for found in (sketches.quantiles_of(merged, ["g"], probs), quantiles_by(df, ["g"], "v", probs, sketch=200)):
+        for r in found.collect():
+            for name, p in probs.items():
+                if r["g"] == 9:
+                    assert r[name] is None
+                else:
+                    v = values[r["g"]]
+                    low, high = np.searchsorted(v, r[name], "left") / len(v), np.searchsorted(v, r[name], "right") / len(v)
+                    assert low - 0.03 <= p <= high + 0.03
+    exact = quantiles_by(df.filter("g < 9"), ["g"], "v", {"m": 0.5})
+    assert "kll" not in exact._jdf.queryExecution().executedPlan().toString()
+
+
 # ---- timelines and rates ----------------------------------------------------------------------------------------
 
 

@@ -63,3 +63,17 @@ def test_stored_runs_are_partitioned_and_complete(spark, sf, stored):
     assert runs.count() == derived.runs(spark, sf).count()
     assert {r["experiment"] for r in runs.select("experiment").distinct().collect()} == {f"exp_{i}" for i in range(4)}
     assert runs.agg(F.min("step"), F.max("step")).first() == (1, derived.DAYS)
+
+
+def test_clustered_runs_need_no_exchange(spark, sf, tmp_path):
+    runs, path = derived.runs(spark, sf), str(tmp_path / "clustered")
+    tables.write_clustered_runs(runs, "clustered_runs", path, 6)
+    spark.sql("DROP TABLE clustered_runs")
+    stored = tables.attach_clustered_runs(spark, "clustered_runs", path, runs.schema, 6)
+    try:
+        dated = timeline.assign_dates(timeline.drop_burn_in(stored), "gapless")
+        for df in (rates.monthly_rate(dated), rates.outbreak_cases(stored, list(timeline.RUN_KEYS))):
+            assert "Exchange" not in plan(df)
+        assert stored.count() == runs.count() and rates.monthly_rate(dated).count() > 0
+    finally:
+        spark.sql("DROP TABLE clustered_runs")

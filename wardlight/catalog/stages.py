@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -11,10 +13,12 @@ from wardlight.catalog.designs import POSTERIOR, derived_priors_sql
 from wardlight.catalog.fits import _target
 from wardlight.catalog.registry import Registry
 from wardlight.catalog.series import _stats
+from wardlight.functions import sketches
 from wardlight.functions.qfun import register_vector_qfun
 from wardlight.functions.uniform import named_uniform
 from wardlight.operators import design
 from wardlight.plans import calibration
+from wardlight.plans.calibration import run_rates
 from wardlight.session import materialize, scratch_path
 from wardlight.sources import derived, tables
 
@@ -95,6 +99,31 @@ def r2_posterior_file(spark, sf):
     return tables.param_long(tables.read_param_file(spark, path))
 
 
+def a2_clustered_runs(spark, sf):
+    """Monthly rates from runs that are stored clustered by run."""
+    name, path = f"runs_{uuid.uuid4().hex}", scratch_path(spark, "clustered-runs")
+    tables.write_clustered_runs(derived.runs(spark, sf), name, path, max(4, spark.sparkContext.defaultParallelism))
+    stored = spark.table(name)
+    rates_ = run_rates(stored, "gapless")
+    spark.sql(f"DROP TABLE {name}")  # the plan has resolved it; its files stay
+    return rates_
+
+
+def e7_sketch_band(spark, sf):
+    """Quantiles of the monthly rates from sketches by experiment and month that were stored and merged over experiments: their ranks among the true values."""
+    k = 1_000
+    monthly = materialize(run_rates(derived.runs(spark, sf), "gapless").withColumn("part", F.col("siminputrow") % 4), "run-rates")
+    stored = materialize(sketches.sketches_by(monthly, ["part", "month"], "rate", k), "sketches")
+    probs = {"q_low": 0.25, "m": 0.5, "q_high": 0.75}
+    found = sketches.quantiles_of(sketches.merge_sketches(stored, ["month"], k), ["month"], probs)
+    long_ = found.unpivot(["month"], list(probs), "name", "value")
+    p = F.when(F.col("name") == "q_low", 0.25).when(F.col("name") == "m", 0.5).otherwise(0.75)
+    ranked = monthly.filter(F.col("rate").isNotNull()).join(long_, "month").groupBy("month", "name").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("rate") < F.col("value")).alias("below"), F.count_if(F.col("rate") <= F.col("value")).alias("up_to"))
+    slack = F.col("n") * sketches.rank_error(k) * 2 + 1
+    return ranked.select("month", "name", "n", ((F.col("below") <= p * F.col("n") + slack) & (F.col("up_to") >= p * F.col("n") - slack)).alias("within"))
+
+
 def _md5_uniform(row: str, label: str) -> str:
     return f"(('0x' || substr(md5({row} || ':' || {label}), 1, 8))::BIGINT / {real(float(2**32))})"
 
@@ -173,6 +202,11 @@ def register(r: Registry) -> None:
             f"""SELECT i + 1 AS siminputrow, {', '.join(f'p.{n}' for n in POSTERIOR)} FROM range({SETS}) g(i)
             JOIN posterior p ON p.siminputrow = CAST(FLOOR({_md5_uniform('(i + 1)', "'bootstrap'")} * (SELECT COUNT(*) FROM posterior)) AS BIGINT)""", "posterior"), POSTERIOR,
     )
+    r.add("a2_clustered_runs", a2_clustered_runs, with_blocks("SELECT * FROM monthly", "monthly"), ["rate"])
+    r.add(
+        "e7_sketch_band", e7_sketch_band,
+        with_blocks("SELECT month, name, n, TRUE AS within FROM (SELECT month, COUNT(rate) AS n FROM monthly WHERE rate IS NOT NULL GROUP BY 1) t CROSS JOIN (VALUES ('q_low'), ('m'), ('q_high')) v(name)", "monthly"),
+    )
     r.add("r7_two_stage", r7_two_stage, with_blocks(f"SELECT d.*, {constants}, random_seed FROM stage_two_design d CROSS JOIN {seeds}", "stage_two_design"), [*names, *reals])
     accepted = f"SELECT a.siminputrow, a.accept_rank, {', '.join(f'd.{n}' for n in names)} FROM two_accepted a JOIN stage_two_design d ON d.siminputrow = a.siminputrow"
     r.add("r7_two_stage_posterior", r7_two_stage_posterior, with_blocks(accepted, "two_accepted", "stage_two_design"), names)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight.functions.scans import exclusive_running, null_safe_join
+from wardlight.functions.sketches import quantiles_of, sketches_by
 from wardlight.session import materialize
 
 DIRECT_ROWS = 100_000
@@ -33,13 +34,16 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def quantiles_by(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], group_rows: int | None = None, direct_rows: int = DIRECT_ROWS,
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], group_rows: int | None = None, direct_rows: int = DIRECT_ROWS, sketch: int | None = None,
 ) -> DataFrame:
     """One row per group with the named quantiles of ``value``.
 
     ``group_rows`` is an upper bound on the rows of a group that the caller has proven (for example the number of
     runs); without it the largest group is counted first.  ``probs`` maps output names to probabilities.
+    ``sketch`` gives approximate quantiles instead, from one pass with sketches of that size (see ``functions/sketches.py``).
     """
+    if sketch is not None:
+        return quantiles_of(sketches_by(df, keys, value, sketch), keys, probs)
     if group_rows is None:
         group_rows = largest_group(df, keys)
     if group_rows <= direct_rows:
