@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_operators import replay
@@ -23,7 +24,11 @@ def test_monthly_stream_over_batches(spark, tmp_path):
     for batch in (first, second + repeated, late):
         spark.createDataFrame(batch, RUNS).coalesce(2).write.mode("append").parquet(source)
         stream = spark.readStream.schema(RUNS).parquet(source)
-        monthly.start_monthly(stream, out, checkpoint).awaitTermination()
+        query = monthly.start_monthly(stream, out, checkpoint)
+        query.awaitTermination()
+    # of 300 days of 6 runs the state holds those of the delay, and keys of repeated rows for twice as long
+    held = sorted(op["numRowsTotal"] for op in query.lastProgress["stateOperators"])
+    assert 0 < held[0] <= 6 * 48 and 0 < held[1] <= 6 * 93
     got = monthly.latest_rates(spark, out)
     want = rates.monthly_rate(spark.createDataFrame(rows, RUNS).withColumn("date_sim", F.to_date("ts")))
     columns = ["siminputrow", "random_seed", "month", "n_days", "rate"]
@@ -61,8 +66,25 @@ def test_contamination_stream_over_batches(spark, tmp_path, batches, zone):
         stream = spark.readStream.schema(EVENTS).parquet(source)
         query = contamination.contamination_stream(stream, "1 hour").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
         query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    watermark = max(r[2] for r in rows) - dt.timedelta(hours=1)
-    want = {e: v for e, v in replay(rows).items() if rows[e][2] <= watermark}
-    got = {r["event_id"]: (r["level_before"], r["level_after"]) for r in spark.read.parquet(out).collect()}
-    assert set(got) == set(want)
-    assert max(abs(got[e][0] - want[e][0]) + abs(got[e][1] - want[e][1]) for e in want) < 1e-12
+    want = replay(rows)
+    emitted = spark.read.parquet(out)
+    done = (max(r[2] for r in rows) - dt.timedelta(hours=1)).replace(second=0)
+    done -= dt.timedelta(minutes=done.minute % 10)
+    got = {r["event_id"]: (r["level_before"], r["level_after"]) for r in emitted.collect()}
+    assert set(got) == {e for e in want if rows[e][2] < done}
+    closing = contamination.closing_levels(spark.read.parquet(source), emitted, "1 hour").collect()
+    assert {r["event_id"] for r in closing} == set(want) - set(got)
+    got.update({r["event_id"]: (r["level_before"], r["level_after"]) for r in closing})
+    assert max(abs(got[e][0] - want[e][0]) + abs(got[e][1] - want[e][1]) for e in want) < 1e-11
+
+
+@pytest.mark.parametrize("effect", [0.0, 0.3, 0.8, 1.0])
+def test_vectorised_levels(effect):
+    r = np.random.default_rng(2)
+    clean = r.random(3_000) < 0.6
+    added = np.where(clean, 0.0, r.random(3_000))
+    level, want = 0.25, []
+    for c, a in zip(clean, added, strict=True):
+        level = level * (1 - effect) if c else min(1.0, level + a)
+        want.append(level)
+    assert np.abs(contamination.replay_levels(0.25, clean, added, effect) - want).max() < 1e-11

@@ -151,7 +151,7 @@ def t1_monthly_stream(spark, sf):
 
 
 def t2_contamination_stream(spark, sf):
-    """Toilet events as a stream; the events that the final watermark has passed come out with their levels."""
+    """Toilet events as a stream; what still waits for the watermark when it ends is replayed as a batch from the levels that it left."""
     events = derived.toilet_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     source = scratch_path(spark, "t2-source")
     events.write.parquet(source)
@@ -161,7 +161,9 @@ def t2_contamination_stream(spark, sf):
     with _stream_settings(spark):
         sink = levels.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "t2-checkpoint"))
         sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("toilet_id", "event_id", "level_before", "level_after")
+    emitted = spark.read.parquet(out)
+    closing = contamination.closing_levels(spark.read.parquet(source), emitted, "1 hour")
+    return emitted.unionByName(closing).select("toilet_id", "event_id", "level_before", "level_after")
 
 
 def register(r: Registry) -> None:
@@ -276,9 +278,4 @@ def register(r: Registry) -> None:
              JOIN stays s ON s.ward = d.ward AND d.day > s.admit AND d.day <= s.discharge GROUP BY 1, 2) p ON p.ward = l.ward AND p.day = l.day""", "stays"),
     )
     r.add("t1_monthly_stream", t1_monthly_stream, with_blocks("SELECT * FROM monthly", "monthly"), ["rate"])
-    r.add(
-        "t2_contamination_stream", t2_contamination_stream,
-        with_blocks(
-            """SELECT toilet_id, event_id, level_before, level_after FROM replay
-            WHERE epoch_us(ts) // 1000 <= (SELECT MAX(epoch_us(ts)) // 1000 - 3600000 FROM toilet_events)""", "replay", recursive=True), levels,
-    )
+    r.add("t2_contamination_stream", t2_contamination_stream, with_blocks("SELECT toilet_id, event_id, level_before, level_after FROM replay", "replay", recursive=True), levels)

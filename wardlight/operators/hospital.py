@@ -235,9 +235,9 @@ def _starts(maps: Column, start: Column, at: str) -> Column:
 
 
 def contamination_levels(
-    events: DataFrame, cleaning_effect: float = CLEANING_EFFECT, key: str = "toilet_id", block_rows: int = BLOCK_ROWS, parts: int | None = None
+    events: DataFrame, cleaning_effect: float = CLEANING_EFFECT, key: str = "toilet_id", block_rows: int = BLOCK_ROWS, parts: int | None = None, starts: DataFrame | None = None
 ) -> DataFrame:
-    """Every event with the contamination level of its toilet just before and just after it, starting from 0.
+    """Every event with the contamination level of its toilet just before and just after it, starting from 0 (or from the ``level`` of the toilet in ``starts``).
 
     A use by a colonised patient adds ``amount`` up to 1, a cleaning removes the share ``cleaning_effect``, any other
     use leaves the level.  Order is ``(ts, event_id)``; events without a toilet are left out.  Events are sorted by ranges and cut by position, so one toilet with most of the events, or one
@@ -247,7 +247,11 @@ def contamination_levels(
     replayed = _replayed(events, cleaning_effect, key, block_rows, parts)
     blocks = materialize(_block_maps(replayed, key), "block-maps")
     groups = _group_maps(blocks, key).groupBy(key).agg(_sorted_maps("__group").alias("x"))
-    group_starts = groups.select(key, F.explode(_starts(F.col("x"), F.lit(0.0), "__group")).alias("s")).select(key, "s.*")
+    first = F.lit(0.0)
+    if starts is not None:
+        groups = groups.join(starts.select(key, F.col("level").alias("__first")), key, "left")
+        first = F.coalesce("__first", first)
+    group_starts = groups.select(key, F.explode(_starts(F.col("x"), first, "__group")).alias("s")).select(key, "s.*")
     listed = blocks.withColumn("__group", _group()).groupBy(key, "__group").agg(_sorted_maps("__block").alias("x")).join(group_starts, [key, "__group"])
     starts = listed.select(key, F.explode(_starts(F.col("x"), F.col("start"), "__block")).alias("s")).select(key, "s.__block", "s.start")
     joined = replayed.join(starts, [key, "__block"])

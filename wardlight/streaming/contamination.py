@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from wardlight.operators import hospital
 from wardlight.operators.hospital import CLEANING_EFFECT
+from wardlight.session import materialize
 
 # workers get the processor itself, so they need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -20,75 +24,91 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Times cross into Python as microseconds since the epoch: pandas would get them in the session's local time, while
 # watermarks are in epoch milliseconds.
 OUTPUT = "toilet_id long, event_id long, micros long, level_before double, level_after double"
-_BUFFER = "micros long, event_id long, kind string, colonised boolean, amount double"
-_COLUMNS = ["micros", "event_id", "kind", "colonised", "amount"]
+_WAITING = "micros array<bigint>, event_id array<bigint>, clean array<boolean>, added array<double>"
+BUCKET_MS = 600_000
+CHUNK = 256
 
 
-def step_level(level: float, kind: str, colonised: bool, amount: float, effect: float) -> float:
-    """Level after one event."""
-    if kind == "clean":
-        return level * (1.0 - effect)
-    return min(1.0, level + amount) if colonised else level
+def replay_levels(start: float, clean: np.ndarray, added: np.ndarray, effect: float) -> np.ndarray:
+    """The level after each event from ``start`` on: the level over the product of all that cleanings leave is a running sum held below a running minimum.
+
+    Chunks are short enough for that product to stay a double; only chunks are followed one by one.
+    """
+    keep = 1.0 - min(effect, 1.0 - 1e-12)
+    rows = max(1, min(CHUNK, int(250 / -math.log10(keep)))) if keep < 1.0 else CHUNK
+    after = np.empty(len(clean))
+    for i in range(0, len(clean), rows):
+        left = keep ** np.cumsum(clean[i:i + rows])
+        grown = np.cumsum(added[i:i + rows] / left)
+        after[i:i + rows] = left * (grown + np.minimum(start, np.minimum.accumulate(1.0 / left - grown)))
+        start = after[min(i + rows, len(clean)) - 1]
+    return after
 
 
 class ContaminationReplay(StatefulProcessor):
-    """Per toilet: the current level, and the events not yet passed by the watermark.
+    """Per toilet: the current level, and the events of every time bucket that the watermark has not passed, each bucket one entry with one timer.
 
-    Events are applied in ``(ts, event_id)`` order once the watermark is past them, so rows out of order within the
-    watermark are handled; later rows are dropped.
+    New events touch their own buckets only. When the watermark has passed a bucket, its events are applied in ``(ts, event_id)`` order; rows out of order within the
+    watermark are handled, rows of a bucket that is done are dropped.
     """
 
-    def __init__(self, effect: float = CLEANING_EFFECT) -> None:
-        self._effect = effect
+    def __init__(self, effect: float = CLEANING_EFFECT, bucket_ms: int = BUCKET_MS) -> None:
+        self._effect, self._bucket = effect, bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._level = handle.getValueState("level", "level double")
-        self._buffer = handle.getListState("buffer", _BUFFER)
+        self._waiting = handle.getMapState("waiting", "bucket bigint", _WAITING)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
         for pdf in rows:
-            fresh = pdf[pdf["micros"] // 1000 > watermark]
-            if len(fresh):
-                self._buffer.appendList(list(fresh[_COLUMNS].itertuples(index=False, name=None)))
-                # fires once the watermark reaches the earliest new row
-                self._handle.registerTimer(int(fresh["micros"].min() // 1000))
+            bucket = pdf["micros"].to_numpy() // (1000 * self._bucket)
+            fresh = (bucket + 1) * self._bucket > watermark
+            for b, part in pdf[fresh].groupby(bucket[fresh]):
+                adds = np.where((part["kind"] == "use") & part["colonised"].astype(bool), part["amount"], 0.0)
+                new = (part["micros"].tolist(), part["event_id"].tolist(), (part["kind"] == "clean").tolist(), adds.tolist())
+                place = (int(b),)
+                if self._waiting.containsKey(place):
+                    new = tuple(list(old) + more for old, more in zip(self._waiting.getValue(place), new, strict=True))
+                else:
+                    self._handle.registerTimer((int(b) + 1) * self._bucket - 1)
+                self._waiting.updateValue(place, new)
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        held = pd.DataFrame(list(self._buffer.get()), columns=_COLUMNS)
-        if held.empty:
-            return iter([])
-        passed = held["micros"] // 1000 <= watermark
-        ready, waiting = held[passed].sort_values(["micros", "event_id"]), held[~passed]
-        self._buffer.clear()
-        if len(waiting):
-            self._buffer.put(list(waiting.itertuples(index=False, name=None)))
-            self._handle.registerTimer(int(waiting["micros"].min() // 1000))
-        if ready.empty:
+        place = (expiredTimerInfo.getExpiryTimeInMs() // self._bucket,)
+        if not self._waiting.containsKey(place):
             return iter([])
-        level = self._level.get()[0] if self._level.exists() else 0.0
-        before, after = [], []
-        for event in ready.itertuples(index=False):
-            before.append(level)
-            level = step_level(level, event.kind, event.colonised, event.amount, self._effect)
-            after.append(level)
-        self._level.update((level,))
-        out = pd.DataFrame(
-            {"toilet_id": key[0], "event_id": ready["event_id"].to_numpy(), "micros": ready["micros"].to_numpy(), "level_before": before, "level_after": after}
-        )
-        return iter([out])
+        micros, event_id, clean, added = (np.array(x) for x in self._waiting.getValue(place))
+        self._waiting.removeKey(place)
+        order = np.lexsort((event_id, micros))
+        start = self._level.get()[0] if self._level.exists() else 0.0
+        after = replay_levels(start, clean[order].astype(bool), added[order], self._effect)
+        self._level.update((float(after[-1]),))
+        out = {"toilet_id": key[0], "event_id": event_id[order], "micros": micros[order], "level_before": np.concatenate(([start], after[:-1])), "level_after": after}
+        return iter([pd.DataFrame(out)])
 
     def close(self) -> None:
         pass
 
 
-def contamination_stream(events: DataFrame, delay: str = "1 hour", effect: float = CLEANING_EFFECT) -> DataFrame:
-    """Levels of a stream of toilet events (append mode, event time ``ts``)."""
+def contamination_stream(events: DataFrame, delay: str = "1 hour", effect: float = CLEANING_EFFECT, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Levels of a stream of toilet events (append mode, event time ``ts``), a time bucket at a time once the watermark is past it."""
     timed = events.withWatermark("ts", delay).withColumn("micros", F.unix_micros("ts"))
     levels = timed.groupBy("toilet_id").transformWithStateInPandas(
-        statefulProcessor=ContaminationReplay(effect), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=ContaminationReplay(effect, bucket_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
     )
     return levels.select("toilet_id", "event_id", F.timestamp_micros("micros").alias("ts"), "level_before", "level_after")
+
+
+def closing_levels(events: DataFrame, emitted: DataFrame, delay: str = "1 hour", effect: float = CLEANING_EFFECT, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Levels of the events that still waited when the stream ended, as a batch: from the level that the stream left each toilet with.
+
+    ``events``: all events that the stream was given; ``emitted``: what it wrote. Rows that the stream dropped because their bucket was done stay dropped.
+    """
+    last = events.agg(F.max("ts").alias("ts")).select(F.unix_millis(F.col("ts") - F.expr(f"INTERVAL {delay}")).alias("ms")).scalar()
+    done = F.floor(last / F.lit(bucket_ms)) * bucket_ms
+    waiting = events.filter(F.unix_millis("ts") >= done).join(emitted.select("toilet_id", "event_id"), ["toilet_id", "event_id"], "left_anti").select(events.columns)
+    starts = materialize(emitted.groupBy("toilet_id").agg(F.max_by("level_after", F.struct("ts", "event_id")).alias("level")), "stream-levels")
+    return hospital.contamination_levels(waiting, effect, starts=starts).select("toilet_id", "event_id", "ts", "level_before", "level_after")
