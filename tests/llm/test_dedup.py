@@ -7,7 +7,9 @@ from collections import Counter
 
 import pytest
 from cases import empty, frame, order, texts
+from pyspark.sql import functions as F
 
+from wardlight.llm import ngram_join
 from wardlight.llm.ngram_join import divide_skip, required, similar_documents
 from wardlight.llm.suffix_dedup import merge_runs, remove_repeated_bytes
 from wardlight.llm.window_dedup import level_lengths, longest_repeats, remove_repeated_windows
@@ -141,3 +143,16 @@ def test_divide_skip_is_exact():
 @pytest.mark.parametrize("operator", [remove_repeated_bytes, remove_repeated_windows, similar_documents])
 def test_empty_tables(spark, operator):
     assert operator(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("n", [200, 800])
+def test_a_group_of_near_copies_asks_for_nothing(spark, n):
+    """Rows between chunks are made for lists with two components only: none for one group, as many as outsiders and chunks otherwise."""
+    postings = spark.range(n).select(F.explode(F.array(F.lit(1), F.lit(2), F.col("id") % 5 + 10)).alias("h"), F.col("id").alias("key"))
+    ranked = spark.range(n).select(F.col("id").alias("key"), (F.col("id") % 20).alias("chunk"), F.struct(F.lit(n).cast("long").alias("size"), F.lit(0).cast("long").alias("label")).alias("rank"))
+    queries, tops = ngram_join.asking(postings, ranked)
+    assert queries.count() == 0 and tops.count() == 0
+    outsider = spark.createDataFrame([(1, n)], "h int, key long"), spark.createDataFrame([(n, 99, (1, n))], "key long, chunk long, rank struct<size:long,label:long>")
+    queries, tops = ngram_join.asking(postings.union(outsider[0]), ranked.union(outsider[1]))
+    assert [r["key"] for r in queries.collect()] == [n] and tops.count() == 21
+    assert ngram_join.open_queries(postings.union(outsider[0]), ranked.union(outsider[1]).select("key", "chunk"), ranked.select(F.col("key").alias("v"), F.lit(0).cast("long").alias("label"))).count() == 20

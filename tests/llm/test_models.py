@@ -239,6 +239,18 @@ def test_stages_take_awkward_tables(spark, k):
     assert stage(spark, empty(spark), SF).count() == 0
 
 
+@pytest.mark.parametrize("k", range(4))
+def test_stages_keep_columns_with_the_names_they_use_themselves(spark, k):
+    names = ["__row", "__id", "__content", "__findings", "__text_key", "__words", "__hit", "__items", "__n_words", "__n_hit", "__contaminated", "component_id", "first", "row", "predicted"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    extra = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    out = corpus_pipeline.STAGES[k][1](spark, extra, SF)
+    assert out.columns == extra.columns
+    rows = out.collect()
+    plain = {r.doc_id for r in corpus_pipeline.STAGES[k][1](spark, docs, SF).collect()}
+    assert {r.doc_id for r in rows} == plain and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+
+
 def test_stages_judge_rows_of_one_doc_id_each(spark):
     words = [f"w{i}" for i in range(80)]
     base, near, other = " ".join(words), " ".join(words[:-1] + ["end"]), " ".join(reversed(words))

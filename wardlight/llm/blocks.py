@@ -10,7 +10,7 @@ The answer to such a message lists something for each of its keys, in the same o
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -274,3 +274,11 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores behind it until no column is called so (names of columns differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.blocks import write_table
+from wardlight.llm.blocks import unused, write_table
 from wardlight.session import small_or_self
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -119,10 +119,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     probes = write_table(rarest_probes(docs, windows), "probes")
     found = intersect(build_index(docs, probes), probes)
     named = found.join(small_or_self(windows, 200_000), "window")
-    hits = write_table(compared(docs, named), "hits").select(F.col("text_key").alias("__text_key"), F.col("n_hit").alias("__hit"), F.col("items").alias("__items"))
-    rows = docs.withColumn("__text_key", text_key()).withColumn("__words", F.size(words_of(F.col("text"))).cast("long")).join(small_or_self(hits), "__text_key", "left")
-    hit, items = F.coalesce("__hit", F.lit(0).cast("long")), F.coalesce("__items", F.array().cast("array<string>"))
+    key, words, own_hit, own_items = (unused(docs.columns, c) for c in ("__text_key", "__words", "__hit", "__items"))
+    hits = write_table(compared(docs, named), "hits").select(F.col("text_key").alias(key), F.col("n_hit").alias(own_hit), F.col("items").alias(own_items))
+    rows = docs.withColumn(key, text_key()).withColumn(words, F.size(words_of(F.col("text"))).cast("long")).join(small_or_self(hits), key, "left")
+    hit, items = F.coalesce(own_hit, F.lit(0).cast("long")), F.coalesce(own_items, F.array().cast("array<string>"))
     return rows.select(
-        *docs.columns, F.col("__words").alias(name["n_words"]), hit.alias(name["n_hit"]), F.size(items).cast("long").alias(name["n_items"]), items.alias(name["items"]),
-        ((hit > 0) & (share * hit >= F.col("__words"))).alias(name["contaminated"]),
+        *[F.col(f"`{c}`") for c in docs.columns], F.col(words).alias(name["n_words"]), hit.alias(name["n_hit"]), F.size(items).cast("long").alias(name["n_items"]), items.alias(name["items"]),
+        ((hit > 0) & (share * hit >= F.col(words))).alias(name["contaminated"]),
     )

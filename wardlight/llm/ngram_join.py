@@ -210,6 +210,18 @@ def asked(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return asks.union(own.select(F.xxhash64("chunk", "part").alias("g"), "key", F.lit(False).alias("asks")))
 
 
+def asking(postings: DataFrame, ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the lists that hold two components: the documents that ask (h, key, chunk, rank), all but those of the largest one; and (h, to, top), the chunks with their largest component.
+
+    A list within one component, as most lists of a group of copies are, has neither.
+    """
+    lists = postings.select("h", "key").join(ranked, "key")
+    label = F.col("rank.label")
+    open_ = lists.groupBy("h").agg(F.min(label).alias("low"), F.max(label).alias("high"), F.max("rank").alias("best")).where("low < high").select("h", "best")
+    lists = write_table(lists.join(open_, "h"), "open-lists")
+    return lists.where(F.col("rank") < F.col("best")).drop("best"), lists.groupBy("h", F.col("chunk").alias("to")).agg(F.max("rank").alias("top"))
+
+
 def open_queries(postings: DataFrame, chunks: DataFrame, label: DataFrame) -> DataFrame:
     """(key, chunk): chunks that hold, in a list of the document, one of another and larger component.
 
@@ -218,9 +230,8 @@ def open_queries(postings: DataFrame, chunks: DataFrame, label: DataFrame) -> Da
     named = chunks.join(label.withColumnRenamed("v", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     sizes = named.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     ranked = write_table(named.join(sizes, "label").select("key", "chunk", F.struct("size", "label").alias("rank")), "ranked")
-    lists = postings.select("h", "key").join(ranked, "key")
-    tops = lists.groupBy("h", "chunk").agg(F.max("rank").alias("top")).withColumnRenamed("chunk", "to")
-    wanted = lists.join(tops, "h").where((F.col("chunk") != F.col("to")) & (F.col("top") > F.col("rank")))
+    queries, tops = asking(postings, ranked)
+    wanted = queries.join(tops, "h").where((F.col("chunk") != F.col("to")) & (F.col("top") > F.col("rank")))
     return wanted.select("key", F.col("to").alias("chunk")).distinct()
 
 

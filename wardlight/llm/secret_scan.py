@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.llm.blocks import unused
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -89,11 +91,11 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, name: st
     current = _ledger(spark, ledger).where(F.size("spans") > 0).join(F.broadcast(spark.createDataFrame([(r.kind, r.version) for r in rules], "rule string, version int")), ["rule", "version"])
     listed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank"), s["end"].alias("end"), F.col("rule").alias("kind")))
     findings = current.withColumn("rank", rank).withColumn("found", listed).groupBy("content").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("findings"))
-    findings = findings.withColumnsRenamed({"content": "__content", "findings": "__findings"})
     kept = docs.drop(name)
-    rows = kept.withColumn("__content", content).join(findings, "__content", "left")
-    found = F.coalesce("__findings", F.array().cast(findings.schema["__findings"].dataType))
-    return rows.select(*kept.columns, found.alias(name))
+    key, own = unused(kept.columns, "__content"), unused(kept.columns, "__findings")
+    rows = kept.withColumn(key, content).join(findings.withColumnsRenamed({"content": key, "findings": own}), key, "left")
+    found = F.coalesce(own, F.array().cast(findings.schema["findings"].dataType))
+    return rows.select(*[F.col(f"`{c}`") for c in kept.columns], found.alias(name))
 
 
 def listed(findings: Column) -> Column:
