@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm.blocks import NO_ID, documents
+from wardlight.llm.blocks import NO_ID, documents, unused
 from wardlight.llm.decontaminate import contamination
 from wardlight.llm.ngram_join import similar_documents
 from wardlight.llm.packing import pack_documents
@@ -19,17 +19,18 @@ from wardlight.llm.tokens import byte_vocabulary
 from wardlight.session import materialize, scratch_path
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a name of each row's doc_id and text, by which decisions come back to the rows they were made for."""
-    return docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a name of each row's doc_id and text, by which decisions come back to the rows they were made for, in a column that ``docs`` does not have."""
+    row = unused(docs.columns, "__row")
+    return docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))), row
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier takes for good ones; rows without a doc_id are kept with no label to judge them by."""
-    rows = keyed(docs)
-    scored = score_quality(rows, documents(spark, sf_dir, "labels"), key="__row")
-    rejected = scored.where("predicted = 0 and doc_id is not null").select("doc_id", "__row").distinct()
-    return rows.join(rejected, ["doc_id", "__row"], "left_anti").select(docs.columns)
+    rows, row = keyed(docs)
+    scored = score_quality(rows.select("doc_id", "text", row), documents(spark, sf_dir, "labels"), key=row)
+    rejected = scored.where("predicted = 0 and doc_id is not null").select("doc_id", row).distinct()
+    return rows.join(rejected, ["doc_id", row], "left_anti").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,27 +39,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows with one doc_id and one text become one, other rows of a doc_id are judged each. Rows without a doc_id and without words are all kept.
     """
     blank = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = keyed(docs).where(~blank)
-    groups = similar_documents(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id").distinct()
-    ids = rows.select("__row", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("__id")).distinct()
-    first = groups.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct("__id", "__row")).alias("first"))
-    kept = first.select(F.col("first.__row").alias("__row")).distinct()
-    once = rows.join(kept, "__row", "left_semi").dropDuplicates(["doc_id", "__row"])
+    rows, row = keyed(docs)
+    rows = rows.where(~blank)
+    judged = rows.select(F.col("doc_id").cast("long").alias("id"), F.col(row).alias("row"), "text")
+    groups = similar_documents(judged.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id").distinct()
+    ids = judged.select("row", F.coalesce("id", F.lit(int(NO_ID))).alias("id")).distinct()
+    first = groups.join(ids, "row").groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("first"))
+    kept = first.select(F.col("first.row").alias(row)).distinct()
+    once = rows.join(kept, row, "left_semi").dropDuplicates(["doc_id", row])
     return once.select(docs.columns).unionByName(docs.where(blank)).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover less than a twentieth."""
-    return contamination(docs, documents(spark, sf_dir, "benchmark"), prefix="__").where(~F.col("__contaminated")).select(docs.columns)
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    found = contamination(docs, documents(spark, sf_dir, "benchmark"), prefix=prefix)
+    return found.where(~F.col(f"{prefix}contaminated")).select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret; n_chars follows the new text."""
-    found = scan(docs, scratch_path(spark, "pipeline-ledger"), name="__findings")
-    text = redact(F.col("text"), F.col("__findings"))
+    name = unused(docs.columns, "__findings")
+    found = scan(docs, scratch_path(spark, "pipeline-ledger"), name=name)
+    text = redact(F.col("text"), F.col(name))
     changed = found.withColumn("text", text)
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.size("__findings") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        changed = changed.withColumn("n_chars", F.when(F.size(name) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return changed.select(docs.columns)
 
 
