@@ -35,6 +35,7 @@ def measure(spark, runs, posterior, label: str) -> None:
     seconds = {
         "rate_gapless": timed(lambda: sink(run_rates(runs, "gapless"))),
         "rate_auto": timed(lambda: sink(run_rates(runs, "auto"))),
+        "rate_stretches": timed(lambda: sink(run_rates(runs, "stretches"))),
         "rate_position": timed(lambda: sink(run_rates(runs, "position"))),
         "cases": timed(lambda: sink(rates.outbreak_cases(timeline.in_step_window(runs, timeline.step_window(posterior)), rates.RUN_KEYS))),
     }

@@ -41,6 +41,24 @@ def test_position_with_gaps_and_a_hot_run(spark):
     assert got == want
 
 
+def test_stretches_give_the_dates_of_positions(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(1, None, s) for s in range(40, 700) if s not in (64, 127, 128, 300, 301)] + [(2, 5, s) for s in [-130, -129, -65, -64, -1, 0, 1, 63, 64, 65, 6_400]] + [(None, 1, 9)]
+    rows += [(3, k, s) for k in range(3) for s in sorted(rng.sample(range(2_000), 1_900))]
+    df = spark.createDataFrame(rows, "siminputrow long, random_seed long, step int").repartition(4)
+    want = rows_of(timeline.assign_dates(df, "position").withColumn("key", F.concat_ws("/", F.col("siminputrow"), F.col("random_seed"))), "key", "step", "date_sim")
+    for most in (10_000, 3):  # few stretches by run, or too many
+        monkeypatch.setattr(timeline, "STRETCHES_PER_RUN", most)
+        for dates in ("stretches", "auto"):
+            got = timeline.assign_dates(df, dates).withColumn("key", F.concat_ws("/", F.col("siminputrow"), F.col("random_seed")))
+            assert rows_of(got, "key", "step", "date_sim") == want
+    monkeypatch.setattr(timeline, "STRETCHES_PER_RUN", 10_000)
+    few = timeline.assign_dates(df.filter("siminputrow = 1"), "stretches")
+    assert "Exchange hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+    assert [(r["first"], r["last"], r["before"]) for r in timeline.stretches(df.filter("siminputrow = 2")).orderBy("first").collect()] == [
+        (-130, -129, 0), (-65, -64, 2), (-1, 1, 4), (63, 65, 7), (6_400, 6_400, 10)]
+
+
 def test_position_keeps_null_keys(spark):
     df = spark.createDataFrame([(None, 5), (None, 9), (1, 3)], "k long, step int")
     assert sorted((r["k"] or 0, r["step"], r["position"]) for r in position_in_group(df, ["k"], "step", width=4).collect()) == [(0, 5, 1), (0, 9, 2), (1, 3, 1)]

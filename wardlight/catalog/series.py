@@ -67,6 +67,13 @@ def c2_assign_dates(spark, sf):
     return timeline.assign_dates(timeline.drop_burn_in(derived.sparse_runs(spark, sf)), "position").select(*KEYS, F.col("step").cast("long").alias("step"), "date_sim")
 
 
+def c2_assign_dates_stretches(spark, sf):
+    """Runs with a gap of some days (by run, every third run has none): dates from their stretches."""
+    rows = derived.runs(spark, sf).filter((F.col("siminputrow") % 3 == 0) | (F.pmod(F.col("step") + F.col("siminputrow") * 7, F.lit(900)) > 40))
+    return timeline.assign_dates(timeline.drop_burn_in(rows), "stretches").groupBy(*KEYS, F.trunc("date_sim", "MM").alias("month")).agg(
+        F.min("step").cast("long").alias("first_step"), F.max("step").cast("long").alias("last_step"), F.count(F.lit(1)).alias("rows"))
+
+
 def c2_assign_dates_auto(spark, sf):
     """Runs without gaps: the check finds none and no row is shuffled for the dates."""
     dated = timeline.assign_dates(timeline.drop_burn_in(derived.runs(spark, sf)), "auto")
@@ -225,6 +232,13 @@ def register(r: Registry) -> None:
             """SELECT siminputrow, random_seed, CAST(step AS BIGINT) AS step, CAST(DATE '2002-01-01' + CAST(ROW_NUMBER() OVER (PARTITION BY siminputrow, random_seed ORDER BY step) - 1 AS INTEGER) AS DATE) AS date_sim
             FROM sparse WHERE step > 31""", "sparse"),
     )
+    r.add(
+        "c2_assign_dates_stretches", c2_assign_dates_stretches,
+        with_blocks(
+            """SELECT siminputrow, random_seed, CAST(date_trunc('month', d) AS DATE) AS month, CAST(MIN(step) AS BIGINT) AS first_step, CAST(MAX(step) AS BIGINT) AS last_step, COUNT(*) AS rows FROM
+            (SELECT siminputrow, random_seed, step, DATE '2002-01-01' + CAST(ROW_NUMBER() OVER (PARTITION BY siminputrow, random_seed ORDER BY step) - 1 AS INTEGER) AS d FROM runs
+             WHERE step > 31 AND (siminputrow % 3 = 0 OR (step + siminputrow * 7) % 900 > 40)) t GROUP BY 1, 2, 3""", "runs"),
+    )
     r.add(
         "c2_assign_dates_auto", c2_assign_dates_auto,
         with_blocks("SELECT siminputrow, random_seed, MIN(date_sim) AS first_date, MAX(date_sim) AS last_date, COUNT(*) AS rows FROM dated GROUP BY 1, 2", "dated"),

@@ -49,13 +49,13 @@ def position_in_group(df: DataFrame, keys: Sequence[str], order: str, width: int
     ``order`` is unique within a group, so a bucket of ``width`` values holds at most ``width`` rows however large the
     group is.  One shuffle of the rows, by (group, bucket); the bucket counts are partially aggregated.
     """
-    bucketed = df.withColumn("__bucket", F.floor(F.col(order) / F.lit(width)).cast("long"))
-    counts = bucketed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__rows"))
-    offsets = exclusive_running(counts, keys, ["__bucket"], {"__offset": ("sum", "__rows")}).drop("__rows")
-    in_bucket = Window.partitionBy(*keys, "__bucket").orderBy(order)
-    ranked = bucketed.withColumn("__rank", F.row_number().over(in_bucket))
-    joined = null_safe_join(ranked, offsets, [*keys, "__bucket"])
-    return joined.withColumn(out, (F.col("__offset") + F.col("__rank")).cast("long")).drop("__offset", "__rank", "__bucket")
+    # one column for the whole key, in which null is a value: windows, counts and the join then agree on one exchange of the rows
+    bucketed = df.withColumns({"__key": F.struct(*keys), "__bucket": F.floor(F.col(order) / F.lit(width)).cast("long")})
+    counts = bucketed.groupBy("__key", "__bucket").agg(F.count(F.lit(1)).alias("__rows"))
+    offsets = exclusive_running(counts, ["__key"], ["__bucket"], {"__offset": ("sum", "__rows")}).drop("__rows")
+    ranked = bucketed.withColumn("__rank", F.row_number().over(Window.partitionBy("__key", "__bucket").orderBy(order)))
+    joined = ranked.join(offsets, ["__key", "__bucket"])
+    return joined.withColumn(out, (F.col("__offset") + F.col("__rank")).cast("long")).select(*df.columns, out)
 
 
 def ordered_blocks(df: DataFrame, order: Sequence[str], rows: int, parts: int | None = None) -> DataFrame:
