@@ -41,6 +41,11 @@ CONTROL_START_DATE = "2004-11-15"
 OUTBREAK_START_DATE = "2004-10-01"
 OUTBREAK_END_DATE = "2005-05-31"
 CONTROL_EXTRA_DAYS = 90
+TRIGGER_DAYS = {"outbreak_start": 1004, "outbreak_end": 1246, "control_end": 1336}
+TRIGGER_WINDOWS = {"outbreak_start": 90, "outbreak_end": 90, "control_end": 30}
+SHARE_FLOOR, SHARE_CAP = 0.01, 0.99
+CLEANING_RATE_LOW = 0.5
+SIDE_ROOM_DELAY = (0.01, 7.0)
 # --- end of fixed values ---------------------------------------------------------------------------------------
 
 # outbreak value must not lie below the baseline value
@@ -269,28 +274,28 @@ class BoundKnobs:
     lower: str = "mean"
     lower_scale: float = 1.0
     prescription_rate: float = CONSTANTS["antibiotic_prescription_rate"]
-    triggers: dict[str, int] = field(default_factory=lambda: {"outbreak_start": 1004, "outbreak_end": 1246, "control_end": 1336})
+    triggers: dict[str, int] = field(default_factory=lambda: dict(TRIGGER_DAYS))
 
 
 def outbreak_rules(knobs: BoundKnobs) -> list[PriorRule]:
     """Bounds of the outbreak and control parameters in terms of the baseline priors."""
     raised = Bound(knobs.upper, knobs.upper_scale, knobs.upper)
     rate = knobs.prescription_rate
-    windows = {"outbreak_start": 90, "outbreak_end": 90, "control_end": 30}
-    triggers = [PriorRule(n, None, Bound(float(knobs.triggers[n] - w)), Bound(float(knobs.triggers[n] + w))) for n, w in windows.items()]
+    delay_low, delay_high = SIDE_ROOM_DELAY
+    triggers = [PriorRule(n, None, Bound(float(knobs.triggers[n] - w)), Bound(float(knobs.triggers[n] + w))) for n, w in TRIGGER_WINDOWS.items()]
     return [
         *triggers,
         PriorRule("o_toilet_frequenting_rate", "toilet_frequenting_rate", Bound("min"), raised),
-        PriorRule("o_toilet_contamination_effect", "toilet_contamination_effect", Bound("min"), Bound(knobs.upper, knobs.upper_scale, knobs.upper, cap=0.99)),
-        PriorRule("o_toilet_cleaning_effect", "toilet_cleaning_effect", Bound(knobs.lower, -knobs.lower_scale, knobs.upper, floor=0.01), Bound("max")),
-        PriorRule("o_toilet_cleaning_rate", "toilet_cleaning_rate", Bound(0.5), Bound("max")),
+        PriorRule("o_toilet_contamination_effect", "toilet_contamination_effect", Bound("min"), Bound(knobs.upper, knobs.upper_scale, knobs.upper, cap=SHARE_CAP)),
+        PriorRule("o_toilet_cleaning_effect", "toilet_cleaning_effect", Bound(knobs.lower, -knobs.lower_scale, knobs.upper, floor=SHARE_FLOOR), Bound("max")),
+        PriorRule("o_toilet_cleaning_rate", "toilet_cleaning_rate", Bound(CLEANING_RATE_LOW), Bound("max")),
         PriorRule("o_community_colonisation_rate", "community_colonisation_rate", Bound("min"), raised),
-        PriorRule("o_antibiotic_prescription_rate", None, Bound(rate), Bound(rate, knobs.upper_scale, rate, cap=0.99)),
-        PriorRule("o_side_room_delay_mean", None, Bound(0.01), Bound(7.0)),
-        PriorRule("c_toilet_cleaning_effect", "toilet_cleaning_effect", Bound("min"), Bound(0.99)),
+        PriorRule("o_antibiotic_prescription_rate", None, Bound(rate), Bound(rate, knobs.upper_scale, rate, cap=SHARE_CAP)),
+        PriorRule("o_side_room_delay_mean", None, Bound(delay_low), Bound(delay_high)),
+        PriorRule("c_toilet_cleaning_effect", "toilet_cleaning_effect", Bound("min"), Bound(SHARE_CAP)),
         PriorRule("c_toilet_cleaning_rate", "toilet_cleaning_rate", Bound("min"), raised),
-        PriorRule("c_antibiotic_prescription_rate", None, Bound(rate, -knobs.lower_scale, rate, floor=0.01), Bound(rate)),
-        PriorRule("c_side_room_delay_mean", None, Bound(0.01), Bound(7.0)),
+        PriorRule("c_antibiotic_prescription_rate", None, Bound(rate, -knobs.lower_scale, rate, floor=SHARE_FLOOR), Bound(rate)),
+        PriorRule("c_side_room_delay_mean", None, Bound(delay_low), Bound(delay_high)),
     ]
 
 

@@ -13,7 +13,7 @@ DAYS = 2557
 WARDS = 24
 
 # Posterior-shaped columns: name -> (low, high, multiplier of the part key whose fractional part is the draw).
-# The ranges are those of the calibrated study; the multipliers are arbitrary irrational-looking numbers.
+# --- fixed values: ranges of the calibrated study; the multipliers are arbitrary irrational-looking numbers -----
 POSTERIOR_COLUMNS = {
     "outbreak_start": (933.0, 1094.0, 0.6180339887),
     "outbreak_end": (1166.0, 1333.0, 0.7548776662),
@@ -32,6 +32,7 @@ POSTERIOR_COLUMNS = {
     "c_antibiotic_prescription_rate": (0.016, 0.47, 0.0827625302),
     "c_toilet_cleaning_rate": (2.08, 4.27, 0.4031242374),
 }
+# --- end of fixed values ---------------------------------------------------------------------------------------
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
