@@ -19,6 +19,7 @@ HEADLINE = [
     "e1_monthly_rate", "e2_mean_over_seeds", "e5_outbreak_cases", "e7_quantile_band", "e7_quantile_band_selected", "c2_assign_dates", "h1_first_per_key",
     "j4_accept", "r2_stage_two_posterior", "b6_latin_hypercube", "b14_priors_from_posterior", "g3_complete_cells", "k1_density",
     "l1_daily_census", "l6_double_occupancy", "l8_final_levels", "l9_infection_risk", "l11_period_params",
+    "c2_assign_dates_stretches", "l11_interval_join", "r7_two_stage",
 ]
 
 
