@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wardlight.llm import catalog
 from wardlight.llm.decontaminate import benchmark_windows, build_index, contamination, near_matches, rarest_probes
-from wardlight.llm.secret_scan import RULES, Rule, listed, redact, scan
+from wardlight.llm.secret_scan import RULES, Rule, listed, record, redact, scan
 from wardlight.session import scratch_path
 
 TOKEN = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -112,6 +113,38 @@ def test_redaction(spark):
     assert texts_[5] is None and texts_[6] == "" and texts_[9] == "deadbeefdeadbee"
 
 
+def redacted(text):
+    """The mark in place of each run of characters that findings cover; runs that only touch have a mark each."""
+    out, at = "", 0
+    for _, a, b in sorted((int(a), int(a), int(b)) for _, a, b in (s.split(":") for s in spans(text).split(",") if s)):
+        if a >= at:
+            out += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_many_findings_in_one_text(spark):
+    """5 MB with 200,000 findings, and texts around the sizes of the parts and strips, with signs beyond the first plane."""
+    rows = [(k, "é😀 " * (k % 3) + f"{'0123456789abcdef'} " * k + "😀" * (k % 7)) for k in (1, 255, 256, 257, 511, 512, 513, 1700)]
+    rows += [(k, "x" * (k - 16) + " token=" + "0123456789abcdef" * 9 + "😀" * (k % 1024)) for k in (1023, 1024, 1025, 2048, 4000)]
+    rows += [(9, "0123456789abcdef-passwor-\n" * 200_000)]
+    start = time.perf_counter()
+    found = scan(frame(spark, rows), scratch_path(spark, "ledger"))
+    got = {r[0]: tuple(r)[1:] for r in found.select("doc_id", listed(F.col("findings")), redact(F.col("text"), F.col("findings"))).collect()}
+    assert time.perf_counter() - start < 60
+    assert got == {d: (spans(t), redacted(t)) for d, t in rows}
+
+
+def test_known_texts_are_not_scanned_again(spark):
+    path, docs = scratch_path(spark, "ledger"), catalog.documents(spark, SF)
+    first = record(docs.where(F.xxhash64("text") < 0), path)
+    assert 0 < first.count() < docs.select("text").distinct().count() * len(RULES)
+    found = scan(docs.select("doc_id", "text"), path).select("doc_id", listed(F.col("findings")).alias("spans"))
+    assert sorted(map(tuple, found.collect())) == sorted((r.doc_id, r.spans) for r in catalog.op9_secret_scan(spark, SF).collect())
+    ledger = spark.read.parquet(path)
+    assert ledger.count() == ledger.select("content", "rule", "version").distinct().count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count() * len(RULES)
+
+
 def test_native_plans(spark):
     for name in ("op4_decontamination", "op9_secret_scan"):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
