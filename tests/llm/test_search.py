@@ -1,9 +1,11 @@
 """Benchmark passages and secrets: against brute force; every SQL check on the small tables."""
 
 import hashlib
+import random
 import re
 import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from cases import empty, frame, texts
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from wardlight.llm import catalog
 from wardlight.llm.decontaminate import benchmark_windows, build_index, contamination, near_matches, rarest_probes
 from wardlight.llm.secret_scan import RULES, Rule, listed, record, redact, scan
-from wardlight.session import scratch_path
+from wardlight.session import scratch_dir, scratch_path
 
 TOKEN = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -62,6 +64,55 @@ def test_near_matches(spark):
     assert found == [0, 1]
 
 
+def near_windows(rows, items, slop):
+    """Distinct windows near each text, word by word: rarest three terms by (count, term, place), each within ``slop`` words of its place."""
+    lists = [[w.lower() for w in words(t)] for _, t in rows]
+    counts = Counter(w for ws in lists for w in ws)
+    windows = {tuple(w[p:p + 13]) for _, t in items for w in [words(t)] for p in range(max(1, len(w) - 12) if w else 0)}
+    probes = [sorted((counts[w.lower()], w.lower(), off) for off, w in enumerate(terms))[:3] for terms in windows if all(counts[w.lower()] for w in terms)]
+
+    def near(ws):
+        at = {}
+        for i, w in enumerate(ws):
+            at.setdefault(w, []).append(i)
+        starts = lambda p: (i - p[0][2] for i in at.get(p[0][1], []) if i >= p[0][2])
+        return sum(any(all(any(abs(j - s - off) <= slop for j in at.get(t, [])) for _, t, off in p[1:]) for s in starts(p)) for p in probes)
+
+    return [near(ws) for ws in lists]
+
+
+@pytest.mark.parametrize("slop", [0, 2, 5])
+def test_proximity_against_brute_force(spark, slop):
+    r = random.Random(slop)
+    rows = [(k, t) for k, t in texts() if t is None or len(t) < 20_000]
+    base = next(t for d, t in rows if d == 20).split()
+    for k in range(60):  # words of the passage go, come and change places
+        moved = [w for w in base if r.random() > 0.06]
+        for _ in range(r.randrange(6)):
+            moved.insert(r.randrange(len(moved)), r.choice(base))
+        rows.append((1000 + k, " ".join(moved)))
+    items = [(1, " ".join(base)), (2, "one"), (3, "one two"), (4, "the of the of the of"), (5, None), (6, " ".join(base[20:60])), (6, " ".join(base[20:60]))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = contamination(frame(spark, rows), benchmark, slop=slop).select("doc_id", F.coalesce("text", F.lit("-")).alias("t"), "n_near")
+    want = near_windows(rows, items, slop)
+    assert Counter(map(tuple, got.collect())) == Counter((d, "-" if t is None else t, n) for (d, t), n in zip(rows, want, strict=True))
+    assert sum(want) > 500
+
+
+def test_prompt_of_many_items(spark):
+    """A prompt that 50,000 items share is one window to every occurrence of it; the items are listed once for all texts that hold the same windows."""
+    prompt = " ".join(f"prompt{i}" for i in range(16))
+    items = spark.range(50_000).select(F.col("id").alias("item_id"), F.concat(F.lit(prompt + " item"), F.col("id")).alias("text"))
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit(f"doc {prompt} "), F.col("id")).alias("text"))
+    folder = Path(scratch_dir(spark))
+    before = set(folder.iterdir())
+    got = contamination(docs, items)
+    assert [tuple(r) for r in got.select("n_hit", "n_items", F.size("items").alias("size"), F.col("items")[49_999].alias("last")).distinct().collect()] == [(16, 50_000, 50_000, "9999")]
+    made = {p.name.rsplit("-", 1)[0]: p for p in set(folder.iterdir()) - before}
+    size = {n: sum(f.stat().st_size for f in made[n].rglob("*.parquet")) for n in ("occurrences", "hits", "items")}
+    assert size["occurrences"] < 200_000 and size["hits"] < 200_000 and spark.read.parquet(str(made["items"])).count() == 1
+
+
 def test_empty_benchmark_and_documents(spark):
     nothing = spark.createDataFrame([], "item_id long, text string")
     rows = contamination(frame(spark, texts()), nothing).collect()

@@ -52,7 +52,7 @@ QUERIES["op2_suffix_array_dedup"] = op2_suffix_array_dedup
 
 def op4_decontamination(spark, sf_dir):
     found = contamination(documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 QUERIES["op4_decontamination"] = op4_decontamination
@@ -60,16 +60,26 @@ SQL["op4_decontamination"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 p AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS p FROM b WHERE len(w) > 0),
-q AS (SELECT item_id, list_aggregate(w[p:p + 12], 'string_agg', ' ') AS win, len(w[p:p + 12]) AS n FROM p),
+q0 AS (SELECT item_id, w, p, list_aggregate(w[p:p + 12], 'string_agg', ' ') AS win, len(w[p:p + 12]) AS n FROM p),
+q AS (SELECT item_id, win, n FROM q0),
 lens AS (SELECT DISTINCT n FROM q),
 dp AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lens WHERE len(w) >= n),
 dw AS (SELECT doc_id, p, n, list_aggregate(w[p:p + n - 1], 'string_agg', ' ') AS win FROM dp),
 hit AS (SELECT doc_id, p, dw.n, item_id FROM dw JOIN q ON dw.win = q.win),
 pos AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS pos FROM hit) GROUP BY doc_id),
-its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY doc_id)
+its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY doc_id),
+dt AS (SELECT doc_id, unnest(list_transform(w, lambda x: lower(x))) AS term, unnest(range(len(w))) AS pos FROM d),
+cnt AS (SELECT term, count(*) AS n FROM dt GROUP BY term),
+wt AS (SELECT win, unnest(list_transform(w, lambda x: lower(x))) AS term, unnest(range(len(w))) AS off FROM (SELECT win, any_value(w[p:p + 12]) AS w FROM q0 GROUP BY win)),
+rk AS (SELECT win, term, off, row_number() OVER (PARTITION BY win ORDER BY n, term, off) AS r, min(coalesce(n, 0)) OVER (PARTITION BY win) AS least FROM wt LEFT JOIN cnt USING (term)),
+pr AS (SELECT win, max(term) FILTER (r = 1) AS t1, max(off) FILTER (r = 1) AS o1, max(term) FILTER (r = 2) AS t2, max(off) FILTER (r = 2) AS o2, max(term) FILTER (r = 3) AS t3, max(off) FILTER (r = 3) AS o3 FROM rk WHERE least > 0 GROUP BY win),
+c1 AS (SELECT doc_id, win, pos - o1 AS s, t2, o2, t3, o3 FROM pr JOIN dt ON dt.term = t1 WHERE pos >= o1),
+c2 AS (SELECT * FROM c1 WHERE t2 IS NULL OR EXISTS (SELECT 1 FROM dt WHERE dt.doc_id = c1.doc_id AND dt.term = c1.t2 AND abs(dt.pos - c1.s - c1.o2) <= 2)),
+c3 AS (SELECT * FROM c2 WHERE t3 IS NULL OR EXISTS (SELECT 1 FROM dt WHERE dt.doc_id = c2.doc_id AND dt.term = c2.t3 AND abs(dt.pos - c2.s - c2.o3) <= 2)),
+nr AS (SELECT doc_id, count(DISTINCT win) AS n_near FROM c3 GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN nr USING (doc_id)
 """
 
 

@@ -1,8 +1,9 @@
 """Benchmark passages in training documents, found in a positional inverted index.
 
 The index holds, for the rarest terms of each benchmark window, every position in every distinct text. The lists of a
-window's terms, moved by their offsets, are intersected from the rarest on; what is left is compared word for word with
-the text. Equal texts are one entry of the index. Everything is DataFrame work.
+window's terms, moved by their offsets, are intersected from the rarest on, within a few words' distance: that gives the
+proximity matches, and those at no distance are compared word for word with the text. Equal texts are one entry of the
+index, windows are numbers until the end, and items are listed once for each set of windows. Everything is DataFrame work.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from wardlight.session import small_or_self
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PROBES = 3  # of the rarest terms whose lists are intersected before words are compared
+SLOP = 2  # words by which a term may stand nearer or farther in a proximity match
+STRIP = 16  # positions of a strip of the index
 
 
 def words_of(text: Column) -> Column:
@@ -27,14 +30,18 @@ def lower_ascii(word: Column) -> Column:
     return F.translate(word, UPPER, LOWER)
 
 
-def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """Distinct windows: terms (lower case), the items that hold them, and a number."""
+def window_rows(benchmark: DataFrame, window: int) -> DataFrame:
+    """(window, terms, item), once each: the terms in lower case, a 128-bit number of them, and an item that holds them."""
     words = benchmark.select(F.col("item_id").cast("string").alias("item"), F.transform(words_of(F.col("text")), lower_ascii).alias("w")).where(F.size("w") > 0)
     last = F.greatest(F.size("w") - window, F.lit(0))
     terms = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("w", i + 1, F.lit(window)))
     rows = words.select("item", F.explode(terms).alias("terms"))
-    items = F.collect_set("item")  # of a window: as many as the benchmark repeats it
-    return rows.groupBy("terms").agg(items.alias("items")).withColumn("window", F.xxhash64(F.array_join("terms", " ")))
+    return rows.select(F.unhex(F.md5(F.array_join("terms", " ").cast("binary"))).alias("window"), "terms", "item").distinct()
+
+
+def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """(window, terms) of the distinct windows."""
+    return window_rows(benchmark, window).select("window", "terms").distinct()
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -63,35 +70,37 @@ def build_index(docs: DataFrame, probes: DataFrame) -> DataFrame:
     return write_table(tokens(docs).join(terms, "term").select("term", "text_key", "pos").distinct(), "postings")
 
 
-def intersect(index: DataFrame, probes: DataFrame) -> DataFrame:
-    """(text_key, window, start) at which the moved lists of all probes of a window meet."""
+def strips(index: DataFrame, slop: int) -> DataFrame:
+    """Postings in strips of positions: (term, text_key, strip, positions). A strip holds ``slop`` positions beyond either end, so one strip answers for any place."""
+    ends = [F.floor((F.col("pos") + d) / STRIP) for d in (-slop, slop)]
+    spread = index.select("term", "text_key", "pos", F.explode(F.array_distinct(F.sequence(*ends))).alias("strip"))
+    return write_table(spread.groupBy("term", "text_key", "strip").agg(F.collect_list("pos").alias("positions")), "strips")
+
+
+def near_matches(index: DataFrame, probes: DataFrame, slop: int = SLOP) -> DataFrame:
+    """Proximity: (text_key, window, start, distance) where the rarest probe of a window stands and each of its other probes is at most
+    ``slop`` words from where the window has it; ``distance`` is that of the farthest one, 0 if all stand as in the window.
+
+    Lists are intersected from the rarest on. A place asks one strip of each list, so a term that fills a text gives no pairs.
+    """
     def probe(k: int) -> Column:  # a window of few words repeats its last probe
         return F.element_at("probes", F.least(F.lit(k), F.size("probes")))
 
     small = small_or_self(probes, 200_000)
     first = small.select("window", "probes", probe(1)["term"].alias("term"), probe(1)["off"].alias("off"))
-    found = index.join(first, "term").select("text_key", "window", "probes", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
+    found = index.join(first, "term").select("text_key", "window", "probes", (F.col("pos") - F.col("off")).alias("start"), F.lit(0).alias("distance")).where("start >= 0")
+    lists = strips(index, slop)
     for k in range(2, PROBES + 1):
-        here = found.withColumn("term", probe(k)["term"]).withColumn("pos", F.col("start") + probe(k)["off"])
-        found = here.join(index, ["text_key", "term", "pos"], "left_semi").drop("term", "pos")
-    return found.select("text_key", "window", "start")
-
-
-def near_matches(index: DataFrame, probes: DataFrame, slop: int) -> DataFrame:
-    """Proximity: (text_key, window, start, distance) where the two rarest terms of a window stand at most ``slop`` words
-    nearer or farther apart than in the window. Positions are cut into strips of ``slop`` + 1, so the join is by equality."""
-    width = slop + 1
-    two = small_or_self(probes.where(F.size("probes") > 1).select("window", F.col("probes")[0].alias("a"), F.col("probes")[1].alias("b")), 200_000)
-    left = index.join(two.withColumn("term", F.col("a.term")), "term").select("text_key", "window", F.col("b.term").alias("term"), F.col("b.off").alias("off"), (F.col("pos") - F.col("a.off")).alias("start"))
-    left = left.withColumn("strip", F.explode(F.array(*[F.floor((F.col("start") + F.col("off")) / width) + d for d in (-1, 0, 1)])))
-    right = index.withColumn("strip", F.floor(F.col("pos") / width))
-    distance = F.abs(F.col("pos") - F.col("off") - F.col("start"))
-    return left.join(right, ["text_key", "term", "strip"]).withColumn("distance", distance).where(F.col("distance") <= slop).groupBy("text_key", "window", "start").agg(F.min("distance").alias("distance"))
+        place = F.col("start") + probe(k)["off"]
+        here = found.withColumns({"term": probe(k)["term"], "place": place, "strip": F.floor(place / STRIP)}).join(lists, ["term", "text_key", "strip"])
+        away = F.array_min(F.transform("positions", lambda p: F.abs(p - F.col("place"))))
+        found = here.select("text_key", "window", "probes", "start", F.greatest("distance", away).alias("distance")).where(F.col("distance") <= slop)
+    return found.select("text_key", "window", "start", "distance")
 
 
 def compared(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """(text_key, n_hit, items) of texts in which candidates (text_key, start, terms, items) prove right, word for word."""
-    keys = write_table(named.groupBy("text_key").agg(F.collect_set(F.struct("start", "terms", "items")).alias("occurrences")), "occurrences")
+    """(text_key, n_hit, windows) of texts in which candidates (text_key, start, window, terms) prove right, word for word."""
+    keys = write_table(named.groupBy("text_key").agg(F.collect_set(F.struct("start", "window", "terms")).alias("occurrences")), "occurrences")
     texts = docs.select(text_key(), "text").join(small_or_self(keys.select("text_key")), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
     rows = texts.withColumn("words", words_of(F.col("text"))).drop("text").join(keys, "text_key")
 
@@ -100,30 +109,44 @@ def compared(docs: DataFrame, named: DataFrame) -> DataFrame:
 
     rows = rows.select("text_key", F.filter("occurrences", matches).alias("o")).where(F.size("o") > 0)
     covered = F.array_distinct(F.flatten(F.transform("o", lambda o: F.sequence(o["start"], o["start"] + F.size(o["terms"]) - 1))))
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("o", lambda o: o["items"]))))
-    return rows.select("text_key", F.size(covered).cast("long").alias("n_hit"), items.alias("items"))
+    return rows.select("text_key", F.size(covered).cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.transform("o", lambda o: o["window"]))).alias("windows"))
+
+
+def listed_items(hits: DataFrame, holders: DataFrame) -> DataFrame:
+    """(windows, items): of each set of windows that texts hold, the items as sorted strings. ``holders``: (window, item)."""
+    sets = hits.select("windows").distinct().withColumn("set", F.md5(F.array_join(F.transform("windows", F.hex), "").cast("binary")))
+    pairs = sets.select("set", F.explode("windows").alias("window")).join(holders, "window").select("set", "item").distinct()
+    items = pairs.groupBy("set").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    return sets.join(items, "set").select("windows", "items")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, prefix: str = "") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, prefix: str = "", slop: int = SLOP) -> DataFrame:
     """Every column of ``docs`` and what of its words benchmark windows cover; ``prefix`` stands before the new names.
 
     A window: ``window`` consecutive words of an item, or all words of a shorter one. New columns (they replace columns of the same name): n_words, n_hit (words
     inside any occurrence of a window), n_items, items (distinct item ids as sorted strings), contaminated (a hit, and
-    at least one in ``share`` words). Null and wordless texts have no words and are clean; items without words are not looked for; a
-    null item_id counts as an item without a name. Repeated rows each get their own, equal, row; doc_id is not read. Empty tables give
-    an empty result or clean documents. Benchmark tables are broadcast while they have at most 200,000 rows, else joined by shuffles.
+    at least one in ``share`` words), n_near (windows of which the rarest terms, up to three, stand at most ``slop`` words from their places, exact
+    occurrences included; terms compare by full lower case, and a window counts only if all its terms are somewhere in ``docs``). Null and wordless texts have no words and
+    are clean; items without words are not looked for; a null item_id counts as an item without a name, which no list holds. Repeated rows each get their own,
+    equal, row; doc_id is not read. Empty tables give an empty result or clean documents. Benchmark tables are broadcast while they have at most 200,000 rows, else joined by shuffles.
     """
-    name = {c: prefix + c for c in ("n_words", "n_hit", "n_items", "items", "contaminated")}
+    name = {c: prefix + c for c in ("n_words", "n_hit", "n_items", "items", "contaminated", "n_near")}
     docs = docs.drop(*name.values())
-    windows = write_table(benchmark_windows(benchmark, window), "windows")
+    held = write_table(window_rows(benchmark, window), "held")
+    windows = write_table(held.select("window", "terms").distinct(), "windows")
     probes = write_table(rarest_probes(docs, windows), "probes")
-    found = intersect(build_index(docs, probes), probes)
-    named = found.join(small_or_self(windows, 200_000), "window")
-    key, words, own_hit, own_items = (unused(docs.columns, c) for c in ("__text_key", "__words", "__hit", "__items"))
-    hits = write_table(compared(docs, named), "hits").select(F.col("text_key").alias(key), F.col("n_hit").alias(own_hit), F.col("items").alias(own_items))
-    rows = docs.withColumn(key, text_key()).withColumn(words, F.size(words_of(F.col("text"))).cast("long")).join(small_or_self(hits), key, "left")
+    near = write_table(near_matches(build_index(docs, probes), probes, slop), "near")
+    exact = near.where("distance = 0").select("text_key", "window", "start").join(small_or_self(windows, 200_000), "window")
+    hits = write_table(compared(docs, exact), "hits")
+    lists = write_table(listed_items(hits, held.select("window", "item")), "items")
+    close = near.groupBy("text_key").agg(F.count_distinct("window").alias("n_near"))
+    key, words, own_hit, own_set, own_items, own_near = (unused(docs.columns, c) for c in ("__text_key", "__words", "__hit", "__set", "__items", "__near"))
+    hits = hits.select(F.col("text_key").alias(key), F.col("n_hit").alias(own_hit), F.col("windows").alias(own_set))
+    lists = lists.select(F.col("windows").alias(own_set), F.col("items").alias(own_items))
+    close = write_table(close.select(F.col("text_key").alias(key), F.col("n_near").alias(own_near)), "close")
+    rows = docs.withColumn(key, text_key()).withColumn(words, F.size(words_of(F.col("text"))).cast("long")).join(small_or_self(hits), key, "left").join(small_or_self(close), key, "left").join(small_or_self(lists), own_set, "left")
     hit, items = F.coalesce(own_hit, F.lit(0).cast("long")), F.coalesce(own_items, F.array().cast("array<string>"))
     return rows.select(
         *[F.col(f"`{c}`") for c in docs.columns], F.col(words).alias(name["n_words"]), hit.alias(name["n_hit"]), F.size(items).cast("long").alias(name["n_items"]), items.alias(name["items"]),
-        ((hit > 0) & (share * hit >= F.col(words))).alias(name["contaminated"]),
+        ((hit > 0) & (share * hit >= F.col(words))).alias(name["contaminated"]), F.coalesce(own_near, F.lit(0).cast("long")).alias(name["n_near"]),
     )
