@@ -113,6 +113,32 @@ def test_quantiles_of_missing_and_special_values(spark):
     assert text(select_quantiles(df, ["g"], "v", probs, rows=20, pivots=4)) == text(quantiles_by(df, ["g"], "v", probs, group_rows=600))
 
 
+def test_selected_quantiles_keep_rows_near_the_ranks_only(spark, monkeypatch):
+    """No table of a large group's distinct values is made: what is written has few of them."""
+    from wardlight.functions import quantiles
+
+    rng = np.random.default_rng(8)
+    values = {"spread": rng.normal(size=20_000), "ties": np.where(rng.random(9_000) < 0.9, 7.0, rng.random(9_000) * 20)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs] + [("few", 1.0), (None, 3.0)], "g string, v double").repartition(5)
+    written, write = [], quantiles.materialize
+    monkeypatch.setattr(quantiles, "materialize", lambda d, label: written.append((label, write(d, label))) or written[-1][1])
+    found = {r["g"]: (r["a"], r["b"]) for r in select_quantiles(df, ["g"], "v", {"a": 0.25, "b": 0.99}, rows=1_000).collect()}
+    for g, vs in values.items():
+        assert np.allclose(found[g], np.quantile(vs, [0.25, 0.99]), rtol=1e-12)
+    assert found["few"] == (1.0, 1.0) and found[None] == (3.0, 3.0)
+    assert next(d for label, d in written if label == "quantile-values").count() < 1_000
+
+
+def test_large_sides_are_merged_not_broadcast(spark):
+    """Rows that an explode makes, and values stored in small files, look small to the planner: neither may be broadcast."""
+    priors = spark.createDataFrame([("a", 0.0, 1.0, "qunif"), ("b", 0.0, 1.0, "qunif")], "param string, min double, max double, qfun string")
+    strata = design.stratified(design.draw_rows(priors, 50).withColumn("u", F.rand(1)))
+    cells = reshape.complete_cells(spark.createDataFrame([(1, "x", 1.0), (2, "y", 2.0)], "k int, n string, v double"), ["k"], "n", "v")
+    for df in (strata, cells):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_mean_over_seeds_keeps_missing_months(spark):
     df = spark.createDataFrame([(1, 1, 2.0), (1, 1, None), (2, 1, 2.0), (2, 1, 4.0)], "siminputrow int, month int, rate double")
     assert {r["siminputrow"]: r["rate"] for r in rates.mean_over_seeds(df).collect()} == {1: None, 2: 3.0}

@@ -3,6 +3,7 @@
 The built-in ``percentile`` keeps the distinct values of a group in one buffer.  That is the right plan while a group
 is known to be small.  Past ``DIRECT_ROWS`` the quantile is selected in rounds: cut at approximate quantiles, count rows
 between the cuts exactly (partial aggregation), keep only the stretches that hold a wanted rank, and rank just the survivors.
+The first round is over the rows as they come, so no task ever holds the distinct values of a large group.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from wardlight.functions.sketches import quantiles_of, sketches_by
 from wardlight.session import materialize
 
 DIRECT_ROWS = 100_000
+FIRST_LEVELS = 8  # the first round cuts a large group into 2 ** FIRST_LEVELS bins
 
 
 def direct_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], more: Sequence[Column] = ()) -> DataFrame:
@@ -51,21 +53,58 @@ def quantiles_by(
     return select_quantiles(df, keys, value, probs, direct_rows)
 
 
-def select_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], rows: int = DIRECT_ROWS, pivots: int = 64) -> DataFrame:
+def _binned(df: DataFrame, value: Column, levels: int) -> DataFrame:
+    """``__bin``: how many of the ``2 ** levels - 1`` rising numbers in ``__cuts`` are not above ``value``, by binary search; 0 without cuts."""
+    df = df.withColumn("__bin", F.lit(0))
+    for half in (2**i for i in reversed(range(levels))):
+        df = df.withColumn("__bin", F.col("__bin") + F.when(F.get("__cuts", F.col("__bin") + F.lit(half - 1)) <= value, half).otherwise(0))
+    return df
+
+
+def _near_ranks(df: DataFrame, keys: Sequence[str], groups: DataFrame, rows: int, levels: int) -> DataFrame:
+    """``df`` (keys, ``__v``) with ``__base``, without the rows of large groups that no wanted rank can be near.
+
+    A group of more than ``rows`` rows is cut at approximate quantiles of its rows: two cuts that differ have few rows between them, whatever value many rows share. Only bins that
+    hold a wanted rank stay, and ``__base`` is the rank at which a bin begins. There is one large group for ``rows`` rows at most, so a broadcast of these stays small; no row is moved.
+    """
+    large = materialize(groups.filter(F.col("__total") > rows).select(*keys, "__ranks"), "quantile-large")
+    if large.isEmpty():
+        return df.withColumn("__base", F.lit(0).cast("long"))
+    pivots = 2**levels
+    cuts = F.percentile_approx("__v", [i / pivots for i in range(1, pivots)], 1000)
+    inside = null_safe_join(df, F.broadcast(large.select(*keys)), keys)
+    large = materialize(null_safe_join(large, inside.groupBy(*keys).agg(cuts.alias("__cuts")), keys), "quantile-cuts")
+    cells = _binned(null_safe_join(df, F.broadcast(large.select(*keys, "__cuts")), keys), F.col("__v"), levels)
+    counts = exclusive_running(cells.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__rows")), keys, ["__bin"], {"__before": ("sum", "__rows")})
+    hit = F.exists("__ranks", lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__rows")))
+    edge = lambda i: F.get("__cuts", i)  # noqa: E731 - null before the first cut and after the last
+    span = F.struct(edge(F.col("__bin") - 1).alias("low"), edge(F.col("__bin")).alias("high"), F.col("__before").alias("base"))
+    spans = null_safe_join(counts, large, keys).filter(hit).groupBy(*keys).agg(F.collect_list(span).alias("__spans"))
+    spans = materialize(spans, "quantile-spans")
+    placed = null_safe_join(df, F.broadcast(spans), keys, "left")
+    v = F.col("__v")
+    own = F.filter("__spans", lambda s: (s["low"].isNull() | (s["low"] <= v)) & (s["high"].isNull() | (v < s["high"])))
+    base = F.when(F.col("__spans").isNull(), F.lit(0).cast("long")).otherwise(F.get(own, F.lit(0))["base"])
+    return placed.select(*keys, "__v", base.alias("__base")).filter(F.col("__base").isNotNull())
+
+
+def select_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], rows: int = DIRECT_ROWS, pivots: int = 64, levels: int = FIRST_LEVELS) -> DataFrame:
     """``quantiles_by`` without any group-sized buffer: bounded state per task whatever the group size or spread.
 
-    Values are cut at approximate quantiles of the distinct values, so every round leaves about 1 in ``pivots`` of
-    them however they are spread; rows are counted exactly between the cuts and only stretches that hold a wanted
-    rank stay. Rounds go on until no stretch has more than ``rows`` distinct values. Groups of missing values only get nulls.
+    The first round keeps the rows near the wanted ranks (``_near_ranks``). From then on values are cut at approximate quantiles of the distinct values, so every round leaves about
+    1 in ``pivots`` of them however they are spread; rows are counted exactly between the cuts and only stretches that hold a wanted
+    rank stay. Rounds go on until no stretch has more than ``rows`` distinct values. Groups of missing values only get nulls. ``df`` is evaluated up to four times.
     """
     keys = list(keys)
     groups = df.groupBy(*keys).agg(F.count(value).alias("__total"))
     position = {name: (F.col("__total") - 1) * F.lit(float(p)) for name, p in probs.items()}
     wanted = F.array_distinct(F.concat(*[F.array(F.floor(h), F.ceil(h)) for h in position.values()]))
     groups = materialize(groups.withColumn("__ranks", wanted), "quantile-groups")
+    present = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    near = _near_ranks(present, keys, groups, rows, levels)
     # equal values collapse to one row with a count, map side first
-    freq = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    stretches = materialize(null_safe_join(freq, groups.select(*keys, "__ranks"), keys).withColumn("__base", F.lit(0).cast("long")), "quantile-values")
+    freq = near.groupBy(*keys, "__base", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    stretches = materialize(null_safe_join(freq, groups.select(*keys, "__ranks"), keys).select(*keys, "__v", "__n", "__ranks", "__base"), "quantile-values")
     while True:
         cell = [*keys, "__base"]  # the rank at which a stretch begins names it
         largest = stretches.groupBy(*cell).count().agg(F.max("count").alias("n")).first()["n"] or 0
