@@ -85,10 +85,10 @@ def stratified(tall: DataFrame, cells: int = 1024) -> DataFrame:
     """``tall`` (siminputrow, param, u, ...) with ``p``: the draw ``u`` moved into the stratum of its rank among the ``n`` draws of the parameter."""
     tall = tall.withColumn("__cell", F.floor(F.col("u") * cells).cast("long"))
     counts = tall.groupBy("param", "__cell").agg(F.count(F.lit(1)).alias("__rows"))
-    offsets = exclusive_running(counts, ["param"], ["__cell"], {"__before": ("sum", "__rows")}).drop("__rows")
-    totals = counts.groupBy("param").agg(F.sum("__rows").alias("__n"))
+    offsets = exclusive_running(counts, ["param"], ["__cell"], {"__before": ("sum", "__rows")}).withColumn("__n", F.sum("__rows").over(Window.partitionBy("param"))).drop("__rows")
     in_cell = Window.partitionBy("param", "__cell").orderBy("u", "siminputrow")
-    placed = tall.withColumn("__inside", F.row_number().over(in_cell)).join(offsets, ["param", "__cell"]).join(totals, "param")
+    # rows made by an explode look few to the planner, which would broadcast them: a merge join keeps them in the exchange of the window
+    placed = tall.withColumn("__inside", F.row_number().over(in_cell)).join(offsets.hint("merge"), ["param", "__cell"])
     p = (F.col("__before") + F.col("__inside") - 1 + F.col("u")) / F.col("__n")
     return placed.withColumn("p", p).drop("__cell", "__before", "__inside", "__n")
 
