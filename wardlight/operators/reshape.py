@@ -50,11 +50,12 @@ def complete_cells(df: DataFrame, keys: Sequence[str], name: str, value: str) ->
     """Every key with every ``name`` that occurs anywhere; cells without a row get null.
 
     The distinct names are the column set of the wide form.  They come as one array from a subquery and are exploded
-    next to the distinct keys, so no join of keys and names is planned.
+    next to the distinct keys, so no join of keys and names is planned.  The values are merged in, never broadcast: their
+    size as stored says little about their size in memory.
     """
     names = df.agg(F.sort_array(F.collect_set(name)).alias("names")).scalar()
     cells = df.select(*keys).distinct().withColumn("__names", names).select(*keys, F.explode("__names").alias(name))
-    return cells.join(df.select(*keys, name, value), [*keys, name], "left")
+    return cells.join(df.select(*keys, name, value).hint("merge"), [*keys, name], "left")
 
 
 def bind_rows(*tables: DataFrame) -> DataFrame:
