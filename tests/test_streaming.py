@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_operators import replay
@@ -88,3 +89,58 @@ def test_vectorised_levels(effect):
         level = level * (1 - effect) if c else min(1.0, level + a)
         want.append(level)
     assert np.abs(contamination.replay_levels(0.25, clean, added, effect) - want).max() < 1e-11
+
+
+class _Calls:
+    """A state handle that keeps one key's state in memory and counts the calls to it."""
+
+    def __init__(self):
+        self.n, self.timers = 0, []
+
+    def __getattr__(self, name):
+        if name in ("getValueState", "getListState", "getMapState"):
+            return lambda label, *_: _State(self)
+        self.n += 1
+        return {"registerTimer": self.timers.append, "deleteTimer": self.timers.remove}[name]
+
+
+class _State:
+    def __init__(self, calls):
+        self.calls, self.kept = calls, None
+
+    def __getattr__(self, name):
+        self.calls.n += 1
+
+        def put(value):
+            self.kept = value
+
+        def append(value):
+            self.kept = [*(self.kept or []), *value]
+
+        return {
+            "exists": lambda: self.kept is not None, "get": lambda: self.kept, "update": put, "put": put, "appendList": append, "clear": lambda: put(None),
+            "containsKey": lambda k: False, "updateValue": lambda k, v: None,
+        }[name]
+
+
+class _Times:
+    def __init__(self, watermark):
+        self.watermark = watermark
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+    def getExpiryTimeInMs(self):
+        return self.watermark - 1
+
+
+def test_calls_to_the_state_do_not_grow_with_events():
+    """Events that all stand in time buckets of their own: a batch and a pass of the watermark take a few calls each, not some for each event."""
+    events = pd.DataFrame({"micros": [i * 900_000_000 for i in range(500)], "event_id": range(500), "kind": "use", "colonised": True, "amount": 0.125})
+    replayed, calls = contamination.ContaminationReplay(), _Calls()
+    replayed.init(calls)
+    assert list(replayed.handleInputRows((1,), iter([events]), _Times(0))) == []
+    assert calls.n < 10 and calls.timers == [600_000 - 1]
+    out = next(replayed.handleExpiredTimer((1,), _Times(300 * 900_000), _Times(600_000)))
+    assert out["event_id"].tolist() == list(range(300)) and out["level_after"].tolist()[:9] == [min(1.0, 0.125 * (i + 1)) for i in range(9)]
+    assert calls.n < 20

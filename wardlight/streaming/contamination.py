@@ -24,7 +24,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Times cross into Python as microseconds since the epoch: pandas would get them in the session's local time, while
 # watermarks are in epoch milliseconds.
 OUTPUT = "toilet_id long, event_id long, micros long, level_before double, level_after double"
-_WAITING = "micros array<bigint>, event_id array<bigint>, clean array<boolean>, added array<double>"
+_WAITING = "micros bigint, event_id bigint, clean boolean, added double"
 BUCKET_MS = 600_000
 CHUNK = 256
 
@@ -46,9 +46,10 @@ def replay_levels(start: float, clean: np.ndarray, added: np.ndarray, effect: fl
 
 
 class ContaminationReplay(StatefulProcessor):
-    """Per toilet: the current level, and the events of every time bucket that the watermark has not passed, each bucket one entry with one timer.
+    """Per toilet: the current level, the events of the time buckets that the watermark has not passed, and one timer, for the earliest of these buckets.
 
-    New events touch their own buckets only. When the watermark has passed a bucket, its events are applied in ``(ts, event_id)`` order; rows out of order within the
+    The new events of a micro-batch are added in one call. When the watermark has passed a bucket, the events of all buckets that it has passed are applied in ``(ts, event_id)``
+    order at once, so the calls to the state grow with toilets and passes of the watermark, not with events; rows out of order within the
     watermark are handled, rows of a bucket that is done are dropped.
     """
 
@@ -58,30 +59,49 @@ class ContaminationReplay(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._level = handle.getValueState("level", "level double")
-        self._waiting = handle.getMapState("waiting", "bucket bigint", _WAITING)
+        self._waiting = handle.getListState("waiting", _WAITING)
+        self._due = handle.getValueState("due", "ms bigint")
+
+    def _ends(self, micros: np.ndarray) -> np.ndarray:
+        """Milliseconds at which the bucket of each event ends."""
+        return (micros // (1000 * self._bucket) + 1) * self._bucket
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
+        watermark, first = timerValues.getCurrentWatermarkInMs(), None
         for pdf in rows:
-            bucket = pdf["micros"].to_numpy() // (1000 * self._bucket)
-            fresh = (bucket + 1) * self._bucket > watermark
-            for b, part in pdf[fresh].groupby(bucket[fresh]):
-                adds = np.where((part["kind"] == "use") & part["colonised"].astype(bool), part["amount"], 0.0)
-                new = (part["micros"].tolist(), part["event_id"].tolist(), (part["kind"] == "clean").tolist(), adds.tolist())
-                place = (int(b),)
-                if self._waiting.containsKey(place):
-                    new = tuple(list(old) + more for old, more in zip(self._waiting.getValue(place), new, strict=True))
-                else:
-                    self._handle.registerTimer((int(b) + 1) * self._bucket - 1)
-                self._waiting.updateValue(place, new)
+            ends = self._ends(pdf["micros"].to_numpy())
+            fresh = ends > watermark
+            if not fresh.any():
+                continue
+            part = pdf[fresh]
+            adds = np.where((part["kind"] == "use") & part["colonised"].astype(bool), part["amount"], 0.0)
+            self._waiting.appendList(list(zip(part["micros"].tolist(), part["event_id"].tolist(), (part["kind"] == "clean").tolist(), adds.tolist(), strict=True)))
+            end = int(ends[fresh].min())
+            first = end if first is None else min(first, end)
+        if first is not None:
+            self._wake(first - 1)
         return iter([])
 
+    def _wake(self, at: int) -> None:
+        due = self._due.get()[0] if self._due.exists() else None
+        if due is None or at < due:
+            if due is not None:
+                self._handle.deleteTimer(due)
+            self._handle.registerTimer(at)
+            self._due.update((at,))
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        place = (expiredTimerInfo.getExpiryTimeInMs() // self._bucket,)
-        if not self._waiting.containsKey(place):
-            return iter([])
-        micros, event_id, clean, added = (np.array(x) for x in self._waiting.getValue(place))
-        self._waiting.removeKey(place)
+        micros, event_id, clean, added = (np.array(x) for x in zip(*self._waiting.get(), strict=True))
+        ends = self._ends(micros)
+        done = ends <= max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs() + 1)
+        left = ~done
+        self._due.clear()
+        if left.any():
+            self._waiting.put(list(zip(micros[left].tolist(), event_id[left].tolist(), clean[left].tolist(), added[left].tolist(), strict=True)))
+            self._wake(int(ends[left].min()) - 1)
+        else:
+            self._waiting.clear()
+        micros, event_id, clean, added = (x[done] for x in (micros, event_id, clean, added))
         order = np.lexsort((event_id, micros))
         start = self._level.get()[0] if self._level.exists() else 0.0
         after = replay_levels(start, clean[order].astype(bool), added[order], self._effect)
