@@ -139,6 +139,19 @@ def test_large_sides_are_merged_not_broadcast(spark):
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_period_summary_evaluates_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(row):
+        seen.add(1)
+        return row
+
+    rows = [(dt.date(2004, 9 + i % 3, 1), float(i)) for i in range(30)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(count), "month date, rate double")
+    found = rows_of(summary.period_summary(df, "month", "rate", "2004-10-01", "2005-05-31"), "period", "n", "max")
+    assert found == [("outbreak", 20, 29.0), ("pre_outbreak", 10, 27.0)] and seen.value == 30
+
+
 def test_mean_over_seeds_keeps_missing_months(spark):
     df = spark.createDataFrame([(1, 1, 2.0), (1, 1, None), (2, 1, 2.0), (2, 1, 4.0)], "siminputrow int, month int, rate double")
     assert {r["siminputrow"]: r["rate"] for r in rates.mean_over_seeds(df).collect()} == {1: None, 2: 3.0}

@@ -12,6 +12,7 @@ from wardlight.functions.scalar import number_text, title_case
 from wardlight.functions.scans import null_safe_join
 from wardlight.functions.selectors import any_of, prefix_unprefixed
 from wardlight.operators.reshape import bind_rows, pivot_longer, pivot_wider
+from wardlight.session import materialize
 
 TRIGGERS = ["outbreak_start", "outbreak_end", "control_end"]
 
@@ -88,6 +89,8 @@ def period_summary(df: DataFrame, date: str, value: str, outbreak_from: str, out
     start, end = F.to_date(F.lit(outbreak_from)), F.to_date(F.lit(outbreak_to))
     period = F.when(day < start, "pre_outbreak").when(day <= end, "outbreak")
     tagged = df.select(*by, period.alias("period"), value).filter(F.col("period").isNotNull())
+    if group_rows is None:
+        tagged = materialize(tagged, "period-rows")  # read several times, and often behind a long plan
     return describe_by(tagged, [*by, "period"], value, {"q_low": 0.25, "median": 0.5, "q_high": 0.75}, ["min", "max", "mean", "n"], group_rows)
 
 
