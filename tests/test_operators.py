@@ -498,6 +498,12 @@ def test_param_file_of_many_sets_is_plain_csv(spark, tmp_path):
     assert [float(x) if x else None for x in rows[1][1:]] == [None if i == 77_777 else float(i) for i in range(100_000)]
 
 
+def test_param_file_sends_numbers_to_the_task_that_writes(spark):
+    posterior = spark.range(25).select((F.col("id") + 1).alias("accept_rank"), F.when(F.col("id") != 3, F.col("id") * 0.5).alias("o_rate"))
+    row = tables.param_values(posterior, ["o_rate"]).first()
+    assert (row["position"], row["param"]) == (1, "o_rate") and row["chunks"] == [[None if i == 3 else i * 0.5 for i in range(25)]]
+
+
 def test_results_are_published_together(spark, tmp_path):
     root = str(tmp_path / "results")
     one = tables.save_results({"a": spark.range(3), "b": spark.range(2)}, root)

@@ -95,29 +95,30 @@ def param_long(params: DataFrame) -> DataFrame:
     return params.select("param", F.posexplode("values").alias("at", "value")).select("param", (F.col("at") + 1).cast("long").alias("accept_rank"), "value")
 
 
-def param_lines(posterior: DataFrame, params: Sequence[str], rank: str = "accept_rank") -> DataFrame:
-    """The transposed posterior as text: ``position, param, numbers``, the values of a parameter in rank order with commas between.
+def param_values(posterior: DataFrame, params: Sequence[str], rank: str = "accept_rank") -> DataFrame:
+    """The transposed posterior: ``position, param, chunks``, the values of a parameter in rank order, in chunks of ``SETS_PER_CHUNK``.
 
-    ``rank`` runs 1, 2, 3, ...  Values are joined to chunks of ``SETS_PER_CHUNK`` first, chunks to lines afterwards: what sorts numbers never holds more than a chunk, what makes a
-    line holds its text alone.
+    ``rank`` runs 1, 2, 3, ...  What sorts numbers never holds more than a chunk.
     """
     tall = pivot_longer(posterior, [rank], params, "param", "value")
     tall = tall.withColumn("chunk", F.floor((F.col(rank) - 1) / SETS_PER_CHUNK).cast("long"))
-    # a missing value is an empty field
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank, "value"))), lambda s: s["value"].cast("string")), ",", "")
-    chunks = tall.groupBy("param", "chunk").agg(text.alias("text"))
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda s: s["text"]), ",")
+    values = F.transform(F.array_sort(F.collect_list(F.struct(rank, "value"))), lambda s: s["value"])
+    chunks = tall.groupBy("param", "chunk").agg(values.alias("values"))
+    line = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "values"))), lambda s: s["values"])
     position = F.array_position(F.array(*[F.lit(p) for p in params]), F.col("param"))
-    return chunks.groupBy("param").agg(line.alias("numbers")).select(position.alias("position"), "param", "numbers")
+    return chunks.groupBy("param").agg(line.alias("chunks")).select(position.alias("position"), "param", "chunks")
 
 
 def write_param_file(posterior: DataFrame, params: Sequence[str], path: str, rank: str = "accept_rank") -> None:
     """Write the transposed posterior as a headerless CSV under the hyphenated names: one file with one line per parameter, whatever the number of sets.
 
+    One file is written by one task. Numbers go to it as numbers, about half of their text; it makes the text, one line at a time and chunk by chunk.
     A line is one string, so a parameter's text must stay below 2 GB (some 100 million sets).
     """
-    lines = param_lines(posterior, params, rank).orderBy("position")
-    lines.select(F.concat(F.lit('"'), F.translate("param", "_", "-"), F.lit('",'), "numbers").alias("value")).coalesce(1).write.text(path)
+    rows = param_values(posterior, params, rank).orderBy("position")
+    # a missing value is an empty field
+    text = F.transform("chunks", lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",", ""))
+    rows.select(F.concat(F.lit('"'), F.translate("param", "_", "-"), F.lit('",'), F.array_join(text, ",")).alias("value")).coalesce(1).write.text(path)
 
 
 def export_single_set(posterior: DataFrame, params: Sequence[str], n: int, path: str, rank: str = "accept_rank") -> None:
