@@ -527,6 +527,16 @@ def test_simulator_csv(spark, tmp_path):
     assert (table_name("outbreak?"), table_name("[step]"), file_name("o_rate")) == ("outbreak", "step", "o-rate")
 
 
+def test_simulator_csv_is_written_compressed_in_bounded_files(spark, tmp_path):
+    runs = spark.range(50).select((F.col("id") % 5).alias("siminputrow"), F.lit(-5).cast("long").alias("random_seed"), F.col("id").cast("int").alias("step"), (F.col("id") * 2).alias("total_hospital_infections"), (100.0 + F.col("id")).alias("current_inpatients"))
+    path = tmp_path / "runs"
+    tables.write_simulator_csv(runs.coalesce(1), str(path), rows_per_file=20)
+    files = [f.name for f in path.iterdir() if f.name.startswith("part-")]
+    assert len(files) == 3 and all(f.endswith(".csv.gz") for f in files)
+    back = tables.read_simulator_csv(spark, str(path), "stage")
+    assert rows_of(back, *runs.columns) == rows_of(runs, *runs.columns) and back.filter("experiment = 'stage'").count() == 50
+
+
 def test_results_round_trip(spark, tmp_path):
     tables.save_results({"a": spark.range(3), "b": spark.range(5)}, str(tmp_path))
     assert {n: df.count() for n, df in tables.load_results(spark, str(tmp_path)).items()} == {"a": 3, "b": 5}

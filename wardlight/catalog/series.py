@@ -189,8 +189,7 @@ def s2_head(spark, sf):
 def a2_read_simulator_csv(spark, sf):
     """All runs exported under the simulator's hyphenated names and read back."""
     path = scratch_path(spark, "simulator-csv")
-    runs = derived.runs(spark, sf).drop("experiment")
-    runs.withColumnsRenamed(tables.simulator_names(runs.columns)).write.csv(path, header=True)
+    tables.write_simulator_csv(derived.runs(spark, sf).drop("experiment"), path)
     back = tables.read_simulator_csv(spark, path, "from_csv")
     return back.groupBy("experiment", *KEYS).agg(
         F.count(F.lit(1)).alias("rows"), F.max("total_colonised").alias("total_colonised"), F.sum("current_inpatients").alias("inpatients"), F.sum("current_colonised").alias("colonised")

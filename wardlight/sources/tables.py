@@ -16,6 +16,7 @@ from wardlight.schema import OBSERVED_FILE, RUN_KEYS, file_name, table_name
 
 FIRST_MONTH = "2002-01-01"
 SETS_PER_CHUNK = 10_000
+CSV_ROWS = 4_000_000
 INDEX = "_results"
 MANIFEST = "version string, names array<string>"
 
@@ -53,6 +54,16 @@ def read_runs(spark: SparkSession, path: str, experiment: str | None = None) ->
     return runs if experiment is None else runs.filter(F.col("experiment") == experiment)
 
 
+def write_simulator_csv(runs: DataFrame, path: str, rows_per_file: int = CSV_ROWS) -> None:
+    """Run output as CSV under the simulator's own column names, as ``read_simulator_csv`` takes it.
+
+    Files are gzip files: counters that mostly repeat shrink to a fraction of their text. Such a file is read by one task, so none has more than ``rows_per_file`` rows.
+    """
+    named = runs.withColumnsRenamed(simulator_names(runs.columns))
+    fast = {"maxRecordsPerFile": rows_per_file, "zlib.compress.level": "BEST_SPEED"}
+    named.write.options(**fast).csv(path, header=True, compression="gzip")
+
+
 def read_simulator_csv(spark: SparkSession, path: str, experiment: str) -> DataFrame:
     """Run output exported as CSV under the simulator's own column names."""
     raw = spark.read.option("header", True).csv(path)
