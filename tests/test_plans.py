@@ -65,6 +65,12 @@ def test_stored_runs_are_partitioned_and_complete(spark, sf, stored):
     assert runs.agg(F.min("step"), F.max("step")).first() == (1, derived.DAYS)
 
 
+def test_runs_are_dealt_to_all_partitions_and_never_merged(spark, sf):
+    runs = derived.runs(spark, sf)
+    assert "hashpartitioning(siminputrow" in plan(runs).split("Window")[-1].split("REPARTITION_BY_NUM")[0] and "REPARTITION_BY_NUM" in plan(runs)
+    assert runs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_clustered_runs_need_no_exchange(spark, sf, tmp_path):
     runs, path = derived.runs(spark, sf), str(tmp_path / "clustered")
     tables.write_clustered_runs(runs, "clustered_runs", path, 6)

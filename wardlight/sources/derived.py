@@ -59,9 +59,11 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Days without activity repeat the counters.  They are filled by exploding each active day up to the next one, so
     no day table is joined: one shuffle for the daily counts, one to bring the days of a run together (at most
-    ``DAYS`` rows per run after the aggregation).
+    ``DAYS`` rows per run after the aggregation).  The runs are dealt to all shuffle partitions and not merged by size:
+    a row becomes many days, so bytes say little about what a task sorts and counts afterwards.
     """
-    daily = daily_counts(spark, sf_dir)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    daily = daily_counts(spark, sf_dir).repartition(parts, "siminputrow", "random_seed")
     by_day = Window.partitionBy("siminputrow", "random_seed").orderBy("step")
     so_far = by_day.rowsBetween(Window.unboundedPreceding, 0)
     spans = daily.select(
