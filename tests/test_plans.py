@@ -71,6 +71,21 @@ def test_runs_are_dealt_to_all_partitions_and_never_merged(spark, sf):
     assert runs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_dealt_runs_are_clustered_without_moving_again(spark, sf, tmp_path):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs, path = derived.runs(spark, sf), tmp_path / "dealt"
+    tables.write_clustered_runs(runs, "dealt_runs", str(path), parts, dealt=True)
+    try:
+        stored = spark.table("dealt_runs")
+        dated = timeline.assign_dates(timeline.drop_burn_in(stored), "gapless")
+        assert "Exchange" not in plan(rates.monthly_rate(dated))
+        # one file for each bucket at most: every bucket was written by one task
+        assert len([f for f in path.iterdir() if f.name.startswith("part-")]) <= parts
+        assert stored.exceptAll(runs).count() == 0 == runs.exceptAll(stored).count()
+    finally:
+        spark.sql("DROP TABLE dealt_runs")
+
+
 def test_clustered_runs_need_no_exchange(spark, sf, tmp_path):
     runs, path = derived.runs(spark, sf), str(tmp_path / "clustered")
     tables.write_clustered_runs(runs, "clustered_runs", path, 6)

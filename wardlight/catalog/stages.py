@@ -102,7 +102,8 @@ def r2_posterior_file(spark, sf):
 def a2_clustered_runs(spark, sf):
     """Monthly rates from runs that are stored clustered by run."""
     name, path = f"runs_{uuid.uuid4().hex}", scratch_path(spark, "clustered-runs")
-    tables.write_clustered_runs(derived.runs(spark, sf), name, path, max(4, spark.sparkContext.defaultParallelism))
+    # a bucket for each partition that derived.runs deals its runs to
+    tables.write_clustered_runs(derived.runs(spark, sf), name, path, int(spark.conf.get("spark.sql.shuffle.partitions")), dealt=True)
     stored = spark.table(name)
     rates_ = run_rates(stored, "gapless")
     spark.sql(f"DROP TABLE {name}")  # the plan has resolved it; its files stay

@@ -30,13 +30,15 @@ def write_runs(runs: DataFrame, path: str, mode: str = "errorifexists") -> None:
     spread.sortWithinPartitions("experiment", *RUN_KEYS, "step").write.mode(mode).partitionBy("experiment").parquet(path)
 
 
-def write_clustered_runs(runs: DataFrame, name: str, path: str, buckets: int, keys: Sequence[str] = RUN_KEYS) -> None:
+def write_clustered_runs(runs: DataFrame, name: str, path: str, buckets: int, keys: Sequence[str] = RUN_KEYS, dealt: bool = False) -> None:
     """Run output as a table of the session's catalog, its rows dealt to ``buckets`` files by run and sorted by step.
 
+    ``dealt`` says that ``runs`` stand in ``buckets`` partitions by ``keys`` already (``repartition(buckets, *keys)`` before they were exploded), so no row is moved again.
+
     Rates, dates and cases of runs then need no exchange: all rows of a run stand in one bucket. That suits tables of many runs; one run with a large share of the rows
     makes a large bucket, for which ``write_runs`` is the better form. The folder at ``path`` stays when the table is dropped.
     """
-    by_bucket = runs.repartition(buckets, *keys)
+    by_bucket = runs if dealt else runs.repartition(buckets, *keys)
     by_bucket.write.option("path", path).bucketBy(buckets, *keys).sortBy(*keys, "step").saveAsTable(name)
 
 
