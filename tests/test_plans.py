@@ -86,6 +86,15 @@ def test_dealt_runs_are_clustered_without_moving_again(spark, sf, tmp_path):
         spark.sql("DROP TABLE dealt_runs")
 
 
+def test_dealt_runs_are_written_without_moving_again(spark, sf, stored, tmp_path):
+    tables.write_runs(derived.runs(spark, sf), str(tmp_path / "dealt"), dealt=True)
+    one, other = tables.read_runs(spark, str(tmp_path / "dealt")), tables.read_runs(spark, stored)
+    assert one.exceptAll(other).count() == 0 == other.exceptAll(one).count()
+    # a run was not split: its rows stand in one file, in the order of their steps
+    files = one.select(*timeline.RUN_KEYS, F.input_file_name().alias("file")).groupBy(*timeline.RUN_KEYS).agg(F.count_distinct("file").alias("files"))
+    assert files.where("files > 1").count() == 0
+
+
 def test_clustered_runs_need_no_exchange(spark, sf, tmp_path):
     runs, path = derived.runs(spark, sf), str(tmp_path / "clustered")
     tables.write_clustered_runs(runs, "clustered_runs", path, 6)

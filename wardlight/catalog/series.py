@@ -49,7 +49,7 @@ def a1_read_observed(spark, sf):
 
 def a2_write_read_runs(spark, sf):
     path = scratch_path(spark, "runs")
-    tables.write_runs(derived.runs(spark, sf), path)
+    tables.write_runs(derived.runs(spark, sf), path, dealt=True)
     counters = ["total_colonised", "total_patients_admitted", "total_hospital_infections"]
     return tables.read_runs(spark, path).groupBy("experiment", *KEYS).agg(
         F.count(F.lit(1)).alias("rows"), *[F.max(c).alias(c) for c in counters],

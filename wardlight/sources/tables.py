@@ -21,12 +21,13 @@ INDEX = "_results"
 MANIFEST = "version string, names array<string>"
 
 
-def write_runs(runs: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_runs(runs: DataFrame, path: str, mode: str = "errorifexists", dealt: bool = False) -> None:
     """Run output as Parquet, one folder per experiment, sorted by run and step inside each file.
 
-    The rebalance hint lets the adaptive plan split a large experiment over many files and keep small ones together.
+    The rebalance hint lets the adaptive plan split a large experiment over many files and keep small ones together. ``dealt`` says that ``runs`` stand in
+    partitions of few experiments and no great size already: no row is moved then, and a task writes a file for each experiment that it holds.
     """
-    spread = runs.hint("rebalance", "experiment")
+    spread = runs if dealt else runs.hint("rebalance", "experiment")
     spread.sortWithinPartitions("experiment", *RUN_KEYS, "step").write.mode(mode).partitionBy("experiment").parquet(path)
 
 
