@@ -36,6 +36,31 @@ def test_monthly_stream_over_batches(spark, tmp_path):
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
 
 
+def test_monthly_deliveries_bound_the_state(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("source", "out", "checkpoint"))
+    start = dt.datetime(2002, 1, 1)
+    rows = [(s, 0, 32 + d, d * (s + 1) // 3, 100.0 + d % 5, start + dt.timedelta(days=d)) for s in range(3) for d in range(900)]
+    random.Random(2).shuffle(rows)  # each file holds all times
+    stored = spark.createDataFrame(rows, RUNS).repartition(5)
+    queries = monthly.run_deliveries(stored, source, out, checkpoint, months=3, twice=F.year("ts") == 2003)
+    progress = [p for q in queries for p in q.recentProgress]
+    assert max(p["numInputRows"] for p in progress) <= 3 * 92 and sum(p["numInputRows"] for p in progress) == 3 * (900 + 365)
+    # a delivery and twice the delay are held, not all 900 days; the sums have a row for 16 days and month, not for each day
+    held = [sorted(op["numRowsTotal"] for op in p["stateOperators"]) for p in progress if p["stateOperators"]]
+    assert max(h[1] for h in held) <= 3 * (92 + 92 + 92) and max(h[0] for h in held) <= 3 * 30
+    got = monthly.latest_rates(spark, out)
+    want = rates.monthly_rate(spark.createDataFrame(rows, RUNS).withColumn("date_sim", F.to_date("ts")))
+    columns = ["siminputrow", "random_seed", "month", "n_days", "rate"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    assert spark.read.parquet(out).count() < 900
+
+
+def test_no_deliveries(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("source", "out", "checkpoint"))
+    monthly.run_deliveries(spark.createDataFrame([], RUNS), source, out, checkpoint)
+    assert monthly.latest_rates(spark, out).count() == 0
+
+
 EVENTS = "toilet_id long, event_id long, ts timestamp, kind string, colonised boolean, amount double"
 
 
