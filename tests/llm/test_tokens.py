@@ -126,6 +126,50 @@ def test_token_file(spark):
         at += len(ids)
 
 
+def test_segments_of_a_token_file(spark, monkeypatch):
+    from wardlight.llm import token_file
+
+    monkeypatch.setattr(token_file, "SEGMENT_IDS", 500)
+    code = token_file.encode_documents
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(ids, *given):
+        seen.add(1)
+        return code(ids, *given)
+
+    monkeypatch.setattr(token_file, "encode_documents", counted)
+    rows = [(i * 7 % 400, f"text {i} of a few words") for i in range(400)] + [(150, f"copy {i} of one id") for i in range(300)] + [(None, f"no id {i}") for i in range(200)]
+    folder = scratch_path(spark, "file")
+    write_token_file(frame(spark, rows), folder, byte_vocabulary(), 0)
+    blocks = spark.read.parquet(f"{folder}/blocks").collect()
+    # each block of documents is encoded once, for the shuffle and not for its bounds too
+    assert 0 < seen.value <= frame(spark, rows).rdd.getNumPartitions()
+    assert len(blocks) > 8 and max(np.frombuffer(b.counts, np.int64).sum() for b in blocks) < 4 * 500
+    got = sorted(read_token_file(spark, folder, ids=True).collect(), key=lambda r: r.start)
+    assert [order(r.doc_id) for r in got] == sorted(order(d) for d, _ in rows)
+    assert Counter((r.doc_id, r.ids) for r in got) == Counter((d, np.array(whole(t) + [0], "<u4").tobytes()) for d, t in rows)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
+def test_new_pieces_are_encoded_many_at_a_time():
+    from wardlight.llm.tokens import Encoder
+
+    parts = [f"word{i} {i:x}, and  other\n things{i * 3}. é{i} <|endoftext|> {i}" for i in range(500)]
+    for names, want in ((False, whole), (True, untouched)):
+        made = Encoder(byte_vocabulary(), names)
+        calls, real = [], made.tokenizer
+
+        class Counting:
+            def encode_batch_fast(self, texts, **given):
+                calls.extend(texts)
+                return real.encode_batch_fast(texts, **given)
+
+        made.tokenizer = Counting()
+        ids, counts = made.encode(block(parts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [want(p) for p in parts]
+        assert len(calls) < 0.8 * len(made.young)
+
+
 def test_packing(spark):
     rows = texts()
     got = pack_documents(frame(spark, rows), byte_vocabulary(), window=256, end=1, ids=True).collect()
