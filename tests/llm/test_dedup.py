@@ -5,11 +5,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from cases import empty, frame, order, texts
 from pyspark.sql import functions as F
 
-from wardlight.llm import ngram_join
+from wardlight.llm import ngram_join, suffix_dedup
+from wardlight.llm.blocks import Block, part_of
 from wardlight.llm.ngram_join import divide_skip, required, similar_documents
 from wardlight.llm.suffix_dedup import merge_runs, remove_repeated_bytes
 from wardlight.llm.window_dedup import level_lengths, longest_repeats, remove_repeated_windows
@@ -48,6 +50,41 @@ def test_repeated_bytes(spark, window):
     assert sum(k[2] > 0 for k in want) > 10
 
 
+def a_block(n_bytes=400_000):
+    rng = random.Random(8)
+    syllables = [a + b for a in ("th", "s", "on", "re", "h", "t") for b in ("an", "e", "ing", "o", " in ", " ")]
+    docs = ["".join(rng.choice(syllables) for _ in range(rng.randrange(900))).encode() for _ in range(n_bytes // 1000)]
+    return Block(0, np.arange(len(docs)), np.concatenate(([0], np.cumsum([len(d) for d in docs]))), np.frombuffer(b"".join(docs), np.uint8))
+
+
+def test_anchors_are_dealt_evenly():
+    block = a_block()
+    at, h = suffix_dedup.anchors(block, 50)
+    counts = np.bincount(part_of(h, 32).astype(int), minlength=32)
+    assert len(at) > 10_000 and counts.max() < 1.5 * counts.mean() and counts.min() > counts.mean() / 1.5
+    sliced = suffix_dedup.anchors(block, 50, 5_000)
+    assert np.array_equal(at, sliced[0]) and np.array_equal(h, sliced[1])
+
+
+def test_runs_are_squeezed(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "gather", lambda keys, *rest: np.ones(len(keys), bool))
+    found = suffix_dedup._Suffixes(a_block(), 50, 4, {})
+    runs = found.runs()
+    rows = np.concatenate([suffix_dedup._read_run(runs[p], 84)[1] for p in sorted(runs)])
+    assert np.array_equal(rows, found.rows[found.new])
+    assert sum(map(len, runs.values())) < 50 * len(rows)  # of 84 bytes each
+
+
+def test_blocks_hold_more_than_is_hashed_at_a_time(spark, monkeypatch):
+    """Messages number blocks times ranges."""
+    made = []
+    monkeypatch.setattr(suffix_dedup, "send", lambda blocks, function, parts, *rest, f=suffix_dedup.send: (made.append((blocks.count(), parts, blocks.rdd.getNumPartitions())), f(blocks, function, parts, *rest))[1])
+    text = F.concat_ws(" ", *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"/{k}")), 512) for k in range(40)])
+    docs = spark.range(700, numPartitions=1).select(F.col("id").alias("doc_id"), text.alias("text"))  # 3.6 MB
+    remove_repeated_bytes(docs).count()
+    assert len(made) == 2 and all(n == 1 and parts <= max(4, partitions) for n, parts, partitions in made)
+
+
 def test_window_bounds(spark):
     with pytest.raises(ValueError):
         remove_repeated_bytes(empty(spark), 90)

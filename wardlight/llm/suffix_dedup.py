@@ -6,6 +6,10 @@ eighteen is left. Each block sorts the suffixes of its repeated anchors (the byt
 backwards) and sends them front coded, one run per range of anchors. A loser tree that carries common prefix lengths
 merges the runs; it compares two suffixes only from the prefix on that both are known to share with the last output.
 Neighbours with the common prefixes tell for each window the first document that holds it.
+
+A block sends a run to nearly every range, so runs number blocks times ranges: blocks are larger than what is hashed at
+a time, and a range holds the anchors of a few blocks. An anchor's hash is the least of many and so near zero; ranges
+are cut from it mixed once more, and hold about equally many anchors.
 """
 
 from __future__ import annotations
@@ -18,12 +22,14 @@ from pyspark.sql import DataFrame
 
 from wardlight.llm.blocks import (
     BLOCK_BYTES, BYTE_KEYS, NO_ID, U64, Block, gather, map_blocks, mix, pack_array, pack_blocks, pack_sorted, part_of, partitions_of, ranges_of,
-    repeated, reply, send, unpack_array, unpack_bits,
+    repeated, reply, send, squeeze, unpack_array, unpack_bits, unsqueeze,
 )
 
 GRAM = 16  # bytes of an anchor
 END = 0xFF  # no byte of UTF-8 text: stands for what lies outside a document
 FILTER_BITS = 40
+BLOCKS_PER_PART = 4  # merged at a time: the suffixes of about so many blocks
+SLICE_BYTES = BLOCK_BYTES // 2  # hashed at a time: several arrays of eight bytes per byte of text
 
 
 def _spread(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -36,8 +42,19 @@ def _spread(values: np.ndarray, width: int, best) -> np.ndarray:
     return best(out[:-rest], out[rest:]) if rest else out
 
 
-def anchors(block: Block, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and 64-bit hashes of the anchors of a block."""
+def anchors(block: Block, window: int, size: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and evenly spread 64-bit hashes of the anchors of a block, found in slices of whole documents of about ``size`` bytes."""
+    found, i = [(np.zeros(0, np.int64), np.zeros(0, U64))], 0
+    while i < len(block.ids):
+        a = block.offsets[i]
+        j = max(i + 1, int(np.searchsorted(block.offsets, a + size, side="right")) - 1)
+        at, h = _anchors(Block(block.number, block.ids[i:j], block.offsets[i:j + 1] - a, block.data[a:block.offsets[j]]), window)
+        found.append((at + a, mix(h)))
+        i = j
+    return np.concatenate([at for at, _ in found]), np.concatenate([h for _, h in found])
+
+
+def _anchors(block: Block, window: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(block.data)
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, U64)
@@ -94,7 +111,7 @@ class _Suffixes:
         return rows
 
     def runs(self) -> dict[int, bytes]:
-        """The front-coded run of each part: common prefix lengths, the bytes behind them, first documents."""
+        """The front-coded run of each part: common prefix lengths, the bytes behind them, first documents; squeezed."""
         rows, ids = self.rows[self.new], self.ids[self.new]
         cut = np.flatnonzero(np.diff(self.part)) + 1
         out = {}
@@ -105,12 +122,13 @@ class _Suffixes:
             lcp = np.zeros(b - a, np.uint8)
             lcp[1:] = (part[1:] != part[:-1]).argmax(axis=1)
             rest = part[np.arange(part.shape[1]) >= lcp[:, None]]
-            out[int(self.part[a])] = b"".join((np.array([b - a, len(rest), low], np.int64).tobytes(), lcp.tobytes(), rest.tobytes(), pack_array((ids[a:b] - low).astype(U64))))
+            out[int(self.part[a])] = squeeze(b"".join((np.array([b - a, len(rest), low], np.int64).tobytes(), lcp.tobytes(), rest.tobytes(), pack_array((ids[a:b] - low).astype(U64)))))
         return out
 
 
 def _read_run(message, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Common prefix lengths, whole suffixes and first documents of a run."""
+    message = unsqueeze(message)
     n, size, low = (int(x) for x in np.frombuffer(message, np.int64, 3))
     lcp = np.frombuffer(message, np.uint8, n, 24)
     own = np.arange(width) >= lcp[:, None]
@@ -230,7 +248,7 @@ def _result(window: int, parts: int):
         for o in range(s.left + 1):
             hit = np.where(later, _inside(s.rows, window, o), (known[s.group] >> U64(o)) & U64(1) == 1)
             flag[s.at[hit] - o] = True
-        sums = np.concatenate((np.zeros(window, np.int64), np.cumsum(flag[:n])))
+        sums = np.concatenate((np.zeros(window, np.int32), np.cumsum(flag[:n], dtype=np.int32)))
         removed = sums[window:] > sums[:-window]
         return kept_bytes(block, removed)
     return run
@@ -241,9 +259,9 @@ def kept_bytes(block: Block, removed: np.ndarray) -> dict:
     start[1:] &= ~removed[:-1]
     firsts = block.offsets[:-1][np.diff(block.offsets) > 0]
     start[firsts] = removed[firsts]
-    total = lambda flags: np.diff(np.concatenate(([0], np.cumsum(flags)))[block.offsets])
+    total = lambda flags: np.diff(np.concatenate((np.zeros(1, np.int32), np.cumsum(flags, dtype=np.int32)))[block.offsets])
     kept = block.data[~removed]
-    at = np.concatenate(([0], np.cumsum(total(~removed))))
+    at = np.concatenate(([0], np.cumsum(total(~removed), dtype=np.int64)))
     texts = [kept[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
     return {
         "doc_id": pa.array(block.ids, mask=block.ids == NO_ID),
@@ -265,8 +283,8 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
     """
     if not GRAM + 4 <= window < GRAM + 64:
         raise ValueError("window must lie between 20 and 79 bytes")
-    blocks = pack_blocks(docs, BLOCK_BYTES // 2)  # several arrays of eight bytes per byte of text
-    parts = 4 * partitions_of(blocks)
+    blocks = pack_blocks(docs, 2 * BLOCK_BYTES, "zstd")
+    parts = max(partitions_of(blocks), blocks.count() // BLOCKS_PER_PART)
 
     def keys(block: Block):
         found = np.unique(anchors(block, window)[1] >> U64(64 - FILTER_BITS))
