@@ -1,7 +1,9 @@
 """Streams against batch results, with repeated, late and out-of-order rows over several micro-batches."""
 
 import datetime as dt
+import os
 import random
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -55,6 +57,29 @@ def test_monthly_deliveries_bound_the_state(spark, tmp_path):
     assert spark.read.parquet(out).count() < 900
 
 
+def test_deliveries_compute_the_rows_once(spark, tmp_path):
+    source, out, checkpoint, counts = (str(tmp_path / n) for n in ("source", "out", "checkpoint", "counts"))
+    os.mkdir(counts)
+
+    def counted(batches):
+        for batch in batches:
+            with open(f"{counts}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(batch.num_rows))
+            yield batch
+
+    start = dt.datetime(2002, 1, 1)
+    rows = [(s, 0, 32 + d, d * (s + 1) // 3, 100.0, start + dt.timedelta(days=d)) for s in range(2) for d in range(400)] + [(5, 0, 7, 1, 100.0, None)]
+    queries = monthly.run_deliveries(spark.createDataFrame(rows, RUNS).mapInArrow(counted, RUNS), source, out, checkpoint, twice=F.month("ts") == 3)
+    assert sum(int((tmp_path / "counts" / f).read_text()) for f in os.listdir(counts)) == len(rows)
+    read = [sum(p["numInputRows"] for p in q.recentProgress) for q in queries]
+    assert read == [1, 2 * 181, 2 * 31, 2 * 184, 2 * 35]  # no time, half a year, March again, the rest
+    assert "__delivery" not in spark.read.parquet(source).columns
+    got = monthly.latest_rates(spark, out).filter("month is not null")
+    want = rates.monthly_rate(spark.createDataFrame(rows[:-1], RUNS).withColumn("date_sim", F.to_date("ts")))
+    columns = ["siminputrow", "random_seed", "month", "n_days", "rate"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
 def test_no_deliveries(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("source", "out", "checkpoint"))
     monthly.run_deliveries(spark.createDataFrame([], RUNS), source, out, checkpoint)
